@@ -2,10 +2,11 @@
 
 1. Each text becomes the set of its distinct shingles. Texts with equal sets are one node from here on,
    named by their smallest id, so a group of exact copies costs one row.
-2. `HASHES` universal hashes give a signature; `BANDS` bands of it give bucket keys. Every bucket is
-   linked as a star to its smallest node, never as pairs, and alternating large-star and small-star
-   turn the stars into families. Two sets of similarity 0.85 share no bucket, and so may fall into
-   different families, with a chance of (1 - 0.85 ** 6) ** 32 < 3e-7.
+2. `HASHES` universal hashes give a signature; bands of it give bucket keys. Every bucket is linked as a
+   star to its smallest node, never as pairs, and alternating large-star and small-star turn the stars
+   into families. Bands are as long as they may be while two sets at the threshold share no bucket,
+   and so may fall into different families, with a chance of less than `MISS`: for 0.85 there are
+   32 bands of 6 and the chance is (1 - 0.85 ** 6) ** 32 < 3e-7.
 3. A family goes to one task in full; one of more than `BLOCK` shingles or `BLOCK_ROWS` nodes is cut into
    blocks, and each pair of blocks goes to a task: exact, and in bounded memory whatever its size. In
    the task, signatures drop what is far below the threshold (6 standard deviations), full sets
@@ -35,9 +36,8 @@ from .store import Scratch
 from .words import SPACED, U64, Words, mix, pack, ragged, rolling, slices
 
 SHINGLE = 5
-HASHES, BANDS = 192, 32
+HASHES, MISS = 192, 1e-6
 BLOCK, BLOCK_ROWS = 4 << 20, 4096
-_ROWS = HASHES // BANDS
 #: a * x + b modulo 2 ** 32, a odd
 _A = (mix(np.arange(1, HASHES + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, HASHES + 1001, dtype=U64)) >> U64(32)).astype(np.uint32)
@@ -72,7 +72,15 @@ def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(size: int):
+def bands_of(percent: int) -> int:
+    """How many hashes a band has."""
+    p = percent / 100
+    return max([r for r in range(1, 13) if (1 - p**r) ** (HASHES // r) < MISS], default=1)
+
+
+def _sketch(size: int, wide: int):
+    bands = HASHES // wide
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -85,16 +93,16 @@ def _sketch(size: int):
                     distinct.append(len(u))
                     fp.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
                 full = np.flatnonzero(n)
-                keys = np.zeros((0, BANDS), np.int64)
+                keys = np.zeros((0, bands), np.int64)
                 if len(full):
                     sig = signatures(h, n[full]).astype(U64)
-                    keys = np.empty((len(full), BANDS), np.int64)
-                    for b in range(BANDS):
+                    keys = np.empty((len(full), bands), np.int64)
+                    for b in range(bands):
                         key = np.full(len(full), U64(b + 1))
-                        for k in range(b * _ROWS, (b + 1) * _ROWS):
+                        for k in range(b * wide, (b + 1) * wide):
                             key = mix(key * U64(0x9E3779B97F4A7C15) + sig[k])
                         keys[:, b] = key.view(np.int64)
-                lists = ragged(keys.reshape(-1), np.where(n > 0, BANDS, 0), pa.int64())
+                lists = ragged(keys.reshape(-1), np.where(n > 0, bands, 0), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(distinct, pa.int64()), pa.array(fp, pa.binary()), lists], ["id", "n", "fp", "bands"])
 
     return run
@@ -188,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = scratch.table(rows.mapInArrow(_sketch(shingle), "id long, n long, fp binary, bands array<long>"))
+    sketch = scratch.table(rows.mapInArrow(_sketch(shingle, bands_of(percent)), "id long, n long, fp binary, bands array<long>"))
     nodes = scratch.table(sketch.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n")))
     named = nodes.where("node is not null")
     keys = named.select("node", F.explode("bands").alias("key"))
