@@ -26,7 +26,7 @@ from .store import Scratch
 
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
-THRESHOLD = -150_000
+THRESHOLD = -42_000
 
 
 def _words(text: Column) -> Column:
