@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_functions, queries_timeline
+
+QUERIES = queries_timeline.QUERIES | queries_functions.QUERIES
+ORACLES = queries_timeline.ORACLES | queries_functions.ORACLES
