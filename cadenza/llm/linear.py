@@ -12,9 +12,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, steps: int = 300) -> np.ndarray:
     """Weights, the intercept last, of mean log loss + l1 |w| + l2 w^2 / 2, by accelerated proximal steps.
 
-    The steps, their number and the start are fixed, so equal samples give equal weights.
+    Columns are scaled to a mean square of one first (rare ones by a bound), so that rare and common
+    features are learned alike; the weights returned are for the columns as given. The steps, their
+    number and the start are fixed, so equal samples give equal weights.
     """
     n, d = x.shape
+    if n:
+        scale = np.sqrt((x * x).mean(0)) + 1e-2
+        x = x / scale
     w, z, t = np.zeros(d + 1), np.zeros(d + 1), 1.0
     if not n:
         return w
@@ -32,7 +37,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z = new + (t - 1) / t_new * (new - w)
         w, t = new, t_new
-    return w
+    return np.append(w[:d] / scale, w[d])
 
 
 def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:

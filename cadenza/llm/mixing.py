@@ -101,23 +101,33 @@ def draw(rows: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent:
     return ranked.withColumn("copies", (F.col("_epochs") + part).cast("long")).drop("_epochs", "_order", "before", "total")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, **settings) -> DataFrame:
-    """One row per document: (id_col, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, copies, tie).
-
-    `copies` is how many of the drawn epochs hold the document, 0 if none; `tie` is xxhash64(text).
-    """
+def _leaf_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, domain: Column | None) -> list[Column]:
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    rows = docs.select(
+    return [
         F.col(id_col).alias("id"),
         (domain_of(source) if domain is None else F.coalesce(domain.cast("string"), F.lit(""))).alias("domain"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         source.alias("source"),
         word_count(F.col(text_col).cast("string")).alias("n_tokens"),
         F.xxhash64(F.col(text_col).cast("string")).alias("tie"),
-    )
+    ]
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, **settings) -> DataFrame:
+    """One row per document: (id_col, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, copies, tie).
+
+    `copies` is how many of the drawn epochs hold the document, 0 if none; `tie` is xxhash64(text).
+    """
+    rows = docs.select(*_leaf_rows(docs, id_col, text_col, lang_col, source_col, domain))
     rows = Scratch(docs.sparkSession, "mixing").table(rows)
     return draw(rows, **settings).withColumnRenamed("id", id_col)
 
 
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, **settings) -> DataFrame:
+    """The drawn documents with their own columns, each as often as it is drawn."""
+    rows = docs.select(*_leaf_rows(docs, id_col, text_col, lang_col, source_col, domain), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return draw(rows, **settings).where("copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"), "_doc").select("_doc.*")
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "domain", "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget", "copies")

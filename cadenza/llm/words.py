@@ -78,7 +78,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 class Words:
     """`h` hash, `start` and `end` byte bounds of each word; `first[i]:first[i + 1]` are row i's words."""
 
-    def __init__(self, column: pa.Array, kind: np.ndarray, fold: bool) -> None:
+    def __init__(self, column: pa.Array, kind: np.ndarray, fold: bool, prefixes: bool = False) -> None:
         self.data, self.off = utf8(column)
         n = len(self.data)
         inside = kind[self.data]
@@ -99,6 +99,8 @@ class Words:
             place = np.arange(int(length.sum())) - np.repeat(at, length)
             value = (_TABLE_FOLD if fold else _TABLE)[self.data[inside]] * _powers_of_p(int(length.max()))[place]
             self.h = mix(np.add.reduceat(value, at) + length.astype(U64) * U64(0x9E3779B97F4A7C15))
+            if prefixes:
+                self._at, self._sum = at, np.concatenate([np.zeros(1, U64), np.cumsum(value, dtype=U64)])
         else:
             self.h = np.zeros(0, U64)
 
@@ -117,6 +119,14 @@ class Words:
         """How many words each word has from itself to the end of its text."""
         return np.repeat(self.first[1:], self.counts()) - np.arange(len(self.h))
 
+    def prefix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of more than `size` bytes, and hashes of their first `size`; needs prefixes=True."""
+        long = np.flatnonzero(self.end - self.start > size)
+        if not len(long):
+            return long, np.zeros(0, U64)
+        at = self._at[long]
+        return long, mix((self._sum[at + size] - self._sum[at]) ^ U64(0xC2B2AE3D27D4EB4F + size))
+
     def text(self, i: int) -> bytes:
         """Word i as it stands."""
         return self.data[self.start[i] : self.end[i]].tobytes()
