@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from cadenza.llm import stages
+from cadenza.llm.store import Scratch
+
+STAGES = [
+    ("toxicity", stages.drop_toxic),
+    ("near_duplicates", stages.drop_near_duplicates),
+    ("decontamination", stages.drop_contaminated),
+    ("mixing", stages.mix),
+    ("sharding", stages.shard),
+]
+#: A fitted classifier and seeded hashes decide; tests compare each stage with its operator instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = scratch.table(out, docs) if i + 1 < len(STAGES) else out
+    return docs
