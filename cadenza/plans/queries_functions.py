@@ -29,10 +29,10 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
     return add
 
 
-def _long(blocks: DataFrame) -> DataFrame:
+def _long(blocks: DataFrame, places: int = 9) -> DataFrame:
     """(asset_id, block_no, ch, i, x) rounded, for comparison row by row."""
     rows = blocks.select("asset_id", "block_no", F.posexplode("planar").alias("ch", "c")).select("asset_id", "block_no", "ch", F.posexplode("c").alias("i", "x"))
-    return rows.select("asset_id", F.col("block_no").cast("bigint").alias("block_no"), F.col("ch").cast("bigint").alias("ch"), F.col("i").cast("bigint").alias("i"), F.round("x", 9).alias("x"))
+    return rows.select("asset_id", F.col("block_no").cast("bigint").alias("block_no"), F.col("ch").cast("bigint").alias("ch"), F.col("i").cast("bigint").alias("i"), F.round("x", places).alias("x"))
 
 
 _L = "l AS (SELECT asset_id, block_no, i - 1 AS i, x[i] AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM pcm)), z AS (SELECT *, block_no * 64 + i AS f, max(block_no) OVER (PARTITION BY asset_id) * 64 + 64 AS n FROM l)"
@@ -81,7 +81,8 @@ SELECT asset_id, block_no, 0::BIGINT AS ch, i, round(l + sqrt(0.5) * c + sqrt(0.
 )
 def remix_surround(spark, d):
     c = F.slice(F.get("planar", F.lit(0)), 1, 60)
-    six = p.pcm(spark, d).withColumns({"planar": F.array(*[F.filter(c, lambda x, i, k=k: i % 6 == k) for k in range(6)]), "channels": F.lit(6)})
+    every_sixth = lambda k: F.filter(c, lambda x, i: i % 6 == k)
+    six = p.pcm(spark, d).withColumns({"planar": F.array(*[every_sixth(k) for k in range(6)]), "channels": F.lit(6)})
     return _long(dsp.remix(six, 6, 2))
 
 
@@ -102,7 +103,7 @@ def normalize_peak(spark, d):
 
 @query("normalize_rms", f"WITH {_L}, s AS (SELECT *, sqrt(avg(x * x) OVER (PARTITION BY asset_id)) AS r FROM z) SELECT asset_id, block_no, 0::BIGINT AS ch, i, round(CASE WHEN r > 0 THEN x * (pow(10, -20.0 / 20) / r) ELSE x END, 6) AS x FROM s", ("pcm",))
 def normalize_rms(spark, d):
-    return _long(dsp.normalize_rms(p.pcm(spark, d), -20.0)).withColumn("x", F.round("x", 6))
+    return _long(dsp.normalize_rms(p.pcm(spark, d), -20.0), 6)
 
 
 @query("biquad_lowpass")

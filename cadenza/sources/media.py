@@ -244,7 +244,8 @@ def mux(packets: DataFrame, tracks: DataFrame, container: str, tags: dict[str, s
     prepare(packets.sparkSession)
     check_muxable(container)
     cols = ["track_id", "media_type", "codec", "timescale", "duration_sec", "fps", "rotation", "width", "height", "sample_rate", "channels", "config"]
-    have = [c if c in tracks.columns else F.lit(None).cast("binary").alias(c) for c in cols]
+    # Fresh aliases: both sides may come from one DataFrame.
+    have = [F.col(c).alias(c) if c in tracks.columns else F.lit(None).cast("binary").alias(c) for c in cols]
 
     def run(key: tuple, rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
         value = lambda x: None if x is None or (isinstance(x, float) and np.isnan(x)) else x
@@ -265,7 +266,7 @@ def mux(packets: DataFrame, tracks: DataFrame, container: str, tags: dict[str, s
         return pd.DataFrame([(key[0], container, content, *_status(error))], columns=["asset_id", "container", "content", "status", "error_code", "error"])
 
     left = packets.select("asset_id", "track_id", "seq", "pts_us", "dts_us", "duration_us", "keyframe", "data").groupBy("asset_id")
-    return left.cogroup(tracks.select("asset_id", *have).groupBy("asset_id")).applyInPandas(run, f"asset_id bigint, container string, content binary, {_STATUS}")
+    return left.cogroup(tracks.select(F.col("asset_id").alias("asset_id"), *have).groupBy("asset_id")).applyInPandas(run, f"asset_id bigint, container string, content binary, {_STATUS}")
 
 
 def remux_file(data: bytes, source: str, container: str, tags: dict[str, str] | None = None, select: list[int] | None = None, fragmented: bool = False) -> bytes:
