@@ -272,5 +272,4 @@ def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near"),
     )

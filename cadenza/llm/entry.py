@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .decontamination import op6_benchmark_decontamination
 from .language_id import op9_language_id
 from .license_scan import op10_license_scan
@@ -28,4 +29,4 @@ QUERIES = {
         op10_license_scan,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.SQL

@@ -92,7 +92,7 @@ def draw(rows: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent:
     """Adds leaf_tokens, leaf_budget and copies to rows of (id, LEVELS, n_tokens, tie); `tie` tells rows apart."""
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, percent, epochs)
-    # Weight zero would be the way to drop a leaf; a leaf without tokens has no budget to divide.
+    # A leaf without tokens has no budget to divide.
     budgets = budgets.withColumn("_epochs", F.when(F.col("leaf_tokens") > 0, F.expr("leaf_budget div leaf_tokens")).otherwise(F.lit(0)))
     rows = rows.join(budgets, list(LEVELS)).withColumn("_order", seeded(seed, "_epochs", "id", tie))
     ranked = running(rows, list(LEVELS), "_order", F.col("n_tokens"), [])
@@ -109,14 +109,14 @@ def _leaf_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         source.alias("source"),
         word_count(F.col(text_col).cast("string")).alias("n_tokens"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("tie"),
+        F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("tie"),
     ]
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, **settings) -> DataFrame:
     """One row per document: (id_col, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, copies, tie).
 
-    `copies` is how many of the drawn epochs hold the document, 0 if none; `tie` is xxhash64(text).
+    `copies` is how many of the drawn epochs hold the document, 0 if none; `tie` is md5(text).
     """
     rows = docs.select(*_leaf_rows(docs, id_col, text_col, lang_col, source_col, domain))
     rows = Scratch(docs.sparkSession, "mixing").table(rows)

@@ -7,9 +7,10 @@ will see. The last link, `toxic`, is trained on the label itself; the earlier on
 hold one of a category's seed words, as the labels have no categories.
 
 The chain is fitted on the driver on the `SAMPLE` labelled documents that are lowest by a hash of the id.
-Features are whole words and word beginnings of `PREFIXES` bytes, present or not in the whole text, the
-`FEATURES` that tell most by a likelihood-ratio test; an L1 penalty leaves few of them. Every document is scored, in full, in one
-pass without exchange.
+Features are whole words and word beginnings of `PREFIXES` bytes, the `FEATURES` that tell most by a
+likelihood-ratio test. Each counts twice: whether it stands in the text at all, and how often in a hundred
+words (its logarithm). An L1 penalty leaves few of them. Every document is scored, in full, in one pass
+without exchange.
 
 Defined results: null or wordless texts are not toxic and have the probabilities of no words;
 labels that are null or conflict count as their maximum; without any toxic label nothing is toxic; extra
@@ -29,8 +30,8 @@ from ..session import prepare
 from .linear import fit_logistic, predict
 from .words import ALNUM, U64, Words, hash_word, pack, slices
 
-SAMPLE, FEATURES, FOLDS, THRESHOLD = 8_000, 256, 5, 0.5
-PREFIXES = range(4, 10)
+SAMPLE, FEATURES, FOLDS, THRESHOLD = 6_000, 128, 5, 0.5
+PREFIXES, L1 = range(4, 10), 2e-4
 #: Seed words of the categories, in the order of the chain.
 SEEDS = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "dumb"),
@@ -54,12 +55,14 @@ def _features(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            h, row = _features(Words(part.column("text"), ALNUM, True, prefixes=True))
+            w = Words(part.column("text"), ALNUM, True, prefixes=True)
+            h, row = _features(w)
             order = np.argsort(row, kind="stable")
             edge = np.searchsorted(row[order], np.arange(part.num_rows + 1))
             h = h[order]
-            sets = [pack(np.unique(h[x:y])) for x, y in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("y"), part.column("fold"), pa.array(sets, pa.binary())], ["y", "fold", "words"])
+            sets = [np.unique(h[x:y], return_counts=True) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+            names, times = (pa.array([pack(x) for x in c], pa.binary()) for c in ([s for s, _ in sets], [n.astype(np.uint32) for _, n in sets]))
+            yield pa.RecordBatch.from_arrays([part.column("y"), part.column("fold"), names, times, pa.array(w.counts(), pa.int64())], ["y", "fold", "words", "times", "n"])
 
 
 class Chain:
@@ -69,20 +72,25 @@ class Chain:
         self.words, self.links = words, links
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float64)
         out = np.zeros((len(x), len(self.links)))
         for k, w in enumerate(self.links):
             out[:, k] = predict(w, np.hstack([x, out[:, :k]]))
         return out
 
 
-def presence(words: np.ndarray, h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    x = np.zeros((rows, len(words)), np.float32)
-    if len(words) and len(h):
-        near = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        hit = words[near] == h
-        x[row[hit], near[hit]] = 1
-    return x
+def counts_of(words: np.ndarray, h: np.ndarray, row: np.ndarray, rows: int, times: np.ndarray | None = None) -> np.ndarray:
+    """How often each of the sorted `words` stands in each row."""
+    if not len(words) or not len(h):
+        return np.zeros((rows, len(words)))
+    near = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    hit = words[near] == h
+    flat = row[hit] * len(words) + near[hit]
+    return np.bincount(flat, weights=None if times is None else times[hit], minlength=rows * len(words)).reshape(rows, len(words)).astype(np.float64)
+
+
+def inputs_of(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Presence and rate of each word."""
+    return np.hstack([counts > 0, np.log1p(100 * counts / np.maximum(n, 1)[:, None])])
 
 
 def _informative(h: np.ndarray, row: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -109,7 +117,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     picked = picked.withColumn("h", F.md5(F.col("_id").cast("string").cast("binary"))).orderBy("h", "_id").limit(sample)
     picked = picked.select("_id", "y", F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id")  # `sample` rows at most
-    rows = texts.select("y", "fold", "text").mapInArrow(_distinct, "y int, fold int, words binary").limit(2 * sample).collect()
+    rows = texts.select("y", "fold", "text").mapInArrow(_distinct, "y int, fold int, words binary, times binary, n long").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r.y, r.fold, bytes(r.words)))  # no order of arrival in the fit
     sets = [np.frombuffer(r.words, U64) for r in rows]
     y, fold = np.array([r.y for r in rows], np.float64), np.array([r.fold for r in rows])
@@ -118,16 +126,17 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     seeds = [np.sort(np.array([hash_word(x) for x in SEEDS[c]], U64)) for c in SEEDS]
     words = np.union1d(_informative(h, row, y, FEATURES), np.concatenate(seeds))
-    x = presence(words, h, row, len(sets)).astype(np.float64)
-    targets = [y * presence(s, h, row, len(sets)).any(1) for s in seeds] + [y]
+    times = np.concatenate([np.frombuffer(r.times, np.uint32) for r in rows])
+    x = inputs_of(counts_of(words, h, row, len(sets), times), np.array([r.n for r in rows]))
+    targets = [y * counts_of(s, h, row, len(sets)).any(1) for s in seeds] + [y]
     links, earlier = [], np.zeros((len(sets), 0))
     for target in targets:
         inputs = np.hstack([x, earlier])
-        links.append(fit_logistic(inputs, target, l1=2e-4))
+        links.append(fit_logistic(inputs, target, l1=L1))
         out = np.zeros(len(sets))
         for k in range(FOLDS):
             held = fold == k
-            out[held] = predict(fit_logistic(inputs[~held], target[~held], l1=2e-4), inputs[held])
+            out[held] = predict(fit_logistic(inputs[~held], target[~held], l1=L1), inputs[held])
         earlier = np.hstack([earlier, out[:, None]])
     return Chain(words, links)
 
@@ -137,8 +146,8 @@ def _score(chain):
         model = chain.value
         for batch in batches:
             for part in slices(batch, "text"):
-                h, row = _features(Words(part.column("text"), ALNUM, True, prefixes=True))
-                p = model.probabilities(presence(model.words, h, row, part.num_rows))
+                w = Words(part.column("text"), ALNUM, True, prefixes=True)
+                p = model.probabilities(inputs_of(counts_of(model.words, *_features(w), w.rows), w.counts()))
                 yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(p[:, k]) for k in range(len(CHAIN)))], ["row", *(f"p_{c}" for c in CHAIN)])
 
     return run
