@@ -5,6 +5,8 @@ A pick is the least rank among the drivers that support a request; a miss names
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ CONTAINERS = (
     ("mp4", ((4, "66747970"),), ("video/mp4", "audio/mp4", "video/quicktime"), ("mp4", "m4a", "m4v", "mov")),
     ("wav", ((0, "52494646"), (8, "57415645")), ("audio/wav", "audio/x-wav"), ("wav",)),
     ("mp3", ((0, "494433"),), ("audio/mpeg",), ("mp3",)),
+    *(("mp3", ((0, sync),), (), ()) for sync in ("FFFB", "FFFA", "FFF3", "FFF2")),
     ("ogg", ((0, "4F676753"),), ("audio/ogg", "video/ogg"), ("ogg", "oga", "opus")),
     ("webm", ((0, "1A45DFA3"),), ("video/webm", "audio/webm", "video/x-matroska"), ("webm", "mkv", "mka")),
     ("adts", ((0, "FFF1"),), ("audio/aac",), ("aac", "adts")),
+    *(("adts", ((0, sync),), (), ()) for sync in ("FFF0", "FFF8", "FFF9")),
     ("aiff", ((0, "464F524D"), (8, "41494646")), ("audio/aiff",), ("aif", "aiff")),
     ("caf", ((0, "63616666"),), ("audio/x-caf",), ("caf",)),
     ("ts", ((0, "47"),), ("video/mp2t",), ("ts", "m2ts")),
@@ -81,7 +85,8 @@ def route_container(head: Column, mime: Column, extension: Column) -> Column:
         ok = F.lit(True)
         for at, value in magic:
             ok = ok & (F.substring(text, 2 * at + 1, len(value)) == value)
-        matched = F.coalesce(ok, F.lit(False)) | F.coalesce(F.lower(mime).isin(*mimes), F.lit(False)) | F.coalesce(F.lower(extension).isin(*extensions), F.lit(False))
+        named = [F.coalesce(F.lower(c).isin(*names), F.lit(False)) for c, names in ((mime, mimes), (extension, extensions)) if names]
+        matched = reduce(lambda a, b: a | b, named, F.coalesce(ok, F.lit(False)))
         out = F.when(matched, F.lit(name)).otherwise(out)
     return out
 
@@ -118,5 +123,5 @@ def capabilities(spark: SparkSession) -> DataFrame:
     """The containers this engine reads and writes, as a table."""
     reads = {"mp4", "wav", "mp3", "ogg", "webm", "adts", "aiff", "caf", "ts", "flac"}
     writes = reads | {"avi"}
-    rows = [(i, name, name in reads, name in writes) for i, (name, *_) in enumerate(CONTAINERS)]
+    rows = [(i, name, name in reads, name in writes) for i, name in enumerate(dict.fromkeys(name for name, *_ in CONTAINERS))]
     return spark.createDataFrame(rows, "ordinal int, container string, reads boolean, writes boolean")

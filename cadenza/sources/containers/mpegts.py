@@ -123,7 +123,7 @@ class _Out:
         """One packet with as much of the payload as fits; returns how much."""
         field = b"" if pcr is None and not key else bytes([(0x10 if pcr is not None else 0) | (0x40 if key else 0)])
         if pcr is not None:
-            field += (pcr << 15 | 0x7E00).to_bytes(6, "big")
+            field += ((pcr & (1 << 33) - 1) << 15 | 0x7E00).to_bytes(6, "big")
         room = SIZE - 4 - (1 + len(field) if field else 0)
         n = min(room, len(payload))
         if n < room:

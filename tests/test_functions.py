@@ -182,7 +182,7 @@ def test_plans():
 
 
 def test_tags(spark):
-    df = spark.createDataFrame([({" Album-Artist": "x", "": "gone", "title": "a", "TITLE": "b"},)], "t map<string,string>")
+    df = spark.range(1).select(F.create_map(*[F.lit(x) for x in (" Album-Artist", "x", "", "gone", "title", "a", "TITLE", "b")]).alias("t"))
     assert df.select(tags.normalize_tags(F.col("t")).alias("t")).first().t == {"albumArtist": "x", "title": "b"}
     with pytest.raises(Exception, match="NUL"):
         spark.createDataFrame([({"a": "x\0"},)], "t map<string,string>").select(tags.normalize_tags(F.col("t"))).collect()
