@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from .linear import fit_logistic, predict
+from .store import Scratch
 from .words import ALNUM, U64, Words, hash_word, pack, slices
 
 SAMPLE, FEATURES, FOLDS, THRESHOLD = 6_000, 128, 5, 0.5
@@ -53,16 +54,28 @@ def _features(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each feature of each text."""
     for batch in batches:
         for part in slices(batch, "text"):
-            w = Words(part.column("text"), ALNUM, True, prefixes=True)
-            h, row = _features(w)
-            order = np.argsort(row, kind="stable")
-            edge = np.searchsorted(row[order], np.arange(part.num_rows + 1))
-            h = h[order]
-            sets = [np.unique(h[x:y], return_counts=True) for x, y in zip(edge[:-1], edge[1:], strict=True)]
-            names, times = (pa.array([pack(x) for x in c], pa.binary()) for c in ([s for s, _ in sets], [n.astype(np.uint32) for _, n in sets]))
-            yield pa.RecordBatch.from_arrays([part.column("y"), part.column("fold"), names, times, pa.array(w.counts(), pa.int64())], ["y", "fold", "words", "times", "n"])
+            h, row = _features(Words(part.column("text"), ALNUM, True, prefixes=True))
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), part.column("y").take(pa.array(row[first]))], ["h", "y"])
+
+
+def _counted(words):
+    """How often the chosen words stand in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"), ALNUM, True, prefixes=True)
+                counts = counts_of(words.value, *_features(w), w.rows).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("y"), part.column("fold"), pa.array(w.counts(), pa.int64()), pa.array([pack(c) for c in counts], pa.binary())], ["y", "fold", "n", "counts"])
+
+    return run
 
 
 class Chain:
@@ -78,14 +91,13 @@ class Chain:
         return out
 
 
-def counts_of(words: np.ndarray, h: np.ndarray, row: np.ndarray, rows: int, times: np.ndarray | None = None) -> np.ndarray:
+def counts_of(words: np.ndarray, h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """How often each of the sorted `words` stands in each row."""
     if not len(words) or not len(h):
         return np.zeros((rows, len(words)))
     near = np.minimum(np.searchsorted(words, h), len(words) - 1)
     hit = words[near] == h
-    flat = row[hit] * len(words) + near[hit]
-    return np.bincount(flat, weights=None if times is None else times[hit], minlength=rows * len(words)).reshape(rows, len(words)).astype(np.float64)
+    return np.bincount(row[hit] * len(words) + near[hit], minlength=rows * len(words)).reshape(rows, len(words)).astype(np.float64)
 
 
 def inputs_of(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -93,50 +105,46 @@ def inputs_of(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.hstack([counts > 0, np.log1p(100 * counts / np.maximum(n, 1)[:, None])])
 
 
-def _informative(h: np.ndarray, row: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """The words with the greatest likelihood-ratio statistic among those more common in toxic texts."""
-    names, at = np.unique(h, return_inverse=True)
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    with1 = np.bincount(at, weights=y[row], minlength=len(names))
-    with0 = np.bincount(at, minlength=len(names)) - with1
-
-    def part(a: np.ndarray, n: float, both: np.ndarray, all_: float) -> np.ndarray:
-        expected = both * n / all_
-        return np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(expected, 1e-9)), 0)
-
-    both, all_ = with1 + with0, n1 + n0
-    g = part(with1, n1, both, all_) + part(with0, n0, both, all_) + part(n1 - with1, n1, all_ - both, all_) + part(n0 - with0, n0, all_ - both, all_)
-    g = np.where((with1 * n0 > with0 * n1) & (both >= 3), g, 0)
-    best = np.lexsort((names, -g))[:most]
-    return np.sort(names[best[g[best] > 0]])
+def _informative(texts: DataFrame, n1: int, n0: int, most: int) -> np.ndarray:
+    """The features with the greatest likelihood-ratio statistic among those more common in toxic texts."""
+    found = texts.select("y", "text").mapInArrow(_distinct, "h long, y int").groupBy("h").agg(F.sum("y").alias("a"), F.count("*").alias("b")).where("b >= 3")
+    found = found.where(F.col("a") * n0 > (F.col("b") - F.col("a")) * n1)
+    part = lambda a, n, b: F.when(a > 0, a * F.log(a * (n1 + n0) / (b * n))).otherwise(F.lit(0.0))
+    a, b = F.col("a"), F.col("b")
+    rest = n1 + n0 - b
+    g = part(a, n1, b) + part(b - a, n0, b) + part(n1 - a, n1, rest) + part(n0 - (b - a), n0, rest)
+    rows = found.select("h", F.round(g, 9).alias("g")).orderBy(F.desc("g"), "h").limit(most).collect()
+    return np.sort(np.array([r.h for r in rows], np.int64).view(U64))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
-    prepare(docs.sparkSession)
+    """The chain fitted on labelled documents; the driver holds `sample` rows of about 2 * FEATURES numbers."""
+    spark = prepare(docs.sparkSession)
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     picked = picked.withColumn("h", F.md5(F.col("_id").cast("string").cast("binary"))).orderBy("h", "_id").limit(sample)
     picked = picked.select("_id", "y", F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"))
+    picked = Scratch(spark, "toxicity").table(picked, files=1)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id")  # `sample` rows at most
-    rows = texts.select("y", "fold", "text").mapInArrow(_distinct, "y int, fold int, words binary, times binary, n long").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r.y, r.fold, bytes(r.words)))  # no order of arrival in the fit
-    sets = [np.frombuffer(r.words, U64) for r in rows]
-    y, fold = np.array([r.y for r in rows], np.float64), np.array([r.fold for r in rows])
-    if not len(rows) or not y.any():
+    sizes = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
+    if not sizes.get(1):
         return Chain(np.zeros(0, U64), [np.array([*np.zeros(k), -30.0]) for k in range(len(CHAIN))])
-    h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     seeds = [np.sort(np.array([hash_word(x) for x in SEEDS[c]], U64)) for c in SEEDS]
-    words = np.union1d(_informative(h, row, y, FEATURES), np.concatenate(seeds))
-    times = np.concatenate([np.frombuffer(r.times, np.uint32) for r in rows])
-    x = inputs_of(counts_of(words, h, row, len(sets), times), np.array([r.n for r in rows]))
-    targets = [y * counts_of(s, h, row, len(sets)).any(1) for s in seeds] + [y]
-    links, earlier = [], np.zeros((len(sets), 0))
+    words = np.union1d(_informative(texts, sizes[1], sizes.get(0, 0), FEATURES), np.concatenate(seeds))
+    held = spark.sparkContext.broadcast(words)
+    rows = texts.select("y", "fold", "text").mapInArrow(_counted(held), "y int, fold int, n long, counts binary").limit(2 * sample).collect()
+    rows.sort(key=lambda r: (r.y, r.fold, r.n, bytes(r.counts)))  # no order of arrival in the fit
+    counts = np.stack([np.frombuffer(r.counts, np.float32) for r in rows]).astype(np.float64)
+    y, fold = np.array([r.y for r in rows], np.float64), np.array([r.fold for r in rows])
+    x = inputs_of(counts, np.array([r.n for r in rows]))
+    targets = [y * counts[:, np.isin(words, s)].any(1) for s in seeds] + [y]
+    links, earlier = [], np.zeros((len(rows), 0))
     for target in targets:
         inputs = np.hstack([x, earlier])
         links.append(fit_logistic(inputs, target, l1=L1))
-        out = np.zeros(len(sets))
+        out = np.zeros(len(rows))
         for k in range(FOLDS):
-            held = fold == k
-            out[held] = predict(fit_logistic(inputs[~held], target[~held], l1=L1), inputs[held])
+            left_out = fold == k
+            out[left_out] = predict(fit_logistic(inputs[~left_out], target[~left_out], l1=L1), inputs[left_out])
         earlier = np.hstack([earlier, out[:, None]])
     return Chain(words, links)
 
