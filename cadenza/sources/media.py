@@ -53,7 +53,7 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder as assets; ids are hashes of the URI."""
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    extension = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    extension = F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)$", 1))
     return routed(files.select(F.xxhash64("path").alias("asset_id"), F.col("path").alias("uri"), F.lit(None).cast("string").alias("mime"), name.alias("filename"), F.col("length").alias("size_bytes"), "content"), extension)
 
 
