@@ -5,8 +5,6 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
-import numpy as np
-
 from ...errors import MediaError
 
 
@@ -91,7 +89,7 @@ def us(ticks: float, timescale: float) -> int:
     return math.floor(ticks * 1_000_000 / timescale + 0.5) if timescale > 0 else 0
 
 
-def crc_table(bits: int, poly: int) -> np.ndarray:
+def crc_table(bits: int, poly: int) -> list[int]:
     """Table of a CRC that is not reflected."""
     top, mask = 1 << (bits - 1), (1 << bits) - 1
     out = []

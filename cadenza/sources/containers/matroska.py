@@ -15,7 +15,6 @@ TAGS, TAG, SIMPLETAG, TAGNAME, TAGSTRING, DOCTYPE = 0x1254C367, 0x7373, 0x67C8,
 #: Codec ids and the names used here.
 CODECS = {"V_VP8": "vp8", "V_VP9": "vp9", "V_AV1": "av1", "V_MPEG4/ISO/AVC": "avc1", "V_MPEGH/ISO/HEVC": "hvc1", "A_OPUS": "opus", "A_VORBIS": "vorbis", "A_FLAC": "flac", "A_AAC": "mp4a.40.2", "A_MPEG/L3": "mp3"}
 WEBM_CODECS = ("vp8", "vp9", "av1", "opus", "vorbis")
-MASTERS = {SEGMENT, INFO, TRACKS, ENTRY, VIDEO, AUDIO, CLUSTER, GROUP, TAGS, TAG, SIMPLETAG, EBML}
 TOP = {INFO, TRACKS, CLUSTER, TAGS, 0x114D9B74, 0x1C53BB6B, 0x1043A770, 0x1941A469}
 SPAN_MS = 30_000
 
