@@ -126,8 +126,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     code = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, code, np.zeros((DIMS + 1, 0)), np.zeros((len(languages), 0)))
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
     label = np.array([languages.index(r.lang) for r in rows])
+    x = np.empty((len(rows), DIMS), np.float32)  # 64 MB at most
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r.x, np.float16)
+    del rows
     weights = np.stack([fit_logistic(x, (code[label, k] > 0).astype(np.float64), l2=1e-5, steps=200) for k in range(code.shape[1])], 1)
     right = np.sign(x @ weights[:-1] + weights[-1]) == code[label]
     trust = np.stack([right[label == i].mean(0) for i in range(len(languages))])

@@ -18,20 +18,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4
     """
     n, d = x.shape
     if n:
-        scale = np.sqrt((x * x).mean(0)) + 1e-2
+        scale = (np.sqrt(np.einsum("ij,ij->j", x, x) / n) + 1e-2).astype(x.dtype)
         x = x / scale
     w, z, t = np.zeros(d + 1), np.zeros(d + 1), 1.0
     if not n:
         return w
-    v = np.full(d, 1.0)
+    v = np.full(d, 1.0, x.dtype)
     for _ in range(8):  # the largest eigenvalue of x'x / n
         u = x.T @ (x @ v) / n
         norm = float(np.linalg.norm(u)) or 1.0
-        v = u / norm
+        v = (u / norm).astype(x.dtype)
     rate = 1 / (0.25 * (norm + 1) + l2)
     for _ in range(steps):
-        miss = (sigmoid(x @ z[:d] + z[d]) - y) / n
-        step = z - rate * np.append(x.T @ miss + l2 * z[:d], miss.sum())
+        miss = (sigmoid((x @ z[:d].astype(x.dtype)).astype(np.float64) + z[d]) - y) / n
+        step = z - rate * np.append(x.T @ miss.astype(x.dtype) + l2 * z[:d], miss.sum())
         new = step.copy()
         new[:d] = np.sign(step[:d]) * np.maximum(np.abs(step[:d]) - rate * l1, 0)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
