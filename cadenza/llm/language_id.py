@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from .linear import fit_logistic
-from .words import U64, mix, pack, slices, utf8
+from .words import pack, slices, utf8
 
-DIMS, SAMPLE, EXHAUSTIVE, MARGIN = 4096, 4000, 7, 0.2
+DIMS, SAMPLE, STEPS, EXHAUSTIVE, MARGIN = 1024, 3000, 120, 7, 0.2
+_BITS = DIMS.bit_length() - 1
 _b = np.arange(256)
 _lower = np.where((_b >= 0x41) & (_b <= 0x5A), _b + 32, _b)
 #: Letters in lower case, every other ASCII character as a space.
@@ -39,24 +40,19 @@ def features(column: pa.Array) -> np.ndarray:
     """Square roots of the shares of hashed byte trigrams, a row for each text."""
     data, off = utf8(column)
     x = np.zeros((len(off) - 1, DIMS), np.float32)
-    low = _LETTERS[data].astype(np.uint32)
+    low = np.concatenate([_LETTERS[data], np.full(2, 0x20, np.uint8)]).astype(np.uint32)
+    code = low[:-2] | low[1:-1] << 8 | low[2:] << 16  # from each byte on, over the whole slice
+    bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS)
+    blank = code == 0x202020
     for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-        t = np.concatenate([[0x20], low[a:b], [0x20]]).astype(np.uint32)
-        code = t[:-2] | (t[1:-1] << 8) | (t[2:] << 16)
-        code = code[code != 0x202020]
-        if len(code):
-            names, n = np.unique(code, return_counts=True) if len(code) < 2000 else _counts(code)
-            x[i] = np.bincount((mix(names.astype(U64)) >> U64(52)).astype(np.int64), weights=n, minlength=DIMS)
-            x[i] = np.sqrt(x[i] / len(code))
+        end = max(a, b - 2)  # trigrams inside the text
+        n = np.bincount(bucket[a:end][~blank[a:end]], minlength=DIMS)
+        total = int(n.sum())
+        if total:
+            x[i] = np.sqrt(n / total)
     return x
 
 
-def _counts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.bincount(code)
-    names = np.flatnonzero(n)
-    return names, n[names]
-
-
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -127,11 +123,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     if len(languages) < 2:
         return Model(languages, code, np.zeros((DIMS + 1, 0)), np.zeros((len(languages), 0)))
     label = np.array([languages.index(r.lang) for r in rows])
-    x = np.empty((len(rows), DIMS), np.float32)  # 64 MB at most
+    x = np.empty((len(rows), DIMS), np.float32)  # DIMS numbers a row
     for i, r in enumerate(rows):
         x[i] = np.frombuffer(r.x, np.float16)
     del rows
-    weights = np.stack([fit_logistic(x, (code[label, k] > 0).astype(np.float64), l2=1e-5, steps=200) for k in range(code.shape[1])], 1)
+    weights = np.stack([fit_logistic(x, (code[label, k] > 0).astype(np.float64), l2=1e-5, steps=STEPS) for k in range(code.shape[1])], 1)
     right = np.sign(x @ weights[:-1] + weights[-1]) == code[label]
     trust = np.stack([right[label == i].mean(0) for i in range(len(languages))])
     trust = trust / np.maximum(trust.sum(1, keepdims=True), 1e-9) * code.shape[1]
