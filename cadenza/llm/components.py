@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star, on DataFrames.
 
-Each step takes the smallest neighbour by a grouped minimum, which is pre-aggregated, and joins it back,
-which AQE splits where one node has very many links. Edges never leave the cluster: the driver sees one
-row of sums per round, which tells whether the edges have changed.
+Each step takes the smallest neighbour by a grouped minimum, which is pre-aggregated, and writes it as a
+table of one row a node; the join that brings it back to the edges then reads both sides from fresh
+exchanges, which AQE can split where one node has very many links (it can't above an aggregate). Edges
+never leave the cluster: the driver sees one row of sums per round, which tells whether they have changed.
 """
 
 from __future__ import annotations
@@ -13,19 +14,21 @@ from pyspark.sql import functions as F
 from .store import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Every larger neighbour v of u is linked to the least of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    linked = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return scratch.table(linked.where("u != v").distinct(), edges, least)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """u (the larger end of each edge) and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.table(down.groupBy("u").agg(F.min("v").alias("m")))
     across = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return across.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+    linked = across.unionByName(least.select("u", F.col("m").alias("v")))
+    return scratch.table(linked.where("u != v").distinct(), edges, least)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,8 +44,7 @@ def components(edges: DataFrame, scratch: Scratch, drop_input: bool = False) ->
     edges = scratch.table(edges.select("u", "v").where("u != v").distinct(), *([source] if drop_input else []))
     before = _state(edges)
     while True:
-        large = scratch.table(_large_star(edges), edges)
-        edges = scratch.table(_small_star(large), large)
+        edges = _small_star(_large_star(edges, scratch), scratch)
         after = _state(edges)
         if after == before:
             return edges

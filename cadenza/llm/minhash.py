@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = scratch.table(sketch.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n")))
     named = nodes.where("node is not null")
     keys = named.select("node", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").select("key", "hub")
+    hubs = scratch.table(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").select("key", "hub"))
     stars = keys.join(hubs, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     roots = components(stars, scratch)
     family = roots.select(F.col("u").alias("node"), F.col("v").alias("fam")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("fam")).distinct())
