@@ -2,7 +2,7 @@
 
 *Writing.* Of records with equal payloads the one with the smallest page id is a `response`, the others
 are `revisit` records that name it. Equal payloads are found by SHA-1 and length: a grouped minimum,
-pre-aggregated, is joined back, and AQE splits the join where one payload is very common. A task streams
+pre-aggregated, is written and joined back, and AQE splits the join where one payload is very common. A task streams
 its rows into archives of about `ROLL` bytes in the shared folder; the returned manifest names only the
 archives of tasks that finished, so a retried task leaves no record twice.
 
@@ -103,7 +103,7 @@ def write_warc(pages: DataFrame, scratch: Scratch, folder: str, id_col: str = "p
     make_folder(spark, folder)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("html")).withColumns({"sha1": F.sha1("html"), "n": F.octet_length("html")})
-    first = rows.groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = scratch.table(rows.groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
     lead = rows.join(first, ["sha1", "n"], "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return scratch.table(lead.select("page_id", "url", "html", "sha1", refers.alias("refers_to")).mapInArrow(_write(qualified(spark, folder), roll), "archive string, records long, bytes long"))
