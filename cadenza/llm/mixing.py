@@ -28,6 +28,7 @@ SPACES = "\t\n\x0b\f\r "
 LEVELS = ("domain", "lang", "source")
 #: Production parameters: share of all tokens to draw, epochs allowed, weights by level (others weigh 1).
 PERCENT, EPOCHS, SEED = 80, 2, "mix-1"
+SALTS = 64
 WEIGHTS: dict[str, dict[str, int]] = {"domain": {"d0": 3, "d1": 3, "d2": 2, "d3": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {}}
 
 
@@ -94,7 +95,10 @@ def draw(rows: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent:
     budgets = leaf_budgets(leaves, weights, percent, epochs)
     # A leaf without tokens has no budget to divide.
     budgets = budgets.withColumn("_epochs", F.when(F.col("leaf_tokens") > 0, F.expr("leaf_budget div leaf_tokens")).otherwise(F.lit(0)))
-    rows = rows.join(budgets, list(LEVELS)).withColumn("_order", seeded(seed, "_epochs", "id", tie))
+    # Salted, or the rows of a large leaf would all be dealt to one task here and stay there.
+    budgets = budgets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id", tie), F.lit(SALTS)).cast("int")).join(budgets, [*LEVELS, "_salt"]).drop("_salt")
+    rows = rows.withColumn("_order", seeded(seed, "_epochs", "id", tie))
     ranked = running(rows, list(LEVELS), "_order", F.col("n_tokens"), [])
     rest = F.col("leaf_budget") - F.col("_epochs") * F.col("leaf_tokens")
     part = F.when((rest > 0) & (F.col("before") + F.col("n_tokens") <= rest), F.lit(1)).otherwise(F.lit(0))
