@@ -5,8 +5,8 @@ document (raw corpus), another over trusted documents (target). A document's sco
 n-grams of log p_target - log p_raw, in whole millionths so that it doesn't depend on the order of
 addition, divided by its n-grams. A fixed threshold decides on every document.
 
-DataFrame functions only. The target is a sample of trusted rows of at most `TARGET_DOCS`, the lowest by a
-hash of the id, which bounds the join that finds them; raw counts have no bound. The model is one array
+DataFrame functions only. The target is every document with a trusted id; a shuffled join, which grows with
+both tables, marks them before the bucket counts, and neither count has a bound. The model is one array
 of BUCKETS numbers, read as a scalar subquery. Scoring and all base counts are one projection over
 the texts with no exchange.
 
@@ -25,7 +25,6 @@ from .mixing import SPACES
 from .store import Scratch
 
 BUCKETS = 1 << 14
-TARGET_DOCS = 20_000
 THRESHOLD = -42_000
 
 
@@ -68,11 +67,12 @@ def base_counts(rows: DataFrame) -> DataFrame:
     ).drop("_lines", "_triples", "_at")
 
 
-def fit(docs: DataFrame, trusted: DataFrame, target_docs: int = TARGET_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row: `model`, an array of BUCKETS log ratios in millionths (no row's n-grams ever meet)."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("words", _words(F.col("text")))
-    picked = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(target_docs)
-    marked = texts.join(F.broadcast(picked.withColumn("_t", F.lit(1))), "_id", "left")  # target_docs rows at most
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    picked = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
+    marked = texts.join(picked.withColumn("_t", F.lit(1)).hint("shuffle_hash"), "_id", "left")  # never broadcast: the ids grow with the corpus
+    marked = marked.select("_t", _words(F.col("text")).alias("words"))  # split only here: texts take less than half the shuffle of their words
     counts = marked.select("_t", F.explode(_grams("words")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
     buckets = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     full = buckets.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))

@@ -187,6 +187,12 @@ def test_quality_score(spark, docs, rows, small):
         assert got[i].kept == (not got[i].base_failed and got[i].score >= quality_rules.THRESHOLD)
 
 
+def test_quality_target_is_whole(spark):
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    model = quality_rules.fit(docs, docs.select("doc_id").union(docs.select("doc_id"))).first().model
+    assert set(model) == {0}  # every document is trusted, so target and raw counts are the same
+
+
 def test_sharding(table):
     out = sharding.interleave(table).collect()
     assert len(out) == table.count()
