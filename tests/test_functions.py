@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -218,3 +219,28 @@ def test_hls_assembly(spark):
     live = spark.createDataFrame([(1, text.replace("#EXT-X-ENDLIST", ""))], "asset_id bigint, text string")
     with pytest.raises(Exception, match="live"):
         manifest.assemble(manifest.segments(live), bodies, keys).collect()
+
+
+def test_sample_decryption_reads_whole_texts(spark, tmp_path):
+    from cadenza.plans import queries_functions as qf
+
+    texts = [None, "", "a", "ab", "x" * 20, "y" * 5000, "".join(chr(97 + i * i % 26) for i in range(70_001))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    iv = qf._IV[:8] + bytes(8)
+
+    def one_by_one(data, pattern):
+        out, last = data[:1], iv
+        for k, at in enumerate(range(1, len(data), 16)):
+            block = data[at : at + 16]
+            if pattern and len(block) == 16 and k % 10 == 0:
+                got = crypto.decrypt_blocks(qf._KEY, np.frombuffer(block, np.uint8)[None])[0].tobytes()
+                block, last = bytes(a ^ b for a, b in zip(got, last, strict=True)), block
+            elif not pattern:
+                counter = iv[:8] + k.to_bytes(8, "big")
+                block = bytes(a ^ b for a, b in zip(block, crypto.encrypt_blocks(qf._KEY, np.frombuffer(counter, np.uint8)[None])[0].tobytes(), strict=False))
+            out += block
+        return hashlib.md5(out).hexdigest()
+
+    for name, pattern in (("aes_ctr", False), ("aes_cbc_pattern", True)):
+        got = {r.doc_id: r.md5 for r in qf.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {i: None if t is None else one_by_one(t.encode(), pattern) for i, t in enumerate(texts)}
