@@ -1,23 +1,29 @@
 """Near-duplicate documents: minima of many universal hashes, bands, signature check, full check, stars.
 
 1. Each text becomes the set of its distinct shingles. Texts with equal sets are one node from here on,
-   named by their smallest id, so a group of exact copies costs one row.
-2. `HASHES` universal hashes give a signature; bands of it give bucket keys. Every bucket is linked as a
-   star to its smallest node, never as pairs, and alternating large-star and small-star turn the stars
-   into families. Bands are as long as they may be while two sets at the threshold share no bucket,
-   and so may fall into different families, with a chance of less than `MISS`: for 0.85 there are
-   32 bands of 6 and the chance is (1 - 0.85 ** 6) ** 32 < 3e-7.
-3. A family goes to one task in full; one of more than `BLOCK` shingles or `BLOCK_ROWS` nodes is cut into
-   blocks, and each pair of blocks goes to a task: exact, and in bounded memory whatever its size. In
-   the task, signatures drop what is far below the threshold (6 standard deviations), full sets
-   decide, and two nodes that confirmed links already connect are not compared again.
-   So a task returns fewer links than it has nodes.
-4. The stars run once more over the confirmed links.
+   named by 64 bits of a hash of the set, so a group of exact copies costs one row.
+2. `HASHES` universal hashes give a signature; bands of it give bucket keys. Two nodes are compared where
+   they share a bucket. Bands are as long as they may be while two sets at the threshold share no
+   bucket with a chance of less than `MISS`: for 0.85 there are 32 bands of 6 and the chance is
+   (1 - 0.85 ** 6) ** 32 < 3e-7.
+3. *Hub rounds.* Every node is compared with one hub, the least node of its buckets; confirmed links are
+   contracted by alternating large-star and small-star; then every component is compared with the least
+   component it shares a bucket with, once. That is one comparison a node, however large a group of
+   copies is, and the nodes of a hub are dealt in chunks.
+4. *The rest, exactly.* Buckets that still hold nodes of several components are linked as stars into
+   families. A family of more than `BLOCK` shingles or `BLOCK_ROWS` nodes is cut into blocks, and each
+   pair of blocks goes to a task: bounded memory whatever its size. There, nodes of one component, and
+   nodes without a common bucket, are not compared.
+5. The stars run once more over all confirmed links.
+
+A comparison drops by signature what is far below the threshold (6 standard deviations); full sets decide.
+So a task returns fewer links than it has nodes, and pairs are never rows.
 
 Defined results: null or wordless texts have an empty set and link with nothing; fewer words than a
-shingle make the whole sequence the one shingle; rows without id are linked but never name a component,
-and are kept only where their component has no id at all; rows that share an id are one node; an empty
-table gives an empty table. Only the id and text columns are read.
+shingle make the whole sequence the one shingle; rows without id are linked like others but never name a
+component, and are kept only where their component has no id at all; rows that share an id (and have words)
+are in one component; an empty table gives an empty table. Only the id and text columns are read. Of two
+different sets one may be taken for the other with a chance of 2 ** -64 a pair.
 """
 
 from __future__ import annotations
@@ -32,12 +38,14 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from .components import components
+from .rows import named, one_of_each, same
 from .store import Scratch
 from .words import SPACED, U64, Words, mix, pack, ragged, rolling, slices
 
 SHINGLE = 5
 HASHES, MISS = 192, 1e-6
 BLOCK, BLOCK_ROWS = 4 << 20, 4096
+HUB_ROWS, HUB_ROUNDS = 512, 2
 #: a * x + b modulo 2 ** 32, a odd
 _A = (mix(np.arange(1, HASHES + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, HASHES + 1001, dtype=U64)) >> U64(32)).astype(np.uint32)
@@ -78,6 +86,18 @@ def bands_of(percent: int) -> int:
     return max([r for r in range(1, 13) if (1 - p**r) ** (HASHES // r) < MISS], default=1)
 
 
+def band_keys(sig: np.ndarray, wide: int) -> np.ndarray:
+    """rows x bands bucket keys of HASHES x rows minima."""
+    bands = HASHES // wide
+    keys = np.empty((sig.shape[1], bands), U64)
+    for b in range(bands):
+        key = np.full(sig.shape[1], U64(b + 1))
+        for k in range(b * wide, (b + 1) * wide):
+            key = mix(key * U64(0x9E3779B97F4A7C15) + sig[k])
+        keys[:, b] = key
+    return keys
+
+
 def _sketch(size: int, wide: int):
     bands = HASHES // wide
 
@@ -87,23 +107,15 @@ def _sketch(size: int, wide: int):
                 w = Words(part.column("text"), SPACED, True)
                 h, n = _shingles(w, size)
                 edge = np.concatenate([[0], np.cumsum(n)])
-                distinct, fp = [], []
+                distinct, node = [], []
                 for x, y in zip(edge[:-1], edge[1:], strict=True):
                     u = np.unique(h[x:y])
                     distinct.append(len(u))
-                    fp.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
+                    node.append(int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "big", signed=True) if len(u) else None)
                 full = np.flatnonzero(n)
-                keys = np.zeros((0, bands), np.int64)
-                if len(full):
-                    sig = signatures(h, n[full]).astype(U64)
-                    keys = np.empty((len(full), bands), np.int64)
-                    for b in range(bands):
-                        key = np.full(len(full), U64(b + 1))
-                        for k in range(b * wide, (b + 1) * wide):
-                            key = mix(key * U64(0x9E3779B97F4A7C15) + sig[k])
-                        keys[:, b] = key.view(np.int64)
-                lists = ragged(keys.reshape(-1), np.where(n > 0, bands, 0), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(distinct, pa.int64()), pa.array(fp, pa.binary()), lists], ["id", "n", "fp", "bands"])
+                keys = band_keys(signatures(h, n[full]).astype(U64), wide) if len(full) else np.zeros((0, bands), U64)
+                lists = ragged(keys.reshape(-1).view(np.int64), np.where(n > 0, bands, 0), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(distinct, pa.int64()), pa.array(node, pa.int64()), lists], ["id", "key", "n", "node", "bands"])
 
     return run
 
@@ -113,28 +125,30 @@ def _exact(a: int, marks: np.ndarray, ids: list[np.ndarray], b: int, percent: in
     return 100 * both >= percent * (len(ids[a]) + len(ids[b]) - both)
 
 
-def _confirm(names: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what similar sets connect; sides 0 and 1 are compared with each other only."""
+def _confirm(names: np.ndarray, side: np.ndarray, joined: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what similar sets connect; sides 0 and 1 are compared with each other only.
+
+    Rows with equal `joined` are connected already."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    sig = np.ascontiguousarray(signatures(np.concatenate(sets), size).T)
+    sig = signatures(np.concatenate(sets), size)
+    keys = band_keys(sig.astype(U64), bands_of(percent))
+    sig = np.ascontiguousarray(sig.T)
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     edge = np.concatenate([[0], np.cumsum(size)])
     ids = [flat[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
     marks = np.zeros(int(flat.max()) + 1, bool)
     p = percent / 100
     least = int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5)
-    _, part = np.unique(names, return_inverse=True)  # rows of one id are one node
+    _, part = np.unique(joined, return_inverse=True)
     across = len(np.unique(side)) > 1
     out = []
     for i in range(n - 1):
-        rest = np.arange(i + 1, n)
-        ok = (part[rest] != part[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
+        ok = (part[i + 1 :] != part[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i]))
         if across:
-            ok &= side[rest] != side[i]
-        rest = rest[ok]
-        if not len(rest):
-            continue
+            ok &= side[i + 1 :] != side[i]
+        rest = i + 1 + np.flatnonzero(ok)
+        rest = rest[(keys[rest] == keys[i]).any(1)]
         rest = rest[(sig[rest] == sig[i]).sum(1) >= least]
         if not len(rest):
             continue
@@ -148,21 +162,19 @@ def _confirm(names: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percen
 
 
 def _families(size: int, percent: int):
-    """Rows come sorted by family and blocks; one family, or one pair of its blocks, is held at a time."""
+    """Rows come sorted by group and blocks; one group, or one pair of its blocks, is held at a time."""
 
     def links(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         table = pa.Table.from_batches(rows)
-        names, side, sets = [], [], []
+        sets: list[np.ndarray] = []
         x, y = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         for batch in table.to_batches():
             for part in slices(batch, "text"):
                 sets += _sets(Words(part.column("text"), SPACED, True), size)
-                names += part.column("id").to_pylist()
-                side += part.column("block").to_pylist()
-        full = [k for k, s in enumerate(sets) if len(s)]
-        if len(full) < 2:
+        if len(sets) < 2:
             return []
-        return _confirm(np.array(names)[full], (np.array(side)[full] == y).astype(int) if x != y else np.zeros(len(full), int), [sets[k] for k in full], percent)
+        names, joined, block = (np.asarray(table.column(c)) for c in ("node", "comp", "block"))
+        return _confirm(names, (block == y).astype(int) if x != y else np.zeros(len(names), int), joined, sets, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -188,35 +200,107 @@ def _families(size: int, percent: int):
     return run
 
 
+def _compared(placed: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (u, v) within the groups of `placed` (node, comp, fam, i, j, block)."""
+    placed = scratch.table(placed.join(nodes.select("node", "rep"), "node").select("node", "comp", "fam", "i", "j", "block", "rep.id", "rep.key"))
+    members = texts.join(placed, same(texts, placed)).select("fam", "i", "j", "block", "node", "comp", "text")
+    parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = members.repartition(parts, "fam", "i", "j").sortWithinPartitions("fam", "i", "j")
+    return scratch.table(dealt.mapInArrow(_families(shingle, percent), "u long, v long"), placed)
+
+
+def _roots(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, comp) of every node that has a link."""
+    found = components(links, scratch)
+    both = found.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    return scratch.table(both, found)
+
+
+def _in_buckets(members: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(key, comp, node): the members of buckets that hold two components or more."""
+    if roots is not None:
+        members = members.join(roots, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "node")
+    members = scratch.table(members)
+    open_ = scratch.table(members.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key"))
+    return scratch.table(members.join(open_, "key", "left_semi"), members, open_)
+
+
+def _to_hubs(members: DataFrame) -> DataFrame:
+    """(node, comp, hub): for each component, one pair of nodes that ties it to the least component it shares a bucket with."""
+    in_bucket = members.groupBy("key", "comp").agg(F.min("node").alias("node"))
+    hubs = members.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("hub"))
+    pairs = in_bucket.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
+    best = pairs.groupBy("comp").agg(F.min(F.struct(F.col("hub.comp").alias("c"), F.col("hub.node").alias("hub"), "node")).alias("p"))
+    return best.select("p.node", "comp", "p.hub")
+
+
+def _hub_groups(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each hub with its nodes in chunks of about HUB_ROWS rows and BLOCK shingles."""
+    pairs = scratch.table(pairs.join(nodes.select("node", "n"), "node"))
+    chunks = scratch.table(pairs.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(HUB_ROWS))).cast("int").alias("chunks")))
+    # The hub is block 0 and the chunks are 1, 2, ..., so that only the hub and the others are compared.
+    chunk = (F.pmod(F.xxhash64("node"), F.col("chunks")) + 1).cast("int")
+    spokes = pairs.join(chunks, "hub").select("node", "comp", F.col("hub").alias("fam"), F.lit(0).alias("i"), chunk.alias("j"), chunk.alias("block"))
+    centres = chunks.select(F.col("hub").alias("node"), F.col("hub").alias("comp"), F.col("hub").alias("fam"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), F.col("chunks"))).alias("j"), F.lit(0).alias("block"))
+    return spokes.unionByName(centres)
+
+
+def _family_groups(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The families of the buckets that are left, in blocks."""
+    hubs = scratch.table(members.groupBy("key").agg(F.min("node").alias("hub")))
+    stars = members.join(hubs, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    family = _roots(stars, scratch).withColumnRenamed("comp", "fam")
+    family = scratch.table(family.join(nodes.select("node", "n"), "node").join(members.select("node", "comp").distinct(), "node"), hubs)
+    blocks = scratch.table(family.groupBy("fam").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_ROWS))).cast("int").alias("blocks")))
+    placed = family.join(blocks, "fam").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.select("node", "comp", "fam", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return placed.select("node", "comp", "fam", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+
+
+def linked_rows(rows: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """(id, key, n, root, component_id) of each row of (id, key, text), where id and key tell rows apart.
+
+    `n` is the size of the set, `root` names the component (null: an empty set), `component_id` is its least id."""
+    spark = prepare(rows.sparkSession)
+    scratch = Scratch(spark, "minhash")
+    sketch = scratch.table(rows.mapInArrow(_sketch(shingle, bands_of(percent)), "id long, key long, n long, node long, bands array<long>"))
+    worded = sketch.where("node is not null")
+    repeated = scratch.table(worded.groupBy("id", "key").agg(F.count("*").alias("c")).where("c > 1").select("id", "key"))
+    texts = one_of_each(rows.where("text is not null"), repeated)
+    rep = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("rep")
+    nodes = scratch.table(worded.groupBy("node").agg(rep, F.min("id").alias("min_id"), F.first("bands").alias("bands"), F.first("n").alias("n")))
+    # Rows of one id are one document.
+    ids = scratch.table(worded.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("id", "a"))
+    links = scratch.table(worded.select("id", "node").join(ids, "id").where("node != a").select(F.col("node").alias("u"), F.col("a").alias("v")).distinct(), ids)
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    shared = scratch.table(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key"))
+    members = scratch.table(keys.join(shared, "key", "left_semi").select("key", F.col("node").alias("comp"), "node"), shared)
+    left = members
+    for _ in range(HUB_ROUNDS):
+        if left.isEmpty():
+            break
+        found = _compared(_hub_groups(_to_hubs(left), nodes, scratch), nodes, texts, scratch, shingle, percent)
+        links = scratch.table(links.unionByName(found), links, found)
+        left = _in_buckets(members.select("key", "node"), _roots(links, scratch), scratch)
+    if not left.isEmpty():
+        found = _compared(_family_groups(left, nodes, scratch), nodes, texts, scratch, shingle, percent)
+        links = scratch.table(links.unionByName(found), links, found)
+    roots = _roots(links, scratch)
+    least = scratch.table(roots.join(nodes.select("node", "min_id"), "node").groupBy("comp").agg(F.min("min_id").alias("component_id")))
+    labels = scratch.table(roots.join(least, "comp"), roots, least)
+    known = nodes.select("node", "min_id").join(labels, "node", "left")
+    known = scratch.table(known.select("node", F.coalesce("comp", "node").alias("root"), F.when(F.col("comp").isNull(), F.col("min_id")).otherwise(F.col("component_id")).alias("component_id")), labels)
+    out = sketch.select("id", "key", "n", "node").join(known, "node", "left")
+    return out.select("id", "key", "n", "root", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: (id_col, n_shingles, component_id, kept).
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets.
     """
-    spark = prepare(docs.sparkSession)
-    scratch = Scratch(spark, "minhash")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = scratch.table(rows.mapInArrow(_sketch(shingle, bands_of(percent)), "id long, n long, fp binary, bands array<long>"))
-    nodes = scratch.table(sketch.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n")))
-    named = nodes.where("node is not null")
-    keys = named.select("node", F.explode("bands").alias("key"))
-    hubs = scratch.table(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").select("key", "hub"))
-    stars = keys.join(hubs, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    roots = components(stars, scratch)
-    family = roots.select(F.col("u").alias("node"), F.col("v").alias("fam")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("fam")).distinct())
-    family = family.join(named.select("node", "n").groupBy("node").agg(F.sum("n").alias("n")), "node")
-    blocks = family.groupBy("fam").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_ROWS))).cast("int").alias("blocks"))
-    placed = family.join(blocks, "fam").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.select("node", "fam", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = scratch.table(placed.select(F.col("node").alias("id"), "fam", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    members = rows.where("text is not null").join(placed, "id")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = members.repartition(parts, "fam", "i", "j").sortWithinPartitions("fam", "i", "j")
-    links = scratch.table(dealt.select("fam", "i", "j", "block", "id", "text").mapInArrow(_families(shingle, percent), "u long, v long"), placed, roots)
-    final = components(links, scratch, drop_input=True)
-    named = nodes.select("fp", "node").join(final.select(F.col("u").alias("node"), "v"), "node", "left").select("fp", F.coalesce("v", "node").alias("component_id"))
-    linked = sketch.select("id", "n", "fp").join(named, "fp", "left")
-    linked = linked.select("id", "n", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    text = named(text_col).cast("string")
+    linked = linked_rows(docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text")), percent, shingle)
     kept = F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
     return linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 

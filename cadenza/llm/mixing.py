@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import running, seeded
+from .rows import keyed, named, take
 from .store import Scratch
 
 SPACES = "\t\n\x0b\f\r "
@@ -89,7 +90,7 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], percent:
     return leaves.join(budgets.drop("_root"), list(LEVELS)).select(*LEVELS, F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"))
 
 
-def draw(rows: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS, seed: str = SEED, tie: str = "tie") -> DataFrame:
+def draw(rows: DataFrame, scratch: Scratch, weights: dict[str, dict[str, int]] = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS, seed: str = SEED, tie: str = "tie") -> DataFrame:
     """Adds leaf_tokens, leaf_budget and copies to rows of (id, LEVELS, n_tokens, tie); `tie` tells rows apart."""
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, percent, epochs)
@@ -99,38 +100,38 @@ def draw(rows: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent:
     budgets = budgets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id", tie), F.lit(SALTS)).cast("int")).join(budgets, [*LEVELS, "_salt"]).drop("_salt")
     rows = rows.withColumn("_order", seeded(seed, "_epochs", "id", tie))
-    ranked = running(rows, list(LEVELS), "_order", F.col("n_tokens"), [])
+    ranked = running(rows, list(LEVELS), "_order", F.col("n_tokens"), scratch)
     rest = F.col("leaf_budget") - F.col("_epochs") * F.col("leaf_tokens")
     part = F.when((rest > 0) & (F.col("before") + F.col("n_tokens") <= rest), F.lit(1)).otherwise(F.lit(0))
     return ranked.withColumn("copies", (F.col("_epochs") + part).cast("long")).drop("_epochs", "_order", "before", "total")
 
 
-def _leaf_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, domain: Column | None) -> list[Column]:
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    return [
-        F.col(id_col).alias("id"),
-        (domain_of(source) if domain is None else F.coalesce(domain.cast("string"), F.lit(""))).alias("domain"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-        source.alias("source"),
-        word_count(F.col(text_col).cast("string")).alias("n_tokens"),
-        F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("tie"),
-    ]
-
-
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, **settings) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, tie_col: str | None = None, **settings) -> DataFrame:
     """One row per document: (id_col, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, copies, tie).
 
-    `copies` is how many of the drawn epochs hold the document, 0 if none; `tie` is md5(text).
+    `copies` is how many of the drawn epochs hold the document, 0 if none; `tie` tells rows of one id apart:
+    `tie_col`, else md5(text). Only these rows are drawn from; no text goes through the exchanges.
     """
-    rows = docs.select(*_leaf_rows(docs, id_col, text_col, lang_col, source_col, domain))
-    rows = Scratch(docs.sparkSession, "mixing").table(rows)
-    return draw(rows, **settings).withColumnRenamed("id", id_col)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    text, source = named(text_col).cast("string"), F.coalesce(named(source_col).cast("string"), F.lit(""))
+    rows = docs.select(
+        named(id_col).alias("id"),
+        (domain_of(source) if domain is None else F.coalesce(domain.cast("string"), F.lit(""))).alias("domain"),
+        F.coalesce(named(lang_col).cast("string"), F.lit("")).alias("lang"),
+        source.alias("source"),
+        word_count(text).alias("n_tokens"),
+        (F.md5(F.coalesce(text, F.lit("")).cast("binary")) if tie_col is None else named(tie_col)).alias("tie"),
+    )
+    return draw(scratch.table(rows), scratch, **settings).withColumnRenamed("id", id_col)
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, **settings) -> DataFrame:
     """The drawn documents with their own columns, each as often as it is drawn."""
-    rows = docs.select(*_leaf_rows(docs, id_col, text_col, lang_col, source_col, domain), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return draw(rows, **settings).where("copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"), "_doc").select("_doc.*")
+    given = {} if domain is None else {"domain": domain}
+    rows = keyed(docs, id_col, text=named(text_col), lang=named(lang_col), source=named(source_col), **given)
+    drawn = mix_sources(rows, id_col="id", domain=F.col("domain") if given else None, tie_col="key", **settings)
+    counts = drawn.groupBy("id", "tie").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).withColumnRenamed("tie", "key")
+    return take(rows, counts, Scratch(docs.sparkSession, "mixed"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ Both rankings are bucketed (see `prefix`): no source and no shard is ever sorted
 
 Defined results: a null source is a stratum of its own; null texts have size 1; rows without id or
 repeated are placed one by one, and equal rows are interchangeable; fewer rows than shards leave shards
-empty; an empty table gives an empty table. Input columns whose names start with `_shard_` are not allowed.
+empty; an empty table gives an empty table. The row travels as a struct, so its columns may have any names;
+input columns called `shard` or `slot` are replaced.
 """
 
 from __future__ import annotations
@@ -17,34 +18,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import running, seeded
+from .rows import named
 
 SHARDS, SEED, SLICES = 16, "shard-1", 4096
 
 
-def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """`docs` with `shard` (0 to shards - 1) and `slot` (from 0, gapless in a shard)."""
-    rows = docs.withColumn("_shard_source", F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
-    rows = rows.withColumn("_shard_key", seeded(seed, id_col, F.xxhash64(F.col(text_col).cast("string"))))
-    ranked = running(rows, ["_shard_source"], "_shard_key", F.lit(1), [])
-    ranked = ranked.withColumn("_shard_at", (2 * F.col("before") + 1) / (2 * F.col("total"))).drop("before", "total")
-    ranked = ranked.withColumn("_shard_slice", F.floor(F.col("_shard_at") * SLICES).cast("int"))
-    counts = ranked.groupBy("_shard_slice").agg(F.count("*").alias("_shard_n"))  # SLICES rows at most, whatever the input
+def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", tie_col: str = "text", source_col: str = "source") -> DataFrame:
+    """`docs` with `shard` (0 to shards - 1) and `slot` (from 0, gapless in a shard).
+
+    Rows of a source are ordered by the MD5 of seed, id and the CRC-32 of `tie_col`, which tells rows of one id apart."""
+    tie = F.crc32(F.coalesce(named(tie_col).cast("string"), F.lit("")).cast("binary"))
+    source = F.coalesce(F.concat(F.lit("="), named(source_col).cast("string")), F.lit(""))
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*[named(c).alias(c) for c in kept]).alias("row"), source.alias("source"), seeded(seed, named(id_col), tie).alias("key"))
+    ranked = running(rows, ["source"], "key", F.lit(1))
+    ranked = ranked.withColumn("at", (2 * F.col("before") + 1) / (2 * F.col("total"))).drop("before", "total")
+    ranked = ranked.withColumn("slice", F.floor(F.col("at") * SLICES).cast("int"))
+    counts = ranked.groupBy("slice").agg(F.count("*").alias("n"))  # SLICES rows at most, whatever the input
     counts = counts.select(
-        "_shard_slice",
-        F.coalesce(F.sum("_shard_n").over(Window.orderBy("_shard_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shard_offset"),
-        F.sum("_shard_n").over(Window.partitionBy(F.lit(0))).alias("_shard_all"),
+        "slice",
+        F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+        F.sum("n").over(Window.partitionBy(F.lit(0))).alias("every"),
     )
-    order = Window.partitionBy("_shard_slice").orderBy("_shard_at", "_shard_source", "_shard_key")
-    placed = ranked.join(F.broadcast(counts), "_shard_slice").withColumn("_shard_pos", F.col("_shard_offset") + F.row_number().over(order) - 1)
-    shard = F.expr(f"cast((_shard_pos * {shards}) div _shard_all as int)")
-    first = F.expr(f"(shard * _shard_all + {shards - 1}) div {shards}")
-    placed = placed.withColumn("shard", shard).withColumn("slot", F.col("_shard_pos") - first)
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", F.col("slot").cast("long").alias("slot"))
+    order = Window.partitionBy("slice").orderBy("at", "source", "key")
+    placed = ranked.join(F.broadcast(counts), "slice").withColumn("pos", F.col("offset") + F.row_number().over(order) - 1)
+    placed = placed.withColumn("shard", F.expr(f"cast((pos * {shards}) div every as int)"))
+    first = F.expr(f"(shard * every + {shards - 1}) div {shards}")
+    return placed.select("row.*", "shard", (F.col("pos") - first).cast("long").alias("slot"))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = interleave(rows, text_col="text_crc32")
+    rows = docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text.alias("text"))
+    out = interleave(rows)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -25,9 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import prepare
 from .linear import fit_logistic, predict
+from .rows import named
 from .store import Scratch
 from .words import ALNUM, U64, Words, hash_word, pack, slices
 
@@ -164,8 +166,8 @@ def _score(chain):
 def score_toxicity(docs: DataFrame, chain: Chain, carry: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(row, p_<category> ..., is_toxic), where `row` is a struct of the columns in `carry`."""
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    kinds = f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"p_{c} double" for c in CHAIN)
+    rows = docs.select(F.struct(*[named(c).alias(c) for c in carry]).alias("row"), named(text_col).cast("string").alias("text"))
+    kinds = StructType([rows.schema["row"], *(StructField(f"p_{c}", DoubleType()) for c in CHAIN)])
     scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(chain)), kinds)
     return scored.withColumn("is_toxic", F.col("p_toxic") >= threshold)
 

@@ -186,3 +186,83 @@ def test_stages_on_odd_rows(spark, odd, empty, small):
         assert stage(spark, empty, small).collect() == []
     kept = stages.drop_near_duplicates(spark, odd, small).collect()
     assert len([x for x in kept if x.doc_id == 1]) == 1 and not [x for x in kept if x.doc_id in (2, 9, 11)]
+
+
+CLASH = ["total", "before", "slot", "_b", "_v", "_o", "my col", "row", "key", "id", "th", "n", "root", "shard", "copies", "a`b", "x.y", "fam", "node"]
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    out = odd
+    for i, c in enumerate(CLASH):
+        out = out.withColumn(c, F.lit(i))
+    return out.withColumn("bag", F.create_map(F.lit("k"), F.col("lang")))
+
+
+def test_stages_with_clashing_names(spark, clashing, small):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clashing, small)
+        mine = [c for c in clashing.columns if c not in ("shard", "slot")] if name == "sharding" else clashing.columns
+        assert set(out.columns) == {*clashing.columns}
+        quoted = ["`" + c.replace("`", "``") + "`" for c in mine]
+        assert not rows_of(out.select(*quoted).toDF(*map(str, range(len(mine))))) - rows_of(clashing.select(*quoted).toDF(*map(str, range(len(mine))))), name
+
+
+def test_operators_with_clashing_names(spark, clashing, odd, small):
+    from cadenza.llm import decontamination, language_id, license_scan, minhash, quality_rules, substring_dedup, toxicity
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    for run in (
+        substring_dedup.remove_repeats,
+        lambda d: quality_rules.score(d, quality_rules.fit(d, labels.where("quality = 1"))),
+        lambda d: toxicity.score_toxicity(d, toxicity.fit_chain(d, labels), ["doc_id"]),
+        lambda d: decontamination.find_matches(d, items),
+        mixing.mix_sources,
+        minhash.near_duplicates,
+        lambda d: language_id.identify(d, language_id.fit(d)),
+        lambda d: license_scan.scan(d, license_scan.build_index(d)),
+    ):
+        assert rows_of(run(clashing)) == rows_of(run(odd))
+
+
+def kept_by_stage(spark, rows, small, stage=stages.drop_near_duplicates, parts=1):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    return sorted((tuple(r) for r in stage(spark, df, small).collect()), key=str)
+
+
+def test_near_duplicates_of_rows_without_id(spark, small):
+    p, q = "a passage of quite some words that stands here", "another text with words of its own and no copy"
+    assert kept_by_stage(spark, [(1, p), (None, p), (None, None)], small) == sorted([(1, p), (None, None)], key=str)
+    assert kept_by_stage(spark, [(None, p), (None, p), (None, p + " tail"), (None, q), (None, None), (None, "")], small, parts=3).count((None, None)) == 1
+    kept = kept_by_stage(spark, [(None, " ".join(f"w{i}" for i in range(60))), (None, " ".join(f"w{i}" for i in range(61))), (None, q)], small)
+    assert len(kept) == 2 and (None, q) in kept
+    low = -(1 << 63)
+    assert kept_by_stage(spark, [(low, q), (None, p), (low, q)], small) == sorted([(low, q), (None, p)], key=str)
+
+
+def test_two_texts_of_one_id_do_not_depend_on_partitions(spark, small):
+    rows = [(13, "zzz text of one kind with some words"), (13, "aaa text of another kind and more words"), (13, "zzz text of one kind with some words"), (14, None), (14, None)]
+    outs = {tuple(kept_by_stage(spark, order, small, parts=k)) for order in (rows, rows[::-1]) for k in (1, 3)}
+    assert len(outs) == 1 and len([r for r in outs.pop() if r[0] == 13]) == 1
+
+
+def test_contamination_tells_a_least_id_from_none(spark, small):
+    item = spark.read.parquet(f"{small}/benchmark.parquet").where("length(text) > 100").first().text
+    low = -(1 << 63)
+    assert kept_by_stage(spark, [(low, "clean"), (None, item), (low, None)], small, stages.drop_contaminated) == sorted([(low, "clean"), (low, None)], key=str)
+
+
+def test_mixing_draws_some_of_equal_rows(spark):
+    rows = spark.createDataFrame([(1, "a b", "en", "s1")] * 50 + [(2, None, "en", "s1")], "doc_id long, text string, lang string, source string")
+    out = mixing.mix_rows(rows, percent=50, epochs=1).collect()
+    assert sum(r.doc_id == 1 for r in out) == 25
+    assert len(mixing.mix_rows(rows, percent=300, epochs=3).collect()) in (150, 153)
+
+
+def test_a_hot_leaf(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("w w w").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 10 == 0, F.lit("s2")).otherwise(F.lit("s1")).alias("source"))
+    got = mixing.mix_sources(rows, percent=40, epochs=1).collect()
+    for source, n in (("s1", 5400), ("s2", 600)):
+        mine = [r for r in got if r.source == source]
+        assert len(mine) == n and sum(r.copies for r in mine) == mine[0].leaf_budget // 3
