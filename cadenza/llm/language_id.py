@@ -7,7 +7,8 @@ right on that language in training. A small lead over the second codeword flags
 
 Up to `EXHAUSTIVE` languages get the exhaustive code (2 ** (k - 1) - 1 bits), more get a seeded dense code of
 10 log2 k bits. The classifiers are fitted on the driver, on at most `SAMPLE` documents, evenly from each
-language, the lowest by a hash of the id. Every document is scored in full, in one pass.
+language, the lowest by a hash of id and text; documents equal in both count once. Of more than `SAMPLE`
+languages the most common ones are learned. Every document is scored in full, in one pass.
 
 Defined results: null texts and texts without a letter are `und` with score 0; documents with null
 language, or held out, are never learned from; with no language learned everything is `und`, with one
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from .linear import fit_logistic
+from .rows import named
+from .store import Scratch
 from .words import pack, slices, utf8
 
-DIMS, SAMPLE, STEPS, EXHAUSTIVE, MARGIN = 1024, 3000, 120, 7, 0.2
+DIMS, SAMPLE, STEPS, EXHAUSTIVE, MARGIN = 4096, 4000, 200, 7, 0.2
 _BITS = DIMS.bit_length() - 1
+_RANGE = 1 << 62
 _b = np.arange(256)
 _lower = np.where((_b >= 0x41) & (_b <= 0x5A), _b + 32, _b)
 #: Letters in lower case, every other ASCII character as a space.
@@ -37,16 +41,18 @@ _LETTERS = np.where(((_lower >= 0x61) & (_lower <= 0x7A)) | (_b >= 0x80), _lower
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams, a row for each text."""
+    """Square roots of the shares of hashed byte trigrams, a row for each text; a space stands at either end."""
     data, off = utf8(column)
-    x = np.zeros((len(off) - 1, DIMS), np.float32)
-    low = np.concatenate([_LETTERS[data], np.full(2, 0x20, np.uint8)]).astype(np.uint32)
+    rows = len(off) - 1
+    x = np.zeros((rows, DIMS), np.float32)
+    low = np.full(len(data) + 2 * rows, 0x20, np.uint32)
+    low[np.arange(len(data)) + 2 * np.repeat(np.arange(rows), np.diff(off)) + 1] = _LETTERS[data]
     code = low[:-2] | low[1:-1] << 8 | low[2:] << 16  # from each byte on, over the whole slice
     bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS)
     blank = code == 0x202020
     for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-        end = max(a, b - 2)  # trigrams inside the text
-        n = np.bincount(bucket[a:end][~blank[a:end]], minlength=DIMS)
+        inside = slice(a + 2 * i, b + 2 * i)
+        n = np.bincount(bucket[inside][~blank[inside]], minlength=DIMS)
         total = int(n.sum())
         if total:
             x[i] = np.sqrt(n / total)
@@ -68,12 +74,12 @@ def codewords(k: int) -> np.ndarray:
         return np.stack(code)
     bits = int(np.ceil(10 * np.log2(k)))
     best, apart = None, -1
-    for seed in range(50):
+    for seed in range(max(1, min(50, 5000 // k))):  # the search for a code takes a like time for any k
         code = np.where(np.random.default_rng(seed).random((k, bits)) < 0.5, 1, -1).astype(np.int8)
         least = min(int((code[i] != code[i + 1 :]).sum(1).min()) for i in range(k - 1))
         if least > apart and (np.abs(code.sum(0)) < k).all():
             best, apart = code, least
-    return best
+    return best if best is not None else code
 
 
 class Model:
@@ -94,7 +100,7 @@ class Model:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    return F.pmod(F.crc32(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +113,18 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from documents that have a language and are not held out."""
-    prepare(docs.sparkSession)
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.lit("lang"), F.col(id_col)), F.lit(1 << 40)).alias("h"))
-    counts = usable.groupBy("lang").count()  # a row for each language
+    scratch = Scratch(prepare(docs.sparkSession), "language")
+    usable = docs.where(~held_out(id_col) & named(lang_col).isNotNull() & named(text_col).isNotNull())
+    text = named(text_col).cast("string")
+    usable = usable.select(named(lang_col).cast("string").alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.lit("lang"), named(id_col), text), F.lit(_RANGE)).alias("h"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
     quota = F.greatest(F.lit(1), F.floor(F.lit(sample) / F.count("*").over(Window.partitionBy(F.lit(0)))))
-    bounds = counts.select("lang", quota.alias("quota"), (F.lit(float(1 << 40)) * 1.5 * quota / F.col("count") + 64).alias("below"))
-    near = usable.select("lang", "h").join(F.broadcast(bounds), "lang").where("h < below")  # half as much again as will be taken
+    bounds = counts.select("lang", quota.alias("quota"), (F.lit(float(_RANGE)) * (1.5 * quota + 32) / F.col("n")).alias("below"))  # `sample` rows at most
+    near = usable.select("lang", "h").join(F.broadcast(bounds), "lang").where("h < below").distinct()  # half as much again as will be taken
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where("r <= quota")
-    cut = ranked.groupBy("lang").agg(F.max("h").alias("cut"))
-    rows = usable.join(F.broadcast(cut), "lang").where("h <= cut").select("lang", "text").mapInArrow(_sampled, "lang string, x binary").where("x is not null").limit(4 * sample).collect()
+    chosen = scratch.table(ranked.select("lang", "h"), files=1)  # `sample` rows at most
+    texts = usable.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rows = texts.select("lang", "text").mapInArrow(_sampled, "lang string, x binary").where("x is not null").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))  # no order of arrival in the fit
     languages = sorted({r.lang for r in rows})
     code = codewords(len(languages))
@@ -127,7 +135,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     for i, r in enumerate(rows):
         x[i] = np.frombuffer(r.x, np.float16)
     del rows
-    weights = np.stack([fit_logistic(x, (code[label, k] > 0).astype(np.float64), l2=1e-5, steps=STEPS) for k in range(code.shape[1])], 1)
+    weights = fit_logistic(x, (code[label] > 0).astype(np.float64), l2=1e-5, steps=STEPS)
     right = np.sign(x @ weights[:-1] + weights[-1]) == code[label]
     trust = np.stack([right[label == i].mean(0) for i in range(len(languages))])
     trust = trust / np.maximum(trust.sum(1, keepdims=True), 1e-9) * code.shape[1]
@@ -138,7 +146,7 @@ def _predict(model, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 best, score, lead = m.decode(features(part.column("text")))
                 ok = [bool(m.languages) and has_letter(t.as_py()) for t in part.column("text")]
                 names = [m.languages[b] if k else "und" for b, k in zip(best.tolist(), ok, strict=True)]
@@ -153,7 +161,7 @@ def _predict(model, margin: float):
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """One row per document: (id_col, held_out, lang_pred, score, ambiguous)."""
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), named(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), margin), "id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("id", id_col)
 

@@ -12,17 +12,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, steps: int = 300) -> np.ndarray:
     """Weights, the intercept last, of mean log loss + l1 |w| + l2 w^2 / 2, by accelerated proximal steps.
 
-    Columns are scaled to a mean square of one first (rare ones by a bound), so that rare and common
+    `y` has a target a row, or a column for each of several models, which are fitted side by side.
+    Columns of x are scaled to a mean square of one first (rare ones by a bound), so that rare and common
     features are learned alike; the weights returned are for the columns as given. The steps, their
     number and the start are fixed, so equal samples give equal weights.
     """
     n, d = x.shape
-    if n:
-        scale = (np.sqrt(np.einsum("ij,ij->j", x, x) / n) + 1e-2).astype(x.dtype)
-        x = x / scale
-    w, z, t = np.zeros(d + 1), np.zeros(d + 1), 1.0
+    targets = y.reshape(n, -1)
+    w, z, t = np.zeros((d + 1, targets.shape[1])), np.zeros((d + 1, targets.shape[1])), 1.0
     if not n:
-        return w
+        return w if y.ndim > 1 else w[:, 0]
+    scale = (np.sqrt(np.einsum("ij,ij->j", x, x) / n) + 1e-2).astype(x.dtype)
+    x = x / scale
     v = np.full(d, 1.0, x.dtype)
     for _ in range(8):  # the largest eigenvalue of x'x / n
         u = x.T @ (x @ v) / n
@@ -30,14 +31,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4
         v = (u / norm).astype(x.dtype)
     rate = 1 / (0.25 * (norm + 1) + l2)
     for _ in range(steps):
-        miss = (sigmoid((x @ z[:d].astype(x.dtype)).astype(np.float64) + z[d]) - y) / n
-        step = z - rate * np.append(x.T @ miss.astype(x.dtype) + l2 * z[:d], miss.sum())
+        miss = (sigmoid((x @ z[:d].astype(x.dtype)).astype(np.float64) + z[d]) - targets) / n
+        step = z - rate * np.vstack([x.T @ miss.astype(x.dtype) + l2 * z[:d], miss.sum(0)])
         new = step.copy()
         new[:d] = np.sign(step[:d]) * np.maximum(np.abs(step[:d]) - rate * l1, 0)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z = new + (t - 1) / t_new * (new - w)
         w, t = new, t_new
-    return np.append(w[:d] / scale, w[d])
+    w = np.vstack([w[:d] / scale[:, None], w[d]])
+    return w if y.ndim > 1 else w[:, 0]
 
 
 def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -231,6 +232,54 @@ def test_language_odd(spark, odd, empty):
     assert language_id.identify(empty, model).collect() == []
 
 
+def test_a_language_without_ids_is_learned(spark):
+    r = random.Random(2)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(40))
+    one = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 != 2)  # an id that many rows share
+    data = [(None, text("abcd"), "xx") for _ in range(600)] + [(i, text("efgh"), "yy") for i in range(300)] + [(one, text("ijkl"), "zz") for _ in range(300)] + [(None, "mn mn mn", "vv")] * 500
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    models = [language_id.fit(df.repartition(k), sample=120) for k in (1, 5)]
+    assert models[0].languages == ["vv", "xx", "yy", "zz"]
+    assert (models[0].weights == models[1].weights).all()  # no order of arrival in the sample
+    got = language_id.identify(df, models[0]).collect()
+    want = {x: lang for _, x, lang in data}
+    assert len(got) == len(data) and collections.Counter(g.lang_pred for g in got) == collections.Counter(lang for _, _, lang in data) and len(want) > 1000
+
+
+def test_nine_languages(spark):
+    r = random.Random(4)
+    names = [f"l{k}" for k in range(9)]
+    text = lambda k: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz"[2 * k : 2 * k + 8]) for _ in range(6)) for _ in range(60))
+    df = spark.createDataFrame([(i, text(i % 9), names[i % 9]) for i in range(900)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language_id.identify(df, language_id.fit(df, sample=450)).collect()}
+    told = [i for i in got if got[i].held_out]
+    assert sum(got[i].lang_pred == names[i % 9] for i in told) >= 0.97 * len(told) > 100
+
+
+def test_decoding_against_brute_force(spark, docs):
+    import math
+
+    import pyarrow as pa
+
+    model, some = language_id.fit(docs), [r.text for r in docs.limit(60).collect()] + ["w", "ok", "é"]
+    x = language_id.features(pa.array(some))
+    best, score, lead = model.decode(x)
+    for i, t in enumerate(some):
+        low = " " + re.sub(r"[\x00-\x60\x7b-\x7f]", " ", fold(t)) + " "
+        raw = low.encode()
+        grams = collections.Counter(raw[k : k + 3] for k in range(len(raw) - 2) if raw[k : k + 3] != b"   ")
+        row = [0.0] * language_id.DIMS
+        for g, n in grams.items():
+            row[(int.from_bytes(g, "little") * 0x9E3779B1 % (1 << 32)) >> (32 - language_id._BITS)] += n
+        row = [math.sqrt(v / sum(grams.values())) for v in row]
+        assert max(abs(a - b) for a, b in zip(row, x[i].tolist(), strict=True)) < 1e-6
+        f = [sum(a * float(w) for a, w in zip(row, model.weights[:-1, k], strict=True)) + float(model.weights[-1, k]) for k in range(model.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-a * int(c))) * w for a, c, w in zip(f, model.code[m], model.trust[m], strict=True)) for m in range(len(model.languages))]
+        order = sorted(range(len(loss)), key=lambda m: loss[m])
+        assert best[i] == order[0] or abs(loss[best[i]] - loss[order[0]]) < 1e-3
+        assert abs(score[i] - 1 / sum(math.exp(min(loss) - v) for v in loss)) < 1e-3 and abs(lead[i] - (loss[order[1]] - loss[order[0]])) < 1e-2
+
+
 def test_many_languages_code():
     code = language_id.codewords(12)
     assert min((code[i] != code[j]).sum() for i in range(12) for j in range(i)) >= 9
@@ -284,6 +333,59 @@ def test_toxicity_odd(spark, odd, empty):
     assert not any(r.is_toxic for r in toxicity.score_toxicity(odd, none, ["doc_id"]).collect())
 
 
+def test_chain_against_brute_force(spark, docs, small):
+    """Scores recomputed word by word from the chain's weights."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from cadenza.llm.words import Words
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    chain = toxicity.fit_chain(docs, labels)
+    again = toxicity.fit_chain(docs.repartition(7), labels.repartition(3))
+    assert all((a == b).all() for a, b in zip(chain.links, again.links, strict=True)) and (chain.words == again.words).all()
+    hash_of = lambda t, size: int(Words(pa.array([t]), np.ones(256, bool), False, prefixes=True).prefix(size)[1][0])
+    whole = lambda t: int(Words(pa.array([t]), np.ones(256, bool), False).h[0])
+    known, seen = set(chain.words.tolist()), {}
+
+    def features(word):
+        if word not in seen:
+            raw = word.encode()
+            hs = [whole(word)] + [hash_of(word, k) for k in toxicity.PREFIXES if len(raw) > k]
+            seen[word] = [h for h in hs if h in known]
+        return seen[word]
+
+    place = {int(h): i for i, h in enumerate(chain.words)}
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, chain, ["doc_id"]).select("row.doc_id", *(f"p_{c}" for c in toxicity.CHAIN), "is_toxic").collect()}
+    for r in docs.where("length(text) < 1500").limit(40).collect():
+        w = ALNUM.findall(fold(r.text))
+        n = collections.Counter(place[h] for x in w for h in features(x))
+        x = [float(n[i] > 0) for i in range(len(place))] + [math.log1p(100 * n[i] / max(len(w), 1)) for i in range(len(place))]
+        p = []
+        for link in chain.links:
+            z = sum(a * b for a, b in zip(x + p, link[:-1], strict=True)) + link[-1]
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert max(abs(a - got[r.doc_id][f"p_{c}"]) for a, c in zip(p, toxicity.CHAIN, strict=True)) < 1e-9
+        assert got[r.doc_id].is_toxic == (p[-1] >= toxicity.THRESHOLD)
+
+
+def test_groups_of_toxic_texts():
+    import numpy as np
+
+    kinds = np.array([[1, 1, 0, 0, 0, 0], [0, 0, 2, 1, 0, 0], [0, 0, 0, 0, 1, 3]])
+    counts = np.vstack([kinds[[0] * 5 + [1] * 3 + [2] * 2], np.zeros((1, 6))])
+    assert toxicity.latent_groups(counts).tolist() == [0] * 5 + [1] * 3 + [2] * 2 + [-1]
+
+
+def test_given_categories(spark, docs, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet").withColumn("rude", F.when(F.col("doc_id") % 2 == 0, F.col("toxic")).otherwise(F.lit(0)))
+    chain = toxicity.fit_chain(docs, labels, category_cols=("rude",))
+    out = toxicity.score_toxicity(docs, chain, ["doc_id"])
+    assert out.columns == ["row", "p_rude", "p_toxic", "is_toxic"] and out.where("p_rude between 0 and 1").count() == docs.count()
+
+
 def test_empty(spark, empty, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     assert substring_dedup.remove_repeats(empty).collect() == []
