@@ -10,8 +10,9 @@ its possible starts, and intersects them with the next rarer terms' postings, ad
 all its terms have agreed: an exact phrase match. A proximity match of an item is a place where its
 rarest terms all stand within `near` words of the rarest one's occurrence, in one document.
 
-The test items are sized first. Up to `ITEM_BYTES` they go out as one broadcast; beyond it they are
-searched block by block, each block below the bound, and the blocks' matches are merged.
+The test items are sized first. Up to `ITEM_BYTES` they go out as one broadcast, which holds some 40 bytes a
+word (places, terms, vocabulary); beyond it they are searched block by block, each block below the bound, and
+the blocks' matches are merged. A block reads the documents once more.
 
 Defined results: null or wordless texts match nothing; an item with fewer words than a window is one
 window; equal items (and repeated item ids) count once by id; items without id still mark words, but
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
+from .rows import named
 from .store import Scratch
 from .words import ALNUM, U64, Words, pack, ragged, rolling, slices
 
@@ -39,14 +41,17 @@ _CHUNK = 1 << 20
 
 
 class Queries:
-    """The windows of a block of test items, as numbers of its sorted vocabulary."""
+    """The windows of a block of test items, as numbers of its sorted vocabulary.
+
+    A window is a place in the items' words, so a word costs 12 bytes however many windows hold it."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None], window: int) -> None:
         w = Words(pa.array(texts, pa.large_string()), ALNUM, True)
         self.vocabulary, term = np.unique(w.h, return_inverse=True)
+        self.term = term.astype(np.int32)
         self.ids = ids
         row, left, n = w.row(), w.left(), w.counts()
-        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # windows x terms, the items of each, where they begin
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # size, places of the windows, the items of each, where they begin
         for size in [window, *sorted(set(n[(n > 0) & (n < window)].tolist()))]:
             start = np.flatnonzero(left >= window) if size == window else w.first[:-1][n == size]
             if not len(start):
@@ -54,8 +59,19 @@ class Queries:
             h = rolling(w.h, size)[start]
             _, first, which = np.unique(h, return_index=True, return_inverse=True)
             pair = np.unique(np.stack([which, row[start]]), axis=1)
-            self.by_length.append((term[start[first][:, None] + np.arange(size)], pair[1], np.searchsorted(pair[0], np.arange(len(first) + 1))))
-        self.item_terms = [np.unique(term[x:y]) for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
+            self.by_length.append((size, start[first].astype(np.int32), pair[1].astype(np.int32), np.searchsorted(pair[0], np.arange(len(first) + 1)).astype(np.int32)))
+        self.first = w.first
+
+    def rarest(self, rank: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, items) of the items with so many terms: each one's rarest, the rarest first."""
+        by: dict[int, tuple[list, list]] = {}
+        for item, (x, y) in enumerate(zip(self.first[:-1], self.first[1:], strict=True)):
+            terms = np.unique(self.term[x:y])
+            if len(terms):
+                top = terms[np.argsort(rank[terms], kind="stable")[:most]]
+                for held, new in zip(by.setdefault(len(top), ([], [])), (top, item), strict=True):
+                    held.append(new)
+        return [(np.array(t), np.array(i)) for t, i in by.values()]
 
 
 def _index(vocabulary: Broadcast):
@@ -120,26 +136,29 @@ class _Segment:
         return (found >= key) & (found <= ((term.astype(U64) << U64(32)) | high.astype(U64))) if len(self.sorted) else np.zeros(len(key), bool)
 
 
-def _phrases(seg: _Segment, terms: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _phrases(seg: _Segment, term: np.ndarray, size: int, places: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(window, start) of every place where all terms of a window stand in their order."""
-    alive = np.flatnonzero(seg.count[terms].min(1) > 0)
+    there = np.concatenate([[0], np.cumsum(seg.count[term] > 0)])
+    alive = np.flatnonzero(there[places + size] - there[places] == size)  # all of its terms occur in the segment
     if not len(alive):
         return
-    order = np.argsort(rank[terms[alive]], axis=1, kind="stable")
-    sizes = np.cumsum(seg.count[terms[alive, order[:, 0]]])
-    cut = [0, *np.flatnonzero(np.diff(sizes // _CHUNK)).tolist(), len(alive)]
-    for x, y in zip(cut[:-1], cut[1:], strict=True):
-        win, by = alive[x:y], order[x:y]
-        owner, start = seg.starts(terms[win, by[:, 0]], by[:, 0])
-        for k in range(1, terms.shape[1]):
-            if not len(owner):
-                break
-            offset = by[owner, k]
-            ok = seg.has(terms[win[owner], offset], start + offset)
-            owner, start = owner[ok], start[ok]
-        if len(owner):
-            inside = seg.doc(start) == seg.doc(start + terms.shape[1] - 1)
-            yield win[owner[inside]], start[inside]
+    for part in np.array_split(alive, max(1, len(alive) * size // _CHUNK)):
+        terms = term[places[part][:, None] + np.arange(size)]
+        order = np.argsort(rank[terms], axis=1, kind="stable")
+        sizes = np.cumsum(seg.count[terms[np.arange(len(part)), order[:, 0]]])
+        cut = [0, *(np.flatnonzero(np.diff(sizes // _CHUNK)) + 1).tolist(), len(part)]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            win, by = terms[x:y], order[x:y]
+            owner, start = seg.starts(win[np.arange(len(win)), by[:, 0]], by[:, 0])
+            for k in range(1, size):
+                if not len(owner):
+                    break
+                offset = by[owner, k]
+                ok = seg.has(win[owner, offset], start + offset)
+                owner, start = owner[ok], start[ok]
+            if len(owner):
+                inside = seg.doc(start) == seg.doc(start + size - 1)
+                yield part[x:y][owner[inside]], start[inside]
 
 
 def _near(seg: _Segment, rare: np.ndarray, owners: np.ndarray, near: int) -> np.ndarray:
@@ -158,23 +177,17 @@ def _near(seg: _Segment, rare: np.ndarray, owners: np.ndarray, near: int) -> np.
 def _search(queries: Broadcast, ranks: Broadcast, near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, rank = queries.value, ranks.value
-        rare: dict[int, tuple[list, list]] = {}
-        for item, terms in enumerate(q.item_terms):
-            if len(terms):
-                top = terms[np.argsort(rank[terms], kind="stable")[:NEAR_TERMS]]
-                for x, y in zip(rare.setdefault(len(top), ([], [])), (top, item), strict=True):
-                    x.append(y)
-        rare_by = [(np.array(t), np.array(i)) for t, i in rare.values()]
+        rare_by = q.rarest(rank, NEAR_TERMS)
         for batch in batches:
             for row in batch.to_pylist():
                 seg = _Segment(row, len(q.vocabulary))
                 docs = len(seg.first) - 1
                 edge = np.zeros(int(seg.first[-1]) + 1, np.int64)
                 pairs = [np.zeros((2, 0), np.int64)]
-                for terms, items, begin in q.by_length:
-                    for win, start in _phrases(seg, terms, rank):
+                for size, places, items, begin in q.by_length:
+                    for win, start in _phrases(seg, q.term, size, places, rank):
                         np.add.at(edge, start, 1)
-                        np.add.at(edge, start + terms.shape[1], -1)
+                        np.add.at(edge, start + size, -1)
                         n = begin[win + 1] - begin[win]
                         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[win], n)
                         pairs.append(np.unique(np.stack([items[at], np.repeat(seg.doc(start), n)]), axis=1))
@@ -233,8 +246,8 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     spark = prepare(docs.sparkSession)
     sc, scratch = spark.sparkContext, Scratch(spark, "decontaminate")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id0"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
-    tests = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id0"), F.xxhash64(named(text_col).cast("string")).alias("th"), named(text_col).cast("string").alias("text"))
+    tests = items.select(named(item_col).cast("string").alias("item"), named(item_text_col).cast("string").alias("text"))
     size = tests.agg(F.sum(F.octet_length("text") + 24)).first()[0] or 0
     blocks = max(1, -(-size // item_bytes))
     found = []
@@ -243,10 +256,9 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         queries = Queries([x.item for x in block], [x.text for x in block], window)
         held = sc.broadcast(queries)
         segments = scratch.table(rows.mapInArrow(_index(sc.broadcast(queries.vocabulary)), _SEGMENT))
-        term = segments.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()  # the block's vocabulary at most
+        term = segments.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toArrow()  # the block's vocabulary at most
         counts = np.zeros(len(queries.vocabulary), np.int64)
-        for t, n in term:
-            counts[t] = n
+        counts[np.asarray(term.column(0))] = np.asarray(term.column(1))
         rank = np.empty(len(counts), np.int64)
         rank[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
         found.append(segments.mapInArrow(_search(held, sc.broadcast(rank), near), _FOUND))
@@ -258,8 +270,8 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         out = out.groupBy("id0", "th", "n_words").agg(*lists, F.count("*").alias("rows"))
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("rows") / blocks).cast("int"))))  # equal documents
         out = out.select("id0", "th", "n_words", "starts", "ends", "items", "near_items").mapInArrow(_merge, _FOUND)
-    named = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull()))).alias(c)
-    return out.select(F.when(F.col("id0") != F.lit(-(1 << 63)), F.col("id0")).alias(id_col), "th", "n_words", "starts", "ends", named("items"), named("near_items"))
+    listed = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull()))).alias(c)
+    return out.select(F.col("id0").alias(id_col), "th", "n_words", "starts", "ends", listed("items"), listed("near_items"))
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

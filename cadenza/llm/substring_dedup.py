@@ -9,14 +9,15 @@ A run of `window` words that occurs twice holds, at either place, one whole bloc
    which is exact; chained windows give the maximal exact repeats.
 
 Partitioning. Hashes are dealt by their leading bits into groups whose number follows the input's
-partitions. Every slice of texts sends a hash once, or twice if it has it twice or more, so a passage
-in a third of all rows costs one entry a slice. Places of windows go out by slice, and a group that
-has more than `GROUP_BYTES` of them is split by slice: each part meets the group's set of repeated
-hashes. Anchors go back to documents in a join that AQE can split. No pair of places is ever formed.
+partitions, so that a group stays near one size at any input. Texts are hashed in slices, and a slice grows with
+the number of groups, so that it sends some hashes to each. It sends a hash once, or twice if it has it twice or
+more, so a passage in a third of all rows costs one entry a slice. Places of windows go out by slice, and a
+group that has more than `GROUP_BYTES` of them is split by slice: each part meets the group's set of
+repeated hashes. Anchors go back to documents in a join that AQE can split. No pair of places is ever formed.
 Hash widths: 40 bits plus the group's for probes, where a false match only costs a candidate, and 64
 independent bits plus the group's for the windows that decide.
 
-Defined results: a null text has no words; a null id is a value like others; repeated rows are separate
+Defined results: a null text has no words; a null id is a value like others (told apart from all numbers); repeated rows are separate
 documents, so all their long windows repeat; documents shorter than `window` lose nothing; an empty
 table gives an empty table. Only the id and text columns are read, so other columns can't clash.
 """
@@ -33,53 +34,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
+from .rows import named
 from .store import Scratch
 from .words import SPACED, U64, Words, mix, pack, ragged, rolling, slices
 
 WINDOW = 35
 GROUP_BYTES = 64 << 20
 _PROBE_BITS = 40
+_HASHES = 16 << 20
 
 
-def group_bits(docs: DataFrame, per_partition: int = 2, most: int = 16) -> int:
+def group_bits(docs: DataFrame, per_partition: int = 2) -> int:
     """log2 of the number of hash groups: some for each input partition."""
-    return min(most, max(5, (per_partition * docs.rdd.getNumPartitions() - 1).bit_length()))
+    return min(64 - _PROBE_BITS, max(5, (per_partition * docs.rdd.getNumPartitions() - 1).bit_length()))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id0, th, text): the id and a hash of the text tell rows apart unless they are equal."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id0"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text")
-    )
+    """(id, id0, th, text): id0 and a hash of the text tell rows apart unless they are equal; a null id has id0 0 and another hash."""
+    key, text = named(id_col).cast("long"), named(text_col).cast("string")
+    th = F.when(key.isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(F.xxhash64(text))
+    return docs.select(key.alias("id"), F.coalesce(key, F.lit(0)).alias("id0"), th.alias("th"), text.alias("text"))
+
+
+def _groups(sorted_keys: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The groups that sorted keys fall into, and where each one's part begins and ends."""
+    r, first = np.unique(sorted_keys >> U64(low), return_index=True)
+    return r, first, np.append(first[1:], len(sorted_keys))
 
 
-def _cut(sorted_keys: np.ndarray, bits: int, low: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each group's part of sorted keys begins and ends."""
-    edge = np.searchsorted(sorted_keys, (np.arange((1 << bits) + 1, dtype=np.float64) * float(1 << low)).astype(U64)[:-1])
-    return edge, np.append(edge[1:], len(sorted_keys))
+def _five(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def _probe(block: int, bits: int):
     low = _PROBE_BITS
+    enough = min(_HASHES, 4 << bits)  # a few hashes for each group, in bounded memory
+
+    def packed(keys: list[np.ndarray], blocks: list[np.ndarray]) -> pa.RecordBatch:
+        seen, times = np.unique(np.concatenate(keys), return_counts=True)
+        every = np.repeat(seen, np.minimum(times, 2))
+        anchors = np.unique(np.concatenate(blocks))
+        r, a, b = _groups(every, low)
+        r2, c, d = _groups(anchors, low)
+        of = np.searchsorted(r2, r)
+        of[of == len(r2)] = 0
+        has = r2[of] == r if len(r2) else np.zeros(len(r), bool)  # each anchor is a probe too
+        mine = [_five(anchors[c[k] : d[k]]) if ok else b"" for k, ok in zip(of.tolist(), has.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array([_five(every[x:y]) for x, y in zip(a, b, strict=True)], pa.binary()), pa.array(mine, pa.binary())], ["r", "h", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        five = lambda a: np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        keys, blocks, held = [], [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"), SPACED, False)
                 key = rolling(w.h, block) >> U64(64 - low - bits)
-                left = w.left()
-                whole = left >= block
+                whole = w.left() >= block
                 place = np.arange(len(w.h)) - np.repeat(w.first[:-1], w.counts())
-                seen, times = np.unique(key[whole], return_counts=True)
-                every = np.repeat(seen, np.minimum(times, 2))
-                anchors = np.unique(key[whole & (place % block == 0)])
-                a, b = _cut(every, bits, low)
-                c, d = _cut(anchors, bits, low)
-                rs = [r for r in range(1 << bits) if b[r] > a[r]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rs, pa.int32()), pa.array([five(every[a[r] : b[r]]) for r in rs], pa.binary()), pa.array([five(anchors[c[r] : d[r]]) for r in rs], pa.binary())], ["r", "h", "a"]
-                )
+                keys.append(key[whole])
+                blocks.append(key[whole & (place % block == 0)])
+                held += len(keys[-1])
+                if held >= enough:
+                    yield packed(keys, blocks)
+                    keys, blocks, held = [], [], 0
+        if held:
+            yield packed(keys, blocks)
 
     return run
 
@@ -215,7 +233,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     prepare(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     bits = group_bits(docs)
-    texts = keyed.where(F.col("text").isNotNull())
+    texts = keyed.where(F.col("text").isNotNull()).drop("id")
     anchors = scratch.table(
         texts.select("text").mapInArrow(_probe(block, bits), "r int, h binary, a binary").groupBy("r").applyInArrow(_repeated_blocks, "k long")
     )
@@ -225,9 +243,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     placed = windows.where("r >= 0").select("slice", "r", "at", "h")
     twice = scratch.table(placed.select("r", "h").mapInArrow(_once_or_twice, "r int, h binary").groupBy("r").applyInArrow(_repeated, "r int, twice binary"))
     parts = placed.groupBy("r").agg(F.ceil(F.sum(F.length("h")) / F.lit(GROUP_BYTES)).cast("int").alias("parts"))
-    parts = F.broadcast(parts)  # a row for each group, 2 ** 16 at most
-    left = placed.join(parts, "r").withColumn("s", F.pmod(F.xxhash64("slice"), F.col("parts")).cast("int"))
-    right = twice.join(parts, "r").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = scratch.table(parts.where("parts > 1"))  # the groups that are split
+    many = F.coalesce("parts", F.lit(1))
+    left = placed.join(parts, "r", "left").withColumn("s", F.pmod(F.xxhash64("slice"), many).cast("int"))
+    right = twice.join(parts, "r", "left").withColumn("s", F.explode(F.sequence(F.lit(0), many - 1)))
     hits = left.select("r", "s", "slice", "at", "h").groupBy("r", "s").cogroup(right.select("r", "s", "twice").groupBy("r", "s")).applyInArrow(_back, "slice long, at binary")
     none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "ths", "first")]
     heads = windows.where("r = -1").select("slice", "at", "ids", "ths", "first")
@@ -262,20 +281,22 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_kept = np.add.reduceat(np.append(keep, False).astype(np.int64), np.minimum(w.first[:-1], len(keep))) if part.num_rows else np.zeros(0, np.int64)
             n_kept = np.where(w.counts() > 0, n_kept, 0)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id0"), pa.array(w.counts(), pa.int64()), pa.array(w.counts() - n_kept, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id0", "n_words", "n_removed", "kept_text"]
+                [part.column("id"), pa.array(w.counts(), pa.int64()), pa.array(w.counts() - n_kept, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), part.column("starts"), part.column("ends")],
+                ["id", "n_words", "n_removed", "kept_text", "starts", "ends"],
             )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: (id_col, n_words, n_removed, kept_text, starts, ends).
 
-    Every word that a repeated `window` covers is removed; `kept_text` joins the others by one space.
+    Every word that a repeated `window` covers is removed; `kept_text` joins the others by one space. The
+    spans (null: none) are in words, ends exclusive.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     spans = repeated_spans(docs, scratch, id_col, text_col, window)
-    with_spans = _keyed(docs, id_col, text_col).join(spans, ["id0", "th"], "left").select("id0", "text", "starts", "ends")
-    out = with_spans.mapInArrow(_remove, "id0 long, n_words long, n_removed long, kept_text string")
-    return out.select(F.when(F.col("id0") != F.lit(-(1 << 63)), F.col("id0")).alias(id_col), "n_words", "n_removed", "kept_text")
+    with_spans = _keyed(docs, id_col, text_col).join(spans, ["id0", "th"], "left").select("id", "text", "starts", "ends")
+    out = with_spans.mapInArrow(_remove, "id long, n_words long, n_removed long, kept_text string, starts array<int>, ends array<int>")
+    return out.withColumnRenamed("id", id_col)
 
 
 def digest(text: str) -> str:

@@ -45,10 +45,13 @@ class WarcError(ValueError):
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a folder that executors share, and the path in it."""
+    """The Arrow file system of a folder that executors share, and the path in it.
+
+    Hadoop's names of S3 are Arrow's `s3`; HDFS, Azure (abfss) and Google storage (gs) have the same names in both."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
 
 
 def qualified(spark: SparkSession, path: str) -> str:

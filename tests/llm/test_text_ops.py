@@ -127,6 +127,21 @@ def test_leaks_of_the_query(spark, small, rows):
     assert sum(r.contaminated for r in got) > 0
 
 
+def test_substring_groups_at_scale(spark, odd, monkeypatch):
+    """As many groups as a table of 2 ** 17 partitions has, more than 2 ** 16."""
+    monkeypatch.setattr(substring_dedup, "group_bits", lambda docs: 17)
+    monkeypatch.setattr(substring_dedup, "_HASHES", 5000)
+    got = substring_dedup.remove_repeats(odd).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_substring(odd.collect(), 35), key=str)
+
+
+def test_substring_tells_a_least_id_from_none(spark):
+    low, p = -(1 << 63), " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(low, p), (None, p + " x"), (0, "y " + p), (None, "z")], "doc_id long, text string")
+    got = substring_dedup.remove_repeats(rows).collect()
+    assert {(r.doc_id, r.kept_text, tuple(r.starts or ()), tuple(r.ends or ())) for r in got} == {(low, "", (0,), (40,)), (None, "x", (0,), (40,)), (0, "y", (1,), (41,)), (None, "z", (), ())}
+
+
 @pytest.mark.parametrize("item_bytes", [1 << 20, 150])
 def test_leaks_odd(spark, odd, item_bytes):
     texts = [r.text for r in odd.collect() if r.doc_id in (2, 10)]
@@ -161,7 +176,7 @@ def brute_base(t):
 
 def test_quality_base(spark, table, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
-    got = quality_rules.score(table, quality_rules.fit(table, labels.where("quality = 1"))).drop("score", "kept").collect()
+    got = quality_rules.score(table, quality_rules.fit(table, labels.where("quality = 1"))).drop("score").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(r.doc_id, *brute_base(r.text)) for r in table.collect()], key=str)
 
 
@@ -182,10 +197,25 @@ def test_quality_score(spark, docs, rows, small):
         if i in trusted:
             target.update(of[g] for g in x)
     a, b = sum(target.values()) + quality_rules.BUCKETS, sum(raw.values()) + quality_rules.BUCKETS
+    steps = sorted(got[i].score // quality_rules.STEP for i in trusted if i in got and not got[i].base_failed)
+    low, high = (quality_rules.STEP * steps[-(-q * len(steps) // 4) - 1] for q in (1, 3))
+    threshold = low - quality_rules.FENCE * (high - low)
     for i, x in grams.items():
         s = sum(1e6 * (math.log((target[of[g]] + 1) / a) - math.log((raw[of[g]] + 1) / b)) for g in x) / len(x)
         assert abs(s - got[i].score) <= 2
-        assert got[i].kept == (not got[i].base_failed and got[i].score >= quality_rules.THRESHOLD)
+        assert got[i].kept == (not got[i].base_failed and got[i].score >= threshold)
+
+
+def test_quality_keeps_the_good_and_drops_the_bad(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    got = [r for r in quality_rules.op2_quality_rules(spark, "/root/testdata/sf0.1").collect() if not r.base_failed and labels.get(r.doc_id) is not None]
+    good, bad = [r.kept for r in got if labels[r.doc_id]], [r.kept for r in got if not labels[r.doc_id]]
+    assert sum(good) >= 0.995 * len(good) > 1000 and sum(bad) <= 0.02 * len(bad) and len(bad) > 100
+
+
+def test_quality_without_trusted(spark, odd):
+    none = quality_rules.judge(odd, odd.select("doc_id").where("false")).collect()
+    assert {r.score for r in none} == {0, None} and all(r.kept == (not r.base_failed and r.score is not None) for r in none)
 
 
 def test_quality_target_is_whole(spark):
