@@ -1,10 +1,14 @@
-"""License scans with a positional rare-token index of licence templates.
+"""License scans with a positional rare-token index of licence texts.
 
-The index holds, for each template, the postings (word positions) of its highest-IDF words; IDF counts
-licence words over *every* file. A file's licence words are looked up in it, and each (word place, template
-position) pair votes for the place where the template would begin. Where enough of a template's rare
-words agree on one beginning, the template is laid over the file there: its mandatory key phrases must
-stand in full at their positions, and the matched words' share of its IDF is the score.
+The texts of `licenses` are cut into clauses. The index holds, for each clause, the postings (word positions)
+of its highest-IDF words; IDF counts licence words over *every* file. A file's licence words are looked
+up in it, and each (word place, clause position) pair votes for the place where the clause would begin. Where
+enough of a clause's rare words agree on one beginning, the clause is laid over the file there: its key
+phrases must stand in full at their positions, and the words that match make up its share of the IDF.
+
+Of a licence's clauses that are verified at one place the one that fits best counts. Clauses that follow each other in their order, none farther on than the licence is long,
+make a finding; what stands between may differ. The finding counts if every clause with a
+mandatory phrase is there, and with `COVERED` of the licence's IDF; that share is its score.
 
 Base phrases are found everywhere as plain consecutive words; the method only adds labels.
 
@@ -14,7 +18,7 @@ its places cost.
 
 Defined results: null or wordless texts have no words, no labels and score 0; equal and repeated files
 are scanned each; a null id is returned as it is; an empty table gives an empty table. The score is the
-best verified template's, else `MENTION` where a base phrase stands, else 0.
+best finding's, else `MENTION` where a base phrase stands, else 0.
 """
 
 from __future__ import annotations
@@ -27,70 +31,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
+from .licenses import PHRASES, TEMPLATES
+from .rows import named
 from .words import ALNUM, Words, ragged, slices
 
 AGREE, COVERED, MENTION, RARE = 0.6, 0.6, 0.5, 0.5
-#: Base phrases and their labels.
-PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Label, notice, mandatory key phrases.
-TEMPLATES = (
-    ("mit", "Released under the MIT License.", ("mit license",)),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache license version 2 0",)),
-    ("apache-2.0", "you may not use this file except in compliance with the License", ("use this file except in compliance with the license",)),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu general public license version 3",)),
-    ("gpl", "it under the terms of the GNU General Public License as published by the Free Software Foundation", ("gnu general public license", "free software foundation")),
-    ("lgpl", "under the terms of the GNU Lesser General Public License", ("gnu lesser general public license",)),
-    ("agpl-3.0", "GNU Affero General Public License, version 3", ("gnu affero general public license",)),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", ("cc by nc 4 0",)),
-    ("cc-by-4.0", "Licensed under CC BY 4.0.", ("cc by 4 0",)),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0.", ("cc by sa 4 0",)),
-    ("cc0-1.0", "CC0 1.0 Universal Public Domain Dedication", ("cc0 1 0 universal",)),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use in source and binary forms",)),
-    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla public license v 2 0",)),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
-    ("unlicense", "This is free and unencumbered software released into the public domain.", ("free and unencumbered software",)),
-)
 
 
 def _hashes(text: str) -> np.ndarray:
     return Words(pa.array([text]), ALNUM, True).h
 
 
+def clauses(text: str) -> list[str]:
+    return [x for x in text.split("\n\n") if x.strip()]
+
+
 class Notices:
-    """Templates and phrases as numbers of their sorted vocabulary; with counts of files, the rare-word index."""
+    """Clauses and phrases as numbers of their sorted vocabulary; with counts of files, the rare-word index."""
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES) -> None:
-        texts = [_hashes(t) for _, t, _ in templates]
+        parts = [[_hashes(c) for c in clauses(t)] for _, t, _ in templates]
         bases = [_hashes(p) for p, _ in phrases]
-        self.vocabulary = np.unique(np.concatenate([*texts, *bases]))
+        self.vocabulary = np.unique(np.concatenate([*(c for p in parts for c in p), *bases]))
         number = lambda h: np.searchsorted(self.vocabulary, h)
         self.labels = [x for x, _, _ in templates]
-        self.templates = [number(h) for h in texts]
+        self.clauses = [number(h) for p in parts for h in p]
+        self.of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])  # the licence of each clause
+        self.length = np.array([sum(len(h) for h in p) for p in parts])
         self.phrases = [(number(h), label) for h, (_, label) in zip(bases, phrases, strict=True)]
-        self.mandatory = []
-        for h, (label, _, keys) in zip(texts, templates, strict=True):
-            must = np.zeros(len(h), bool)
+        self.mandatory = [np.zeros(len(h), bool) for p in parts for h in p]
+        flat = [h for p in parts for h in p]
+        for licence, (label, _, keys) in enumerate(templates):
             for key in keys:
                 k = _hashes(key)
-                at = [i for i in range(len(h) - len(k) + 1) if (h[i : i + len(k)] == k).all()]
+                at = [(c, i) for c in np.flatnonzero(self.of == licence).tolist() for i in range(len(flat[c]) - len(k) + 1) if (flat[c][i : i + len(k)] == k).all()]
                 if not at:
-                    raise ValueError(f"the key phrase {key!r} is not in its template ({label})")
-                must[at[0] : at[0] + len(k)] = True
-            self.mandatory.append(must)
+                    raise ValueError(f"the key phrase {key!r} is not in a clause of its licence ({label})")
+                c, i = at[0]
+                self.mandatory[c][i : i + len(k)] = True
+        self.needed = np.bincount(self.of, [m.any() for m in self.mandatory], minlength=len(parts)).astype(int)
 
     def index(self, files: int, with_word: np.ndarray) -> None:
         self.idf = np.log((files + 1) / (with_word + 1)) + 1e-6
-        word, template, place = [], [], []
-        self.anchors = np.zeros(len(self.templates), np.int64)
-        for k, t in enumerate(self.templates):
+        self.weight = np.array([self.idf[t].sum() for t in self.clauses])
+        self.share = self.weight / np.bincount(self.of, self.weight)[self.of]  # of its licence
+        word, clause, place = [], [], []
+        self.anchors = np.zeros(len(self.clauses), np.int64)
+        for k, t in enumerate(self.clauses):
             rare = np.flatnonzero(self.idf[t] >= RARE * self.idf[t].max())
             self.anchors[k] = len(rare)
             word += t[rare].tolist()
-            template += [k] * len(rare)
+            clause += [k] * len(rare)
             place += rare.tolist()
         order = np.argsort(word, kind="stable")
-        self.post_template, self.post_place = np.array(template)[order], np.array(place)[order]
+        self.post_clause, self.post_place = np.array(clause)[order], np.array(place)[order]
         self.post_n = np.bincount(np.array(word), minlength=len(self.vocabulary))
         self.post_begin = np.cumsum(self.post_n) - self.post_n
 
@@ -117,41 +111,62 @@ def _document_counts(notices):
 
 
 def build_index(files: DataFrame, text_col: str = "text", templates=TEMPLATES, phrases=PHRASES) -> Notices:
-    """The index of the templates, with licence words weighed by their IDF over all files."""
+    """The index of the licence texts, with licence words weighed by their IDF over all files."""
     spark = prepare(files.sparkSession)
     notices = Notices(templates, phrases)
     held = spark.sparkContext.broadcast(notices)
-    counts = files.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_document_counts(held), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = {r.word: r.n for r in counts.collect()}  # a row for each word of the templates
+    counts = files.select(named(text_col).cast("string").alias("text")).mapInArrow(_document_counts(held), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = {r.word: r.n for r in counts.collect()}  # a row for each word of the licences
     notices.index(found.get(-1, 0), np.array([found.get(k, 0) for k in range(len(notices.vocabulary))]))
     return notices
 
 
 def _verified(n: Notices, w: Words, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, template, first word place, score) of every template that stands in a file."""
+    """(row, clause, first word place, score) of every clause that stands in a file."""
     hits = n.post_n[word]
     owner = np.repeat(np.arange(len(at)), hits)
     post = np.arange(int(hits.sum())) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(n.post_begin[word], hits)
-    template, start = n.post_template[post], at[owner] - n.post_place[post]
+    clause, start = n.post_clause[post], at[owner] - n.post_place[post]
     row = w.row()
     of = row[at[owner]]
-    inside = (start >= w.first[of]) & (start + np.array([len(t) for t in n.templates])[template] <= w.first[of + 1])
-    places, votes = np.unique(np.stack([template, start])[:, inside], axis=1, return_counts=True)
+    inside = (start >= w.first[of]) & (start + np.array([len(t) for t in n.clauses])[clause] <= w.first[of + 1])
+    places, votes = np.unique(np.stack([clause, start])[:, inside], axis=1, return_counts=True)
     dense = np.full(len(w.h) + 1, -1, np.int64)
     dense[at] = word
     out = []
-    for k, t in enumerate(n.templates):
+    for k in np.unique(places[0]).tolist():
+        t = n.clauses[k]
         s = places[1][(places[0] == k) & (votes >= AGREE * n.anchors[k])]
         if len(s):
             same = dense[s[:, None] + np.arange(len(t))] == t
-            score = (same * n.idf[t]).sum(1) / n.idf[t].sum()
+            score = (same * n.idf[t]).sum(1) / n.weight[k]
             ok = same[:, n.mandatory[k]].all(1) & (score >= COVERED)
             out.append(np.stack([row[s[ok]], np.full(int(ok.sum()), k), s[ok], np.minimum(1, score[ok])]))
     found = np.concatenate(out, axis=1) if out else np.zeros((4, 0))
-    found = found[:, np.lexsort((found[1], found[2], found[0]))]
     return found[0].astype(np.int64), found[1].astype(np.int64), found[2].astype(np.int64), found[3]
 
 
+def _findings(n: Notices, row: np.ndarray, clause: np.ndarray, start: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, licence, begin, end, score) of the licences that verified clauses make up."""
+    licence = n.of[clause]
+    if not len(row):
+        return row, licence, start, start, score
+    order = np.lexsort((clause, -score, start, licence, row))
+    key = np.stack([row, licence, start])[:, order]
+    best = order[np.append(True, (key[:, 1:] != key[:, :-1]).any(0))]  # of like clauses at one place the one that fits best
+    row, clause, start, score, licence = row[best], clause[best], start[best], score[best], licence[best]
+    end = start + np.array([len(t) for t in n.clauses])[clause]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (licence[1:] != licence[:-1]) | (clause[1:] <= clause[:-1]) | (start[1:] - end[:-1] > n.length[licence[1:]])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(row)) - 1
+    must = np.array([m.any() for m in n.mandatory])[clause]
+    whole = np.add.reduceat(must.astype(int), first) == n.needed[licence[first]]
+    total = np.add.reduceat(score * n.share[clause], first)
+    ok = whole & (total >= COVERED)
+    return row[first][ok], licence[first][ok], start[first][ok], end[last][ok], np.minimum(1, total[ok])
+
+
 def _scan(notices):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = notices.value
@@ -177,7 +192,9 @@ def _scan(notices):
                 first, last = np.full(w.rows, -1), np.full(w.rows, -1)
                 last[of] = places - w.first[of]
                 first[of[::-1]] = (places - w.first[of])[::-1]
-                t_row, t, t_at, t_score = _verified(n, w, at, word)
+                t_row, t, t_at, t_end, t_score = _findings(n, *_verified(n, w, at, word))
+                by = np.lexsort((t, t_at, t_row))
+                t_row, t, t_at, t_end, t_score = (x[by] for x in (t_row, t, t_at, t_end, t_score))
                 best = np.where(n_base > 0, MENTION, 0.0)
                 best[t_row] = 0
                 np.maximum.at(best, t_row, t_score)
@@ -185,8 +202,7 @@ def _scan(notices):
                 for r, k in zip(t_row.tolist(), t.tolist(), strict=True):
                     labels[r].add(n.labels[k])
                 per = np.bincount(t_row, minlength=w.rows)
-                t_at = t_at - w.first[t_row]
-                t_end = t_at + np.array([len(x) for x in n.templates])[t]
+                t_at, t_end = t_at - w.first[t_row], t_end - w.first[t_row]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), pa.array(w.counts(), pa.int64()), pa.array(n_base, pa.int64()),
@@ -206,10 +222,10 @@ _FOUND = "id long, n_words long, n_base long, first_word long, last_word long, b
 def scan(files: DataFrame, notices: Notices, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per file: id, n_words, n_base, first_word, last_word, base_labels, labels, score, notices.
 
-    `notices` lists the verified templates as (label, begin, end, covered), places in words, end exclusive.
+    `notices` lists the findings as (label, begin, end, covered), places in words, end exclusive.
     """
     spark = prepare(files.sparkSession)
-    rows = files.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = files.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_scan(spark.sparkContext.broadcast(notices)), _FOUND)
     spans = F.arrays_zip(F.col("notice").alias("label"), "begin", "end", "covered").alias("notices")
     return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", spans)

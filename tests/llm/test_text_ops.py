@@ -327,19 +327,83 @@ def brute_license(t):
     return len(w), len(at), min(at, default=None), max(at, default=None), sorted(labels)
 
 
+def brute_findings(texts):
+    """{place in texts: (labels, best score)}: every clause at every place, word by word."""
+    import math
+
+    scan = license_scan
+    words = [ALNUM.findall(fold(t)) for t in texts]
+    known = {x for _, t, _ in scan.TEMPLATES for x in ALNUM.findall(fold(t))}
+    files = collections.Counter(x for w in words for x in set(w) & known)
+    idf = lambda x: math.log((len(texts) + 1) / (files[x] + 1)) + 1e-6
+    licences = []
+    for label, text, keys in scan.TEMPLATES:
+        parts = [ALNUM.findall(fold(c)) for c in text.split("\n\n")]
+        must = [set() for _ in parts]
+        for key in keys:
+            k = key.split()
+            c, i = next((c, i) for c, p in enumerate(parts) for i in range(len(p)) if p[i : i + len(k)] == k)
+            must[c] |= set(range(i, i + len(k)))
+        licences.append((label, parts, must, sum(idf(x) for p in parts for x in p), sum(map(len, parts))))
+    out = {}
+    for n, w in enumerate(words):
+        labels, best = set(), 0.0
+        for label, parts, must, weight, length in licences:
+            found = []
+            for c, p in enumerate(parts):
+                top = scan.RARE * max(map(idf, p))
+                rare = [k for k, x in enumerate(p) if idf(x) >= top]
+                for i in range(len(w) - len(p) + 1):
+                    same = [w[i + k] == x for k, x in enumerate(p)]
+                    share = sum(idf(x) for x, ok in zip(p, same, strict=True) if ok) / sum(map(idf, p))
+                    if sum(same[k] for k in rare) >= scan.AGREE * len(rare) and all(same[k] for k in must[c]) and share >= scan.COVERED:
+                        found.append((i, c, i + len(p), min(1, share)))
+            runs, last = [], None
+            at = {i: min((-s, c, end) for j, c, end, s in found if j == i) for i, *_ in found}
+            for x in sorted((i, c, end, -s) for i, (s, c, end) in at.items()):
+                if last is None or x[1] <= last[1] or x[0] - last[2] > length:
+                    runs.append([])
+                runs[-1].append(x)
+                last = x
+            for run in runs:
+                score = sum(s * sum(map(idf, parts[c])) / weight for _, c, _, s in run)
+                if {c for c, m in enumerate(must) if m} <= {c for _, c, _, _ in run} and score >= scan.COVERED:
+                    labels.add(label)
+                    best = max(best, min(1, score))
+        out[n] = (labels, best)
+    return out
+
+
 def test_license(table):
     got = license_scan.scan(table, license_scan.build_index(table)).collect()
     base = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got]
     assert sorted(base, key=str) == sorted([(r.doc_id, *brute_license(r.text)) for r in table.collect()], key=str)
-    text = collections.defaultdict(list)
-    for r in table.collect():
-        text[r.doc_id].append(" ".join(ALNUM.findall(fold(r.text))))
-    for r in got:
-        assert set(r.base_labels) <= set(r.labels) and 0 <= r.score <= 1
-    for label, notice, _ in license_scan.TEMPLATES:
-        norm = " ".join(ALNUM.findall(fold(notice)))
-        want = {i for i, ts in text.items() for t in ts if f" {norm} " in f" {t} "}
-        assert want <= {r.doc_id for r in got if label in r.labels}
+
+
+def licence_texts():
+    """Whole licences, with a heading, an inserted line, changed words, a missing clause, two at once, and near misses."""
+    texts = {label: t for label, t, _ in license_scan.TEMPLATES}
+    mit, apache, bsd = texts["mit"], texts["apache-2.0"], texts["bsd-3-clause"]
+    out = [t for _, t, _ in license_scan.TEMPLATES]
+    out += ["Copyright 2020 Someone\n\n" + mit, "x " * 300 + apache.replace("\n\n", "\nSee also the notice file.\n"), mit.replace("AUTHORS", "WRITERS").replace("TORT", "LAW"), mit + "\n" + bsd, mit + " " + mit]
+    out += [mit.split("\n\n")[2], mit.replace("without restriction", "with some restriction"), "Released under the MIT Licence.", "permission is hereby granted", "", None, "MIT License and Apache License", " ".join(reversed(apache.split()))]
+    return out
+
+
+@pytest.mark.parametrize("which", ["small", "licences"])
+def test_license_labels_and_scores(spark, docs, which):
+    rows = [r.text for r in docs.where("length(text) < 3000").limit(60).collect()] if which == "small" else licence_texts()
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(table, license_scan.build_index(table)).collect()}
+    want = brute_findings(rows)
+    for i, text in enumerate(rows):
+        base = set(brute_license(text)[4])
+        labels, best = want[i]
+        assert set(got[i].labels) == labels | base, (i, text)
+        assert abs(got[i].score - max(best, 0 if labels else license_scan.MENTION if base else 0)) < 1e-9
+        assert {x.label for x in got[i].notices} == labels
+    if which == "licences":
+        assert all(label in got[i].labels for i, (label, _, _) in enumerate(license_scan.TEMPLATES))
 
 
 def test_toxicity(spark, small, rows):
