@@ -1,3 +1,3 @@
-"""cadenza: timestamped media and corpus analytics expressed as Spark DataFrames."""
+"""cadenza: timed streams and corpus analytics expressed as Spark DataFrames."""
 
 __version__ = "0.1.0"

@@ -6,7 +6,7 @@ from __future__ import annotations
 CODES = ("capability-miss", "unsupported-input", "decode-error", "encode-error", "demux-error", "mux-error", "aborted", "driver-incompatible")
 
 
-class MediaError(Exception):
+class EngineError(Exception):
     """Any error of the engine, with a machine-readable code and optional detail."""
 
     def __init__(self, code: str, message: str, detail: object = None) -> None:
@@ -19,7 +19,7 @@ class MediaError(Exception):
         return type(self), (self.code, self.args[0], self.detail)
 
 
-class CapabilityError(MediaError):
+class CapabilityError(EngineError):
     """Nothing registered can do this; `detail` has op, tried and perhaps a suggestion."""
 
     @classmethod
@@ -27,7 +27,7 @@ class CapabilityError(MediaError):
         return cls("capability-miss", message, {"op": op, "tried": list(tried), "suggestion": suggestion})
 
 
-class InputError(MediaError):
+class InputError(EngineError):
     """The input or an argument is empty, garbled, out of range or of an unknown kind."""
 
     @classmethod

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..errors import InputError, MediaError
+from ..errors import InputError, EngineError
 
 #: Tokens of public targets and the default strings they stand for.
 TOKENS = {"h264": "avc1.42E01E", "hevc": "hvc1.1.6.L93.B0", "vp8": "vp8", "vp9": "vp09.00.10.08", "av1": "av01.0.04M.08", "aac": "mp4a.40.2", "opus": "opus", "mp3": "mp3", "vorbis": "vorbis", "flac": "flac"}
@@ -16,7 +16,7 @@ TOKENS = {"h264": "avc1.42E01E", "hevc": "hvc1.1.6.L93.B0", "vp8": "vp8", "vp9":
 
 def _need(data: bytes, n: int, what: str) -> bytes:
     if len(data) < n:
-        raise MediaError("demux-error", f"{what} is cut off")
+        raise EngineError("demux-error", f"{what} is cut off")
     return data
 
 
@@ -90,7 +90,7 @@ def vp8_frame(data: bytes) -> Frame:
     if data[0] & 1:
         return Frame(False)
     if _need(data, 10, "a VP8 frame")[3:6] != b"\x9d\x01\x2a":
-        raise MediaError("decode-error", "a VP8 keyframe has no start code")
+        raise EngineError("decode-error", "a VP8 keyframe has no start code")
     w, h = struct.unpack("<HH", data[6:10])
     return Frame(True, w & 0x3FFF, h & 0x3FFF)
 
@@ -102,12 +102,12 @@ def vp9_frame(data: bytes) -> Frame:
     def u(n: int) -> int:
         nonlocal at
         if at + n > len(bits):
-            raise MediaError("decode-error", "a VP9 frame is cut off")
+            raise EngineError("decode-error", "a VP9 frame is cut off")
         at += n
         return int(bits[at - n : at], 2)
 
     if u(2) != 2:
-        raise MediaError("decode-error", "not a VP9 frame")
+        raise EngineError("decode-error", "not a VP9 frame")
     profile = u(1) | u(1) << 1
     if profile == 3:
         u(1)
@@ -118,7 +118,7 @@ def vp9_frame(data: bytes) -> Frame:
     if inter:
         return Frame(False)
     if u(24) != 0x498342:
-        raise MediaError("decode-error", "a VP9 keyframe has no sync code")
+        raise EngineError("decode-error", "a VP9 keyframe has no sync code")
     if profile >= 2:
         u(1)
     if u(3) != 7:
@@ -139,7 +139,7 @@ def read_ivf(data: bytes) -> tuple[str, int, int, float, list[tuple[int, int, in
     while at + 12 <= len(data):
         size, ticks = struct.unpack("<IQ", data[at : at + 12])
         if at + 12 + size > len(data):
-            raise MediaError("demux-error", "an IVF frame is cut off")
+            raise EngineError("demux-error", "an IVF frame is cut off")
         out.append((at + 12, size, ticks))
         at += 12 + size
     return data[8:12].decode("latin1"), w, h, rate / (scale or 1), out

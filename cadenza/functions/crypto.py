@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import InputError, MediaError
+from ..errors import InputError, EngineError
 
 BLOCK = 16
 
@@ -34,7 +34,7 @@ def hls_aes128(data: Column, key: Column, iv: Column) -> Column:
 
 
 def implicit_iv(sequence: Column) -> Column:
-    """16 bytes big-endian of the media sequence number."""
+    """16 bytes big-endian of a playlist's sequence number."""
     return F.unhex(F.lpad(F.hex(sequence.cast("bigint")), 32, "0"))
 
 
@@ -71,10 +71,18 @@ def _times(n: int) -> np.ndarray:
     return out
 
 
-_MUL = {n: _times(n) for n in (2, 3, 9, 11, 13, 14)}
-#: Byte (row r, column c) is at 4 c + r; row r moves r columns to the left.
-_SHIFT = np.array([4 * ((c + r) % 4) + r for c in range(4) for r in range(4)])
-_UNSHIFT = np.argsort(_SHIFT)
+def _words(box: np.ndarray, factors: tuple[int, int, int, int]) -> list[np.ndarray]:
+    """Per row of the state, what a byte there adds to its column: box and column mixing in one lookup."""
+    rows = np.stack([box if f == 1 else _times(f)[box] for f in factors], 1)
+    return [np.ascontiguousarray(np.roll(rows, r, axis=1)).view(np.uint32).ravel() for r in range(4)]
+
+
+_FORWARD = _words(SBOX, (2, 1, 1, 3))
+_BACKWARD = _words(INVERSE, (14, 9, 13, 11))
+_MIX_ONLY = _words(np.arange(256, dtype=np.uint8), (14, 9, 13, 11))
+#: Byte (row r, column c) is at 4 c + r; encryption moves row r by r columns to the left, decryption to the right.
+_SHIFT = [[4 * ((c + r) % 4) + r for r in range(4)] for c in range(4)]
+_UNSHIFT = [[4 * ((c - r) % 4) + r for r in range(4)] for c in range(4)]
 
 
 @lru_cache(maxsize=64)
@@ -94,27 +102,32 @@ def _round_keys(key: bytes) -> np.ndarray:
     return np.frombuffer(b"".join(words), np.uint8).reshape(-1, 16)
 
 
-def _columns(s: np.ndarray, a: int, b: int, c: int, d: int) -> np.ndarray:
-    x = s.reshape(-1, 4, 4)
-    m = lambda n, v: v if n == 1 else _MUL[n][v]
-    out = [m(a, x[:, :, r]) ^ m(b, x[:, :, (r + 1) % 4]) ^ m(c, x[:, :, (r + 2) % 4]) ^ m(d, x[:, :, (r + 3) % 4]) for r in range(4)]
-    return np.stack(out, 2).reshape(-1, 16)
+def _rounds(keys: np.ndarray, blocks: np.ndarray, tables: list[np.ndarray], box: np.ndarray, places: list[list[int]]) -> np.ndarray:
+    """All rounds over n x 16 blocks; the state is kept with a contiguous row for each of the 16 bytes."""
+    s = np.ascontiguousarray((blocks ^ keys[0]).T)
+    for k in keys[1:-1]:
+        key = np.ascontiguousarray(k).view(np.uint32)
+        w = np.stack([tables[0][s[p[0]]] ^ tables[1][s[p[1]]] ^ tables[2][s[p[2]]] ^ tables[3][s[p[3]]] ^ key[c] for c, p in enumerate(places)])
+        s = np.ascontiguousarray(w.view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1)).reshape(16, -1)
+    return np.ascontiguousarray(box[s[[x for p in places for x in p]]].T) ^ keys[-1]
 
 
 def encrypt_blocks(key: bytes, blocks: np.ndarray) -> np.ndarray:
-    k = _round_keys(key)
-    s = blocks ^ k[0]
+    return _rounds(_round_keys(key), blocks, _FORWARD, SBOX, _SHIFT)
+
+
+@lru_cache(maxsize=64)
+def _inverse_keys(key: bytes) -> np.ndarray:
+    """Round keys from last to first, the inner ones mixed, so that decryption has the rounds of encryption."""
+    k = _round_keys(key)[::-1].copy()
     for i in range(1, len(k) - 1):
-        s = _columns(SBOX[s][:, _SHIFT], 2, 3, 1, 1) ^ k[i]
-    return SBOX[s][:, _SHIFT] ^ k[-1]
+        b = k[i].reshape(4, 4)
+        k[i] = (_MIX_ONLY[0][b[:, 0]] ^ _MIX_ONLY[1][b[:, 1]] ^ _MIX_ONLY[2][b[:, 2]] ^ _MIX_ONLY[3][b[:, 3]]).view(np.uint8)
+    return k
 
 
 def decrypt_blocks(key: bytes, blocks: np.ndarray) -> np.ndarray:
-    k = _round_keys(key)
-    s = blocks ^ k[-1]
-    for i in range(len(k) - 2, 0, -1):
-        s = _columns(INVERSE[s[:, _UNSHIFT]] ^ k[i], 14, 11, 13, 9)
-    return INVERSE[s[:, _UNSHIFT]] ^ k[0]
+    return _rounds(_inverse_keys(key), blocks, _BACKWARD, INVERSE, _UNSHIFT)
 
 
 def _as_blocks(data: bytes) -> np.ndarray:
@@ -172,12 +185,12 @@ def decrypt_sample(scheme: str, key: bytes, iv: bytes, data: bytes, subsamples:
     if scheme not in ("cenc", "cens", "cbcs"):
         raise InputError.bad(f"unknown scheme {scheme!r}")
     if not iv:
-        raise MediaError("decode-error", "a protected sample has no IV")
+        raise EngineError("decode-error", "a protected sample has no IV")
     iv = iv.ljust(BLOCK, b"\0")
     out, at, used = bytearray(data), 0, 0
     parts = subsamples or [(0, len(data))]
     if sum(a + b for a, b in parts) > len(data):
-        raise MediaError("decode-error", "subsamples run over the sample")
+        raise EngineError("decode-error", "subsamples run over the sample")
     if scheme == "cenc" and continuous:
         spans = []
         for clear, size in parts:

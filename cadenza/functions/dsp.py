@@ -74,8 +74,14 @@ def fade_out(blocks: DataFrame, frames: int, shape: str = "linear") -> DataFrame
     return _ramp(rows, F.col("start_frame") - (F.col("_all") - F.col("_n")), F.col("_n"), shape, False).drop("_n", "_all")
 
 
-def remix(blocks: DataFrame, source: int, target: int) -> DataFrame:
-    """Channel layouts 1, 2 and 6 (L R C LFE Ls Rs); the surround downmix leaves the LFE out."""
+#: Channel layouts that can be turned into one another (1, 2, and 6: L R C LFE Ls Rs), besides equal ones.
+REMIXES = ((1, 2), (2, 1), (2, 6), (6, 2), (6, 1))
+
+
+def remix(blocks: DataFrame, source: int | None, target: int) -> DataFrame:
+    """Channel layouts 1, 2 and 6; the surround downmix leaves the LFE out.
+
+    Without `source` each block has its own, in `channels`; one that can't be turned raises when it is read."""
     if target <= 0:
         raise CapabilityError.miss(f"invalid target channel count {target}", "filter")
     if source == target:
@@ -92,7 +98,14 @@ def remix(blocks: DataFrame, source: int, target: int) -> DataFrame:
         (6, 2): lambda: F.array(side(0, 4), side(1, 5)),
         (6, 1): lambda: F.array(half(plus(side(0, 4), side(1, 5)))),
     }
-    if (source, target) not in ways:
+    if source is None:
+        planar = F.when(F.col("channels") == target, F.col("planar"))
+        for a, b in REMIXES:
+            if b == target:
+                planar = planar.when(F.col("channels") == a, ways[a, b]())
+        wrong = F.raise_error(F.concat(F.lit("unsupported channel remix "), F.col("channels").cast("string"), F.lit(f" to {target}"))).cast("array<array<double>>")
+        return blocks.withColumns({"planar": planar.otherwise(wrong), "channels": F.lit(target)})
+    if (source, target) not in REMIXES:
         raise CapabilityError.miss(f"unsupported channel remix {source} to {target}", "filter")
     return blocks.withColumns({"planar": ways[source, target](), "channels": F.lit(target)})
 
@@ -155,12 +168,12 @@ def whole_tracks(blocks: DataFrame, f: Callable[[np.ndarray, int], tuple[np.ndar
         else:
             edge = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         rows = [(k, a, [c.tolist() for c in out[:, a:b]]) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
-        return pd.DataFrame(
-            {"asset_id": part.asset_id.iloc[0], "track_id": part.track_id.iloc[0], "block_no": [r[0] for r in rows], "start_frame": [r[1] for r in rows], "sample_rate": rate, "channels": len(out), "planar": [r[2] for r in rows]}
-        )
+        made = {"asset_id": part.asset_id.iloc[0], "track_id": part.track_id.iloc[0], "block_no": [r[0] for r in rows], "start_frame": [r[1] for r in rows], "sample_rate": rate, "channels": len(out), "planar": [r[2] for r in rows]}
+        return pd.DataFrame(made | ({"fmt": part.fmt.iloc[0]} if with_format else {}))
 
-    rows = blocks.select("asset_id", F.col("track_id").cast("int").alias("track_id"), "block_no", "start_frame", "sample_rate", "channels", "planar")
-    return rows.groupBy(*TRACK).applyInPandas(run, PCM_BLOCKS)
+    with_format = "fmt" in blocks.columns  # the sample format of the file goes along
+    rows = blocks.select("asset_id", F.col("track_id").cast("int").alias("track_id"), "block_no", "start_frame", "sample_rate", "channels", "planar", *(["fmt"] if with_format else []))
+    return rows.groupBy(*TRACK).applyInPandas(run, PCM_BLOCKS + (", fmt string" if with_format else ""))
 
 
 _table: np.ndarray | None = None

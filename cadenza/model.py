@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 TRACK = ("asset_id", "track_id")
 
 TRACKS = (
-    "asset_id bigint, track_id int, media_type string, codec string, timescale int, duration_sec double, fps double, rotation int, encrypted boolean, alpha boolean, "
+    "asset_id bigint, track_id int, track_kind string, codec string, timescale int, duration_sec double, fps double, rotation int, encrypted boolean, alpha boolean, "
     "width int, height int, sample_rate int, channels int, gapless struct<leading:bigint,trailing:bigint,total:bigint>"
 )
 PACKETS = "asset_id bigint, track_id int, seq bigint, offset bigint, size_bytes bigint, pts_us bigint, dts_us bigint, duration_us bigint, keyframe boolean"

@@ -17,10 +17,11 @@ def container_duration(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("asset_id").agg(F.max(F.coalesce("duration_sec", F.lit(0.0))).alias("duration_sec"))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at floor(n / 2) of the sorted values, as an aggregate (no interpolation)."""
-    kept = F.sort_array(F.collect_list(values))
-    return F.get(kept, F.floor(F.size(kept) / 2).cast("int"))
+def upper_median(rows: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+    """(by, value): the element at floor(n / 2) of the sorted values of each group, no interpolation, by rank; no group is held as a whole."""
+    known = rows.where(F.col(value).isNotNull())
+    ranked = known.select(*by, value, F.row_number().over(Window.partitionBy(*by).orderBy(value)).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+    return ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*by, value)
 
 
 def ts_duration(packets: DataFrame, ticks: str = "pts_ticks") -> DataFrame:
@@ -28,8 +29,8 @@ def ts_duration(packets: DataFrame, ticks: str = "pts_ticks") -> DataFrame:
 
     Tracks with fewer than two units or no positive span don't count."""
     order = Window.partitionBy(*TRACK).orderBy(ticks)
-    gaps = packets.withColumn("_gap", F.col(ticks) - F.lag(ticks).over(order))
-    spans = gaps.groupBy(*TRACK).agg(F.min(ticks).alias("a"), F.max(ticks).alias("b"), upper_median(F.col("_gap")).alias("gap")).where("b > a")
+    gaps = packets.select(*TRACK, ticks, (F.col(ticks) - F.lag(ticks).over(order)).alias("gap"))
+    spans = gaps.groupBy(*TRACK).agg(F.min(ticks).alias("a"), F.max(ticks).alias("b")).where("b > a").join(upper_median(gaps, "gap", TRACK), list(TRACK), "left")
     total = F.max("b") - F.min("a") + F.coalesce(F.min(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(0))
     return spans.groupBy("asset_id").agg((total / TS_CLOCK).alias("duration_sec"))
 
@@ -45,15 +46,13 @@ def snapped_fps(packets: DataFrame, unit_us: float = 1.0) -> DataFrame:
 def level(blocks: DataFrame) -> DataFrame:
     """Peak and RMS of each asset over all channels and samples.
 
-    Every block is summed in sample order; blocks are added in their order, so the result doesn't depend
-    on the partitioning."""
+    Every block is summed in sample order; the blocks' sums are added as they come, so the last bits of the RMS
+    may depend on the partitioning, and no track is held as a whole."""
     flat = F.flatten("planar")
     peak = F.aggregate(flat, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     power = F.aggregate(flat, F.lit(0.0), lambda a, x: a + x * x)
-    per = blocks.select("asset_id", "track_id", "block_no", peak.alias("peak"), power.alias("power"), F.size(flat).alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("track_id", "block_no", "power")))
-    total = F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["power"])
-    out = per.groupBy("asset_id").agg(F.max("peak").alias("peak"), total.alias("power"), F.sum("n").alias("n"))
+    per = blocks.select("asset_id", peak.alias("peak"), power.alias("power"), F.size(flat).alias("n"))
+    out = per.groupBy("asset_id").agg(F.max("peak").alias("peak"), F.sum("power").alias("power"), F.sum("n").alias("n"))
     return out.select("asset_id", "peak", F.when(F.col("n") > 0, F.sqrt(F.col("power") / F.col("n"))).otherwise(F.lit(0.0)).alias("rms"), "n")
 
 
@@ -82,7 +81,7 @@ def run_length_decode(runs: DataFrame, value: str) -> DataFrame:
 
 def declared_end(tracks: DataFrame, slack_ms: int) -> DataFrame:
     """The latest declared video end where audio runs over it by no more than the slack, else the latest end."""
-    video = F.max(F.when(F.col("media_type") == "video", F.col("end_ms")))
+    video = F.max(F.when(F.col("track_kind") == "video", F.col("end_ms")))
     return tracks.groupBy("asset_id").agg(F.when((video > 0) & (F.max("end_ms") <= video + slack_ms), video).otherwise(F.max("end_ms")).alias("end_ms"))
 
 

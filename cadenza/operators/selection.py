@@ -28,12 +28,12 @@ def check_range(start_sec: float, end_sec: float, duration_sec: float | None = N
     if start_sec < 0 or end_sec <= start_sec:
         raise InputError.bad("trim needs 0 <= start < end")
     if duration_sec is not None and (start_sec >= duration_sec or end_sec > duration_sec + END_SLACK_SEC):
-        raise InputError.bad("trim lies outside the media")
+        raise InputError.bad("trim lies outside the file")
     return math.floor(start_sec * 1e6 + 0.5), math.floor(end_sec * 1e6 + 0.5)
 
 
 def _video() -> Column:
-    return F.col("media_type") == "video"
+    return F.col("track_kind") == "video"
 
 
 def _first(cond: Column, value: str = "seq") -> Column:
@@ -151,7 +151,7 @@ _SELECTOR = re.compile(r"(video|audio):(\d+)(?:@(\d+))?")
 def select_tracks(tracks: DataFrame, selectors: Sequence[str]) -> DataFrame:
     """Tracks named by `video:N` or `audio:N[@source]`, once each, with `ordinal` in the order asked for.
 
-    N counts within the media type. Selectors of another source than 0 select nothing; an asset without
+    N counts within the kind of track. Selectors of another source than 0 select nothing; an asset without
     any selected track has no rows (the single-file verbs raise then)."""
     wanted: dict[tuple[str, int], int] = {}
     for i, raw in enumerate(selectors):
@@ -162,10 +162,10 @@ def select_tracks(tracks: DataFrame, selectors: Sequence[str]) -> DataFrame:
             wanted.setdefault((m[1], int(m[2])), i)
     if not selectors:
         return tracks.withColumn("ordinal", F.row_number().over(Window.partitionBy("asset_id").orderBy("track_id")) - 1)
-    rank = F.row_number().over(Window.partitionBy("asset_id", "media_type").orderBy("track_id")) - 1
+    rank = F.row_number().over(Window.partitionBy("asset_id", "track_kind").orderBy("track_id")) - 1
     ordinal = F.lit(None).cast("int")
     for (kind, n), i in wanted.items():
-        ordinal = F.when((F.col("media_type") == kind) & (F.col("_n") == n), F.lit(i)).otherwise(ordinal)
+        ordinal = F.when((F.col("track_kind") == kind) & (F.col("_n") == n), F.lit(i)).otherwise(ordinal)
     return tracks.withColumn("_n", rank).withColumn("ordinal", ordinal).where("ordinal is not null").drop("_n")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError
@@ -85,7 +85,7 @@ def unwrap_33(packets: DataFrame, ticks: str = "ticks33", order: str = "seq") ->
 
 def fragment_runs(packets: DataFrame, most: int = FRAGMENT_BLOCKS) -> DataFrame:
     """Fragment number of each packet: video breaks at keyframes and after `most`, other tracks after `most`."""
-    video = F.col("media_type") == "video"
+    video = F.col("track_kind") == "video"
     island = F.sum(F.when(video & F.col("keyframe"), 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     rows = packets.withColumn("_i", island)
     rows = rows.withColumn("_s", F.floor((F.row_number().over(Window.partitionBy(*TRACK, "_i").orderBy("seq")) - 1) / most))
@@ -155,8 +155,8 @@ class _Lazy(Breaks):
         super().__init__()
         self.target, self.most = target, most
 
-    def row(self, key, media_type) -> bool:
-        video = media_type == "video"
+    def row(self, key, track_kind) -> bool:
+        video = track_kind == "video"
         fresh = self.n == 0 or (not video and self.n >= self.target) or (video and ((key and self.n >= self.target) or self.n >= self.most))
         self.n = 1 if fresh else self.n + 1
         return bool(fresh)
@@ -164,7 +164,7 @@ class _Lazy(Breaks):
 
 def lazy_fragment_runs(packets: DataFrame, target: int = LAZY_TARGET, most: int = LAZY_MAX) -> DataFrame:
     """Runs of about `target` packets that end at keyframes, `most` at the latest."""
-    return greedy_runs(packets, lambda: _Lazy(target, most), ["keyframe", "media_type"], ["seq"])
+    return greedy_runs(packets, lambda: _Lazy(target, most), ["keyframe", "track_kind"], ["seq"])
 
 
 class _Riff(Breaks):
@@ -213,28 +213,37 @@ def expand_sample_tables(tables: DataFrame) -> DataFrame:
     without stss every sample is a keyframe. `edit` (ticks) is subtracted from presentation times. The
     result is in ticks.
     """
-    by = Window.partitionBy(*TRACK)
-    base = tables.select(*TRACK, "st", F.coalesce("edit", F.lit(0)).alias("edit"))
-
-    def runs(column: str, value: str, out: str) -> DataFrame:
-        flat = base.select(*TRACK, F.posexplode(F.col(f"st.{column}")).alias("_i", "_r")).where("_r.count > 0")
-        flat = flat.withColumn("seq", F.coalesce(F.sum("_r.count").over(by.orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
-        return flat.select(*TRACK, "seq", F.col(f"_r.{value}").cast("bigint").alias(out))
-
-    chunks = base.select(*TRACK, F.posexplode("st.stco").alias("_c", "chunk_offset"), "st.stsc")
-    # Entries count in their order: those up to the first whose first_chunk lies beyond this chunk.
-    reach = F.aggregate("stsc", F.struct(F.lit(0).alias("per"), F.lit(True).alias("on")), lambda a, e: F.struct(F.when(a["on"] & (e["first_chunk"] <= F.col("_c") + 1), e["per_chunk"].cast("int")).otherwise(a["per"]).alias("per"), (a["on"] & (e["first_chunk"] <= F.col("_c") + 1)).alias("on")))
-    chunks = chunks.withColumn("per", reach["per"]).withColumn("first", F.coalesce(F.sum("per").over(by.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")).where("per > 0")
-    placed = chunks.select(*TRACK, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("per") - 1)).alias("seq"), "_c", "chunk_offset")
-    sizes = base.select(*TRACK, F.posexplode("st.stsz").alias("seq", "size_bytes"), (F.size("st.ctts") > 0).alias("has_ctts"), (F.size("st.stss") == 0).alias("all_sync"), "edit")
-    rows = sizes.withColumn("seq", F.col("seq").cast("bigint")).join(placed, [*TRACK, "seq"])
-    for table in (runs("stts", "delta", "_delta"), runs("ctts", "offset", "_ctts"), base.select(*TRACK, F.explode("st.stss").alias("_n")).select(*TRACK, (F.col("_n") - 1).cast("bigint").alias("seq"), F.lit(True).alias("_key")).distinct()):
-        rows = rows.join(table, [*TRACK, "seq"], "left")
-    upto = in_order().rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"delta": F.coalesce(F.last("_delta", ignorenulls=True).over(upto), F.lit(0)), "ctts": F.when(F.col("has_ctts"), F.coalesce(F.last("_ctts", ignorenulls=True).over(upto), F.lit(0))).otherwise(F.lit(0)).cast("bigint")})
-    inside = Window.partitionBy(*TRACK, "_c").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"offset": (F.col("chunk_offset") + F.coalesce(F.sum("size_bytes").over(inside), F.lit(0))).cast("bigint"), "dts_ticks": F.coalesce(F.sum("delta").over(earlier()), F.lit(0)).cast("bigint")})
-    return rows.select(*TRACK, "seq", "offset", F.col("size_bytes").cast("bigint").alias("size_bytes"), "dts_ticks", (F.col("dts_ticks") + F.col("ctts") - F.col("edit")).cast("bigint").alias("pts_ticks"), F.col("delta").alias("duration_ticks"), (F.col("all_sync") | F.coalesce("_key", F.lit(False))).alias("keyframe"))
+    first = lambda a, b: F.slice(a, 1, b)
+
+    def spread(column: str, value: str, n: Column) -> Column:
+        """The values of the runs, one a sample; the last one goes on, none at all gives 0."""
+        runs = F.filter(f"st.{column}", lambda r: r["count"] > 0)
+        flat = F.flatten(F.transform(runs, lambda r: F.array_repeat(r[value].cast("bigint"), r["count"].cast("int"))))
+        last = F.coalesce(F.element_at(F.transform(runs, lambda r: r[value].cast("bigint")), -1), F.lit(0).cast("bigint"))
+        return first(F.concat(flat, F.array_repeat(last, F.greatest(n - F.size(flat), F.lit(0)))), n)
+
+    # Entries of stsc count in their order: those up to the first whose first_chunk lies beyond a chunk.
+    chunk_no = F.sequence(F.lit(1), F.size("st.stco"))
+    start = F.struct(F.lit(0).alias("per"), F.lit(True).alias("on"))
+    reach = lambda c: F.aggregate("st.stsc", start, lambda a, e: F.struct(F.when(a["on"] & (e["first_chunk"] <= c), e["per_chunk"].cast("int")).otherwise(a["per"]).alias("per"), (a["on"] & (e["first_chunk"] <= c)).alias("on")))["per"]
+    chunks = F.when(F.size("st.stco") > 0, F.flatten(F.transform(chunk_no, lambda c: F.array_repeat(c, F.greatest(reach(c), F.lit(0)))))).otherwise(F.array().cast("array<int>"))
+    rows = tables.select(*TRACK, "st", F.coalesce("edit", F.lit(0)).alias("edit"), chunks.alias("chunks"))
+    n = F.least(F.size("st.stsz"), F.size("chunks"))
+    # Keyframes from the gaps between their numbers, in order.
+    keys = F.sort_array(F.array_distinct(F.filter("st.stss", lambda k: (k > 0) & (k <= F.size("chunks")))))
+    rows = rows.withColumns({"n": n, "keys": keys})
+    flags = F.flatten(F.transform("keys", lambda k, i: F.concat(F.array_repeat(F.lit(False), k - F.coalesce(F.get("keys", i - 1), F.lit(0)) - 1), F.array(F.lit(True)))))
+    ctts = F.when(F.size("st.ctts") > 0, spread("ctts", "offset", F.col("n"))).otherwise(F.array_repeat(F.lit(0).cast("bigint"), F.col("n")))
+    zipped = F.arrays_zip(first(F.transform("st.stsz", lambda x: x.cast("bigint")), F.col("n")).alias("size_bytes"), spread("stts", "delta", F.col("n")).alias("delta"), ctts.alias("ctts"), first("chunks", F.col("n")).alias("chunk"), first(flags, F.col("n")).alias("key"))
+    flat = rows.where("n > 0").select(*TRACK, "edit", (F.size("st.stss") == 0).alias("all_sync"), "st.stco", F.posexplode(zipped).alias("seq", "s"))
+    flat = flat.select(*TRACK, "edit", "all_sync", F.col("seq").cast("bigint").alias("seq"), "s.*", F.element_at("stco", F.col("s.chunk")).alias("chunk_offset"))
+    # One order for everything: the bytes before a sample in its chunk are those before it in all chunks less those before the chunk.
+    flat = flat.withColumns({"dts_ticks": F.coalesce(F.sum("delta").over(earlier()), F.lit(0)).cast("bigint"), "_before": F.coalesce(F.sum("size_bytes").over(earlier()), F.lit(0)), "_fresh": ~F.col("chunk").eqNullSafe(F.lag("chunk").over(in_order()))})
+    flat = flat.withColumn("_base", F.last(F.when(F.col("_fresh"), F.col("_before")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    return flat.select(
+        *TRACK, "seq", (F.col("chunk_offset") + F.col("_before") - F.col("_base")).cast("bigint").alias("offset"), "size_bytes", "dts_ticks",
+        (F.col("dts_ticks") + F.col("ctts") - F.col("edit")).cast("bigint").alias("pts_ticks"), F.col("delta").alias("duration_ticks"), (F.col("all_sync") | F.coalesce("key", F.lit(False))).alias("keyframe"),
+    )
 
 
 def ticks_to_us(ticks, timescale: int):

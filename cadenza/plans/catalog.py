@@ -1,4 +1,4 @@
-"""Every registered query of the media operators with its DuckDB equivalent."""
+"""Every registered query of the stream operators with its DuckDB equivalent."""
 
 from __future__ import annotations
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ..errors import MediaError
+from ..errors import EngineError
 from ..sources.containers.base import Movie
 
-MEDIA_TYPES = ("video", "audio", "other")
+TRACK_KINDS = ("video", "audio", "other")
 
 
 def check_container(parse: Callable[[bytes], Movie], data: bytes) -> list[str]:
@@ -19,12 +19,12 @@ def check_container(parse: Callable[[bytes], Movie], data: bytes) -> list[str]:
     if len({t.track_id for t in m.tracks}) != len(m.tracks):
         wrong.append("track ids repeat")
     for t in m.tracks:
-        if t.media_type not in MEDIA_TYPES:
-            wrong.append(f"track {t.track_id} has media type {t.media_type}")
+        if t.track_kind not in TRACK_KINDS:
+            wrong.append(f"track {t.track_id} has the kind {t.track_kind}")
         decode = [p.pts_us if p.dts_us is None else p.dts_us for p in t.packets]
-        if t.media_type != "other" and any(p.dts_us is not None for p in t.packets) and decode != sorted(decode):
+        if t.track_kind != "other" and any(p.dts_us is not None for p in t.packets) and decode != sorted(decode):
             wrong.append(f"track {t.track_id} isn't in decode order")
-        if t.packets and t.media_type == "video" and not t.packets[0].keyframe:
+        if t.packets and t.track_kind == "video" and not t.packets[0].keyframe:
             wrong.append(f"track {t.track_id} doesn't begin with a keyframe")
         for p in t.packets:
             inside = p.data is not None and len(p.data) == p.size or p.offset is not None and 0 <= p.offset and p.offset + p.size <= len(data)
@@ -34,7 +34,7 @@ def check_container(parse: Callable[[bytes], Movie], data: bytes) -> list[str]:
     for cut in (0, 3, len(data) // 3):
         try:
             parse(data[:cut])
-        except MediaError:
+        except EngineError:
             pass
         except Exception as e:
             wrong.append(f"{cut} bytes raise {type(e).__name__}")

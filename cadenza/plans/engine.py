@@ -12,10 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import CapabilityError, InputError, MediaError
+from ..errors import CapabilityError, InputError, EngineError
 from ..functions import dsp
 from ..operators import selection
-from ..sources import media
+from ..sources import files
 from ..sources.containers import mp4, pcm_files
 from ..sources.containers import tags as file_tags
 from . import router, targets
@@ -37,7 +37,7 @@ class Engine:
         """Registers a driver module (id, api_version, register(engine)); the first of an id stays."""
         version = getattr(module, "api_version", API_VERSION)
         if version not in (API_VERSION, API_VERSION - 1):
-            raise MediaError("driver-incompatible", f"driver API {version} is not {API_VERSION}", {"id": module.id})
+            raise EngineError("driver-incompatible", f"driver API {version} is not {API_VERSION}", {"id": module.id})
         if module.id not in self.modules:
             self.modules[module.id] = module
             if hasattr(module, "register"):
@@ -51,11 +51,11 @@ class Engine:
         if isinstance(given, DataFrame):
             return given
         if isinstance(given, bytes | bytearray):
-            return media.from_bytes(self.spark, [(0, bytes(given))])
+            return files.from_bytes(self.spark, [(0, bytes(given))])
         if isinstance(given, str | Path):
-            return media.from_files(self.spark, str(given))
+            return files.from_files(self.spark, str(given))
         if isinstance(given, Iterable):
-            return media.from_bytes(self.spark, [x if isinstance(x, tuple) else (i, bytes(x)) for i, x in enumerate(given)])
+            return files.from_bytes(self.spark, [x if isinstance(x, tuple) else (i, bytes(x)) for i, x in enumerate(given)])
         raise InputError.bad(f"no source from {type(given).__name__}")
 
     def load(self, given) -> Chain:
@@ -64,47 +64,54 @@ class Engine:
     # ---- verbs
 
     def probe(self, given) -> DataFrame:
-        return media.probe(self.source(given))
+        return files.probe(self.source(given))
 
     def probe_container(self, given, container: str) -> DataFrame:
-        return media.probe(self.source(given).withColumn("kind", F.lit(container)))
+        return files.probe(self.source(given).withColumn("kind", F.lit(container)))
 
     def demux(self, given) -> tuple[DataFrame, DataFrame]:
         """(tracks, packets); `packets.where("track_id = ...")` is one track's."""
         assets = self.source(given)
-        return media.read_tracks(assets), media.read_packets(assets)
+        return files.read_tracks(assets), files.read_packets(assets)
 
     def packet_info(self, given, container: str | None = None) -> DataFrame:
         assets = self.source(given)
-        return media.read_packets(assets if container is None else assets.withColumn("kind", F.lit(container))).drop("inline")
+        return files.read_packets(assets if container is None else assets.withColumn("kind", F.lit(container))).drop("inline")
 
     def decode(self, given) -> DataFrame:
         """PCM blocks; files whose audio is lossy have none (see `plan` for their misses)."""
-        return media.decode_pcm(self.source(given))
+        return files.decode_pcm(self.source(given))
 
     def encode(self, blocks: DataFrame, container: str = "flac", fmt: str = "s16") -> DataFrame:
         if container == "wav":
             raise CapabilityError.miss("WAV is written by convert, not by encode", {"op": "encode", "container": container}, ["flac"])
-        return media.write_pcm(blocks, container, fmt)
+        return files.write_pcm(blocks, container, fmt)
 
     def plan(self, given, to: str, video: dict | bool | None = None, audio: dict | bool | None = None) -> DataFrame:
         """(asset_id, container, codec, route): which way a conversion would take."""
-        found = media.probe(self.source(given))
-        codec = F.get("tracks", F.lit(0))["codec"]
-        copy = F.lit(router.is_stream_copy(video, audio))
-        return found.select("asset_id", "container", codec.alias("codec"), F.when(F.col("status") == "ok", router.convert_route(F.col("container"), F.lit(to), codec, copy)).otherwise("unreadable").alias("route"))
+        found = files.probe(self.source(given))
+        first = F.get("tracks", F.lit(0))
+        codec, channels = first["codec"], first["channels"]
+        route = router.convert_route(F.col("container"), F.lit(to), codec, F.lit(router.is_stream_copy(video, audio)))
+        asked = audio.get("channels") if isinstance(audio, dict) else None
+        if asked is not None:
+            ways = [a for a, b in dsp.REMIXES if b == asked] + [asked]
+            route = F.when(route.isin("pcm-native", "flac-author") & ~F.coalesce(channels.isin(*ways), F.lit(False)), "miss").otherwise(route)
+        return found.select("asset_id", "container", codec.alias("codec"), F.when(F.col("status") == "ok", route).otherwise("unreadable").alias("route"))
 
     def convert(self, given, to: str, video: dict | bool | None = None, audio: dict | bool | None = None, tags: dict | None = None) -> DataFrame:
-        """(asset_id, container, content, status...): PCM and FLAC are converted, copies are remuxed, the rest is a miss."""
+        """(asset_id, container, content, status...): PCM and FLAC are converted, copies are remuxed, the rest is a miss.
+
+        Every file keeps its own sample format, rate and channels where nothing else is asked for."""
         assets = self.source(given)
         routes = self.plan(assets, to, video, audio).select("asset_id", "route", "codec")
         routed = assets.join(routes, "asset_id")
         pcm = routed.where(F.col("route").isin("pcm-native", "flac-author"))
-        fmt = (audio or {}).get("codec") if isinstance(audio, dict) else None
-        out = media.write_pcm(self._audio(media.decode_pcm(pcm), audio if isinstance(audio, dict) else {}), to, _pcm_format(fmt) if to != "flac" else "s16")
+        asked = audio if isinstance(audio, dict) else {}
+        out = files.write_pcm(self._audio(files.decode_pcm(pcm, with_format=True), asked), to, _pcm_format(asked.get("codec")))
         columns = out.columns
         if to in router.MUXABLE:
-            out = out.unionByName(media.remux(routed.where(F.col("route").isin("stream-copy", "remux")), to, tags).select(columns))
+            out = out.unionByName(files.remux(routed.where(F.col("route").isin("stream-copy", "remux")), to, tags).select(columns))
         missed = routed.where(F.col("route").isin("miss", "unreadable")).select("asset_id", F.lit(to).alias("container"), F.lit(None).cast("binary").alias("content"), F.lit("failed").alias("status"), F.when(F.col("route") == "miss", "capability-miss").otherwise("unsupported-input").alias("error_code"), F.concat(F.lit("no way to "), F.lit(to), F.lit(" for "), F.coalesce("codec", F.lit("unknown"))).alias("error"))
         return out.unionByName(missed.select(columns))
 
@@ -117,8 +124,8 @@ class Engine:
         fade = t.get("fade") or {}
         blocks = dsp.fade_in(blocks, fade.get("in", 0), fade.get("shape", "linear"))
         blocks = dsp.fade_out(blocks, fade.get("out", 0), fade.get("shape", "linear"))
-        if t.get("channels") and t.get("source_channels"):
-            blocks = dsp.remix(blocks, t["source_channels"], t["channels"])
+        if t.get("channels"):
+            blocks = dsp.remix(blocks, None, t["channels"])
         if t.get("sample_rate"):
             blocks = dsp.resample(blocks, t["sample_rate"])
         for b in [t["biquad"]] if isinstance(t.get("biquad"), dict) else t.get("biquad") or []:
@@ -133,23 +140,23 @@ class Engine:
             raise InputError.bad("tags and track selection exclude each other")
         assets = self.source(given)
         if not select:
-            return media.remux(assets, to, tags, fragmented)
+            return files.remux(assets, to, tags, fragmented)
         tracks, packets = self.demux(assets)
         chosen = selection.select_tracks(tracks.where("status = 'ok'"), select)
-        data = media.with_payload(packets.join(chosen.select("asset_id", "track_id"), ["asset_id", "track_id"], "left_semi"), assets)
-        return media.mux(data, chosen.withColumn("track_id", F.col("track_id")), to, None, fragmented)
+        data = files.with_payload(packets.join(chosen.select("asset_id", "track_id"), ["asset_id", "track_id"], "left_semi"), assets)
+        return files.mux(data, chosen.withColumn("track_id", F.col("track_id")), to, None, fragmented)
 
     def trim(self, given, start: float, end: float, mode: str = "keyframe", to: str | None = None) -> DataFrame:
         """Packets of the cut by the container family's rule, with `data`, or with `to` the files; accurate cuts are for PCM."""
         a, b = selection.check_range(start, end)
         assets = self.source(given)
         if mode == "accurate":
-            return selection.trim_pcm_exact(media.decode_pcm(assets), start, end)
+            return selection.trim_pcm_exact(files.decode_pcm(assets), start, end)
         if mode != "keyframe":
             raise InputError.bad(f"unknown trim mode {mode!r}")
         tracks, packets = self.demux(assets)
         tracks = tracks.where("status = 'ok'")
-        rows = packets.join(tracks.select("asset_id", "track_id", "media_type"), ["asset_id", "track_id"]).join(assets.select("asset_id", "kind"), "asset_id")
+        rows = packets.join(tracks.select("asset_id", "track_id", "track_kind"), ["asset_id", "track_id"]).join(assets.select("asset_id", "kind"), "asset_id")
         rows = rows.withColumn("dts_us", F.coalesce("dts_us", "pts_us"))
         cut = None
         for kinds, rule in ((("webm", "mkv"), selection.trim_keyframe_webm), (("ts",), selection.trim_keyframe_ts), (("mp3", "adts", "ogg", "flac", "wav", "aiff", "caf"), selection.trim_packets_overlap), (("mp4", "mov"), selection.trim_keyframe_iso)):
@@ -158,15 +165,15 @@ class Engine:
             base = part["out_dts_us"] if "out_dts_us" in part.columns else F.lit(None).cast("bigint")
             part = part.select("asset_id", "track_id", "seq", "offset", "size_bytes", out.alias("pts_us"), base.alias("dts_us"), "duration_us", "keyframe", "inline")
             cut = part if cut is None else cut.unionByName(part)
-        data = media.with_payload(cut, assets)
-        return data if to is None else media.mux(data, tracks, to)
+        data = files.with_payload(cut, assets)
+        return data if to is None else files.mux(data, tracks, to)
 
     def seek(self, given, time_us: int) -> DataFrame:
         tracks, packets = self.demux(given)
         return selection.seek_frame(packets, time_us)
 
     def mux(self, packets: DataFrame, tracks: DataFrame, container: str, tags: dict | None = None, fragmented: bool = False) -> DataFrame:
-        return media.mux(packets, tracks, container, tags, fragmented)
+        return files.mux(packets, tracks, container, tags, fragmented)
 
     def decrypt(self, data: bytes, keys: dict[bytes, bytes], to: str = "mp4") -> bytes:
         """A protected MP4 as a clear one."""
@@ -176,7 +183,7 @@ class Engine:
         m = mp4.movie(data)
         for t in m.tracks:
             t.encrypted = False
-        return media.build(m.tracks, [clear[t.track_id] for t in m.tracks], to, m.tags)
+        return files.build(m.tracks, [clear[t.track_id] for t in m.tracks], to, m.tags)
 
     def h264_abr_ladder(self, given, rungs: list[tuple]) -> DataFrame:
         """A row per asset and rung; encoding them needs a lossy codec, so each is a miss."""
@@ -205,8 +212,8 @@ class Engine:
         return problems
 
 
-def _pcm_format(codec: str | None) -> str:
-    return "s16" if codec is None else codec.removeprefix("pcm-").removesuffix("le").removesuffix("be")
+def _pcm_format(codec: str | None) -> str | None:
+    return None if codec in (None, "flac") else codec.removeprefix("pcm-").removesuffix("le").removesuffix("be")
 
 
 class Chain:
@@ -260,12 +267,12 @@ class Chain:
                 out = self.engine.convert(assets, to, {"crop": video} if video else None, audio or None)
             elif op[0] == "trim":
                 kind = assets.select("kind").first()[0]
-                out = self.engine.trim(assets, op[1], op[2], op[3], kind) if op[3] == "keyframe" else media.write_pcm(self.engine.trim(assets, op[1], op[2], op[3]), kind)
+                out = self.engine.trim(assets, op[1], op[2], op[3], kind) if op[3] == "keyframe" else files.write_pcm(selection.trim_pcm_exact(files.decode_pcm(assets, with_format=True), op[1], op[2]), kind)
             else:
                 out = self.engine.remux(assets, op[1], **op[2])
             none = F.lit(None).cast("string")
             done = out.where("status = 'ok'").select("asset_id", none.alias("uri"), none.alias("mime"), none.alias("filename"), F.octet_length("content").cast("bigint").alias("size_bytes"), "content", "container")
-            assets = media.routed(done, F.col("container"))
+            assets = files.routed(done, F.col("container"))
         return out
 
     def blob(self) -> bytes:
@@ -274,7 +281,7 @@ class Chain:
         if row is None:
             raise InputError.bad("the chain made nothing")
         if row.status != "ok":
-            raise (CapabilityError if row.error_code == "capability-miss" else MediaError)(row.error_code, row.error)
+            raise (CapabilityError if row.error_code == "capability-miss" else EngineError)(row.error_code, row.error)
         return bytes(row.content)
 
     def file(self, path: str) -> str:

@@ -1,4 +1,4 @@
-"""Fixed projections of the driver's tables onto the canonical media tables, in Spark and in SQL.
+"""Fixed projections of the driver's tables onto the canonical tables, in Spark and in SQL.
 
 `SQL[name]` is the text of a common table expression with the same rows, for the oracles.
 """
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01
 S_US, E_US = 10 * 86_400_000_000, 12 * 86_400_000_000
-ASSETS = 16
+#: Tracks of an asset, and blocks of a signal: fixed, so that assets grow in number with the tables and not in size.
+TRACKS, BLOCKS = 8, 40
 RATE = 16_000
 
 
@@ -19,17 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as packets: a track for each user, every third one audio, `signup` for keyframe."""
+    """events as packets: a track for each user, every third one audio, `signup` for keyframe; TRACKS tracks an asset."""
     e = table(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = e.select(
-        (F.col("user_id") % ASSETS).alias("asset_id"),
+        F.floor(F.col("user_id") / TRACKS).cast("bigint").alias("asset_id"),
         F.col("user_id").alias("track_id"),
         (F.row_number().over(order) - 1).cast("bigint").alias("seq"),
         (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US).alias("pts_us"),
         (F.col("event_type") == "signup").alias("keyframe"),
         F.coalesce(F.length("props"), F.lit(0)).cast("bigint").alias("size_bytes"),
-        F.when(F.col("user_id") % 3 == 0, F.lit("audio")).otherwise(F.lit("video")).alias("media_type"),
+        F.when(F.col("user_id") % 3 == 0, F.lit("audio")).otherwise(F.lit("video")).alias("track_kind"),
     )
     track = Window.partitionBy("asset_id", "track_id").orderBy("seq")
     gap = F.coalesce(F.lead("pts_us").over(track) - F.col("pts_us"), F.col("pts_us") - F.lag("pts_us").over(track))
@@ -52,11 +53,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as blocks of 64 mono samples, an asset for each label."""
-    order = Window.partitionBy("label").orderBy("vec_id")
+    """embeddings as blocks of 64 mono samples, BLOCKS blocks an asset."""
+    asset = F.floor(F.col("vec_id") / BLOCKS).cast("bigint")
+    order = Window.partitionBy(asset).orderBy("vec_id")
     e = table(spark, sf_dir, "embeddings")
     rows = e.select(
-        F.col("label").cast("bigint").alias("asset_id"),
+        asset.alias("asset_id"),
         F.lit(0).cast("bigint").alias("track_id"),
         (F.row_number().over(order) - 1).cast("bigint").alias("block_no"),
         F.lit(RATE).alias("sample_rate"),
@@ -90,13 +92,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "packets": f"""p0 AS (SELECT user_id % {ASSETS} AS asset_id, user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+    "packets": f"""p0 AS (SELECT user_id // {TRACKS} AS asset_id, user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
   epoch_us(ts) - {EPOCH_US} AS pts_us, event_type = 'signup' AS keyframe, coalesce(length(props), 0) AS size_bytes,
-  CASE WHEN user_id % 3 = 0 THEN 'audio' ELSE 'video' END AS media_type FROM events),
+  CASE WHEN user_id % 3 = 0 THEN 'audio' ELSE 'video' END AS track_kind FROM events),
 packets AS (SELECT *, coalesce(lead(pts_us) OVER w - pts_us, pts_us - lag(pts_us) OVER w) AS duration_us, pts_us AS dts_us FROM p0 WINDOW w AS (PARTITION BY asset_id, track_id ORDER BY seq))""",
     "samples": """samples AS (SELECT l_orderkey AS asset_id, 0::BIGINT AS track_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq,
   l_quantity::BIGINT AS size_bytes, l_returnflag = 'R' AS keyframe, l_returnflag AS flag, (l_partkey % 3 + 1) * 1000 AS delta, (l_suppkey % 2) * 500 AS ctts FROM lineitem)""",
-    "pcm": f"""blocks AS (SELECT label::BIGINT AS asset_id, 0::BIGINT AS track_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS block_no, embedding::DOUBLE[] AS x FROM embeddings),
+    "pcm": f"""blocks AS (SELECT vec_id // {BLOCKS} AS asset_id, 0::BIGINT AS track_id, row_number() OVER (PARTITION BY vec_id // {BLOCKS} ORDER BY vec_id) - 1 AS block_no, embedding::DOUBLE[] AS x FROM embeddings),
 pcm AS (SELECT asset_id, track_id, block_no, block_no * 64 AS start_frame, {RATE} AS sample_rate, x FROM blocks)""",
     "interleaved": """interleaved AS (SELECT conv_id AS asset_id, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END::BIGINT AS track_id, turn AS dts_us, coalesce(length(text), 0) AS size_bytes FROM conversations)""",
     "geometry": """geometry AS (SELECT p_partkey AS asset_id, (16 * (p_size + 1))::BIGINT AS width, (9 * (p_size + 1))::BIGINT AS height FROM part)""",

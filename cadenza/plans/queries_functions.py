@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import crypto, dsp, pcm, pixels, tags
 from ..session import prepare
-from ..sources import manifest, media
+from ..sources import files, manifest
 from . import projections as p
 from . import router, targets
 
@@ -75,12 +75,12 @@ def remix(spark, d):
 
 @query(
     "remix_surround",
-    """WITH m AS (SELECT asset_id, block_no, unnest(range(10)) AS i, x FROM pcm), s AS (SELECT *, x[6 * i + 1] AS l, x[6 * i + 2] AS r, x[6 * i + 3] AS c, x[6 * i + 5] AS ls, x[6 * i + 6] AS rs FROM m)
+    """WITH m AS (SELECT asset_id, block_no, unnest(range(11)) AS i, x || [0.0::DOUBLE, 0.0::DOUBLE] AS x FROM pcm), s AS (SELECT *, x[6 * i + 1] AS l, x[6 * i + 2] AS r, x[6 * i + 3] AS c, x[6 * i + 5] AS ls, x[6 * i + 6] AS rs FROM m)
 SELECT asset_id, block_no, 0::BIGINT AS ch, i, round(l + sqrt(0.5) * c + sqrt(0.5) * ls, 9) AS x FROM s UNION ALL SELECT asset_id, block_no, 1::BIGINT AS ch, i, round(r + sqrt(0.5) * c + sqrt(0.5) * rs, 9) AS x FROM s""",
     ("pcm",),
 )
 def remix_surround(spark, d):
-    c = F.slice(F.get("planar", F.lit(0)), 1, 60)
+    c = F.concat(F.get("planar", F.lit(0)), F.array(F.lit(0.0), F.lit(0.0)))  # 64 samples as 11 frames of six, the last one filled up
     every_sixth = lambda k: F.filter(c, lambda x, i: i % 6 == k)
     six = p.pcm(spark, d).withColumns({"planar": F.array(*[every_sixth(k) for k in range(6)]), "channels": F.lit(6)})
     return _long(dsp.remix(six, 6, 2))
@@ -176,15 +176,15 @@ def trim_bitrate(spark, d):
 )
 def sniff_container(spark, d):
     pages = p.table(spark, d, "pages")
-    return pages.select("page_id", router.route_container(F.substring(F.col("html").cast("binary"), 1, media.HEAD), F.lit(None).cast("string"), F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1)).alias("container"))
+    return pages.select("page_id", router.route_container(F.substring(F.col("html").cast("binary"), 1, files.HEAD), F.lit(None).cast("string"), F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1)).alias("container"))
 
 
-_DRIVERS = [("soft-h264", "video", 0, "wasm"), ("gpu-h264", "video", 1, "gpu"), ("hw-h264", "video", 2, "hardware"), ("native-aac", "audio", 3, "native"), ("soft-aac", "audio", 4, "wasm")]
+_DRIVERS = [("soft-h264", "video", 0, "wasm"), ("gpu-h264", "video", 1, "gpu"), ("hw-h264", "video", 2, "hardware"), ("native-h264", "video", 5, "native"), ("native-aac", "audio", 3, "native"), ("soft-aac", "audio", 4, "wasm")]
 
 
 @query(
     "route_codec",
-    "SELECT asset_id, CASE WHEN width * height <= 4096 THEN 'gpu-h264' ELSE 'gpu-h264' END AS driver, width * height <= 4096 AS tiny FROM geometry",
+    "SELECT asset_id, CASE WHEN width * height <= 4096 THEN 'native-h264' ELSE 'gpu-h264' END AS driver, width * height <= 4096 AS tiny FROM geometry",
     ("geometry",),
 )
 def route_codec(spark, d):
@@ -223,10 +223,10 @@ def tag_normalize(spark, d):
 
 @query(
     "tag_upsert",
-    """WITH k AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 7 <> 0) SELECT doc_id, 'artist' AS key, 'new ' || lang AS value FROM k UNION ALL SELECT doc_id, 'title' AS key, source AS value FROM k UNION ALL SELECT doc_id, 'comment' AS key, lang AS value FROM k""",
+    """WITH k AS (SELECT doc_id, source, lang FROM documents) SELECT doc_id, 'artist' AS key, 'new ' || lang AS value FROM k UNION ALL SELECT doc_id, 'title' AS key, source AS value FROM k UNION ALL SELECT doc_id, 'comment' AS key, lang AS value FROM k""",
 )
 def tag_upsert(spark, d):
-    rows = p.table(spark, d, "documents").where("doc_id % 7 != 0")
+    rows = p.table(spark, d, "documents")
     old = F.create_map(F.lit("title"), F.col("source"), F.lit("Artist"), F.lit("old"))
     new = F.create_map(F.lit("ARTIST"), F.concat(F.lit("new "), "lang"), F.lit(" comments"), F.col("lang"))
     return rows.select("doc_id", F.explode(tags.upsert_tags(old, new)).alias("key", "value"))
@@ -235,7 +235,7 @@ def tag_upsert(spark, d):
 @query("byte_range", "SELECT doc_id, lower(hex(encode(substr(regexp_replace(text, '[^a-z ]', '', 'g'), 6, 10)))) AS bytes FROM documents")
 def byte_range(spark, d):
     docs = p.table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.regexp_replace("text", "[^a-z ]", "").cast("binary").alias("content"))
-    return media.byte_range(docs, 5, 15).select(F.col("asset_id").alias("doc_id"), F.lower(F.hex("bytes")).alias("bytes"))
+    return files.byte_range(docs, 5, 15).select(F.col("asset_id").alias("doc_id"), F.lower(F.hex("bytes")).alias("bytes"))
 
 
 @query("digests", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
@@ -322,16 +322,20 @@ def pixel_tonemap(spark, d):
     return _hex(pixels.apply_kernels(_frames(spark, d), [lambda i, p_, t: pixels.tonemap(i, p_, t)]))
 
 
+def _assets(made: DataFrame, container: str) -> DataFrame:
+    """Written files opened as assets again."""
+    none = F.lit(None).cast("string")
+    return files.routed(made.select("asset_id", none.alias("uri"), none.alias("mime"), none.alias("filename"), F.octet_length("content").cast("bigint").alias("size_bytes"), "content"), F.lit(container))
+
+
 def _files(spark, d, container: str, fmt: str = "s16") -> DataFrame:
     """PCM of every asset written as files of a container and opened as assets again."""
-    made = media.write_pcm(p.pcm(spark, d), container, fmt)
-    none = F.lit(None).cast("string")
-    return media.routed(made.select("asset_id", none.alias("uri"), none.alias("mime"), none.alias("filename"), F.octet_length("content").cast("bigint").alias("size_bytes"), "content"), F.lit(container))
+    return _assets(files.write_pcm(p.pcm(spark, d), container, fmt), container)
 
 
 def _roundtrip(container: str):
     def run(spark, d):
-        blocks = media.decode_pcm(_files(spark, d, container), 64)
+        blocks = files.decode_pcm(_files(spark, d, container), 64)
         return _long(blocks)
 
     return run
@@ -343,31 +347,65 @@ for _name in ("wav", "aiff", "caf", "flac"):
 
 @query("probe_files", "SELECT asset_id, 'flac' AS container, count(*) * 64 / 16000 AS duration_sec, 'flac' AS codec, 'ok' AS status FROM pcm GROUP BY asset_id", ("pcm",))
 def probe_files(spark, d):
-    found = media.probe(_files(spark, d, "flac"))
+    found = files.probe(_files(spark, d, "flac"))
     return found.select("asset_id", "container", "duration_sec", F.get("tracks", F.lit(0))["codec"].alias("codec"), "status")
 
 
+_FORMATS = ("s16", "s24", "f32", "s32")
+
+
+@query(
+    "convert_keeps_format",
+    f"""WITH {_L}, q AS (SELECT *, asset_id % 4 AS k, CASE asset_id % 4 WHEN 0 THEN 32768.0 WHEN 1 THEN 8388608.0 ELSE 2147483648.0 END::DOUBLE AS top FROM z)
+SELECT asset_id, CASE k WHEN 0 THEN 's16' WHEN 1 THEN 's24' WHEN 2 THEN 'f32' ELSE 's32' END AS fmt, f AS frame, round(CASE WHEN k = 2 THEN x::FLOAT::DOUBLE ELSE greatest(-top, least(top - 1, floor(x * top + 0.5))) / top END, 9) AS x FROM q""",
+    ("pcm",),
+)
+def convert_keeps_format(spark, d):
+    """WAV files of four sample formats converted to CAF: each keeps its own."""
+    from .engine import Engine
+
+    fmt = F.element_at(F.array(*[F.lit(x) for x in _FORMATS]), (F.col("asset_id") % 4 + 1).cast("int"))
+    made = files.write_pcm(p.pcm(spark, d).withColumn("fmt", fmt), "wav")
+    out = Engine(spark).convert(_assets(made, "wav"), "caf")
+    blocks = files.decode_pcm(_assets(out, "caf"), 64, with_format=True)
+    rows = blocks.select("asset_id", "fmt", "start_frame", F.posexplode(F.get("planar", F.lit(0))).alias("i", "x"))
+    return rows.select("asset_id", "fmt", (F.col("start_frame") + F.col("i")).alias("frame"), F.round("x", 9).alias("x"))
+
+
+@query("convert_channels", "WITH m AS (SELECT asset_id, block_no, unnest(range(32)) AS i, x FROM pcm) SELECT asset_id, 1 AS channels, block_no * 32 + i AS frame, round(floor(greatest(-32768, least(32767, 0.5 * (floor(x[2 * i + 1] * 32768 + 0.5) + floor(x[2 * i + 2] * 32768 + 0.5)) + 0.5))) / 32768, 9) AS x FROM m", ("pcm",))
+def convert_channels(spark, d):
+    """Stereo files to mono ones by a chain that names only the number of channels."""
+    from .engine import Engine
+
+    made = files.write_pcm(_stereo(spark, d), "wav", "s16")
+    out = Engine(spark).load(_assets(made, "wav")).channels(1).to("aiff").run()
+    blocks = files.decode_pcm(_assets(out, "aiff"))
+    rows = blocks.select("asset_id", "channels", "start_frame", F.posexplode(F.get("planar", F.lit(0))).alias("i", "x"))
+    return rows.select("asset_id", "channels", (F.col("start_frame") + F.col("i")).alias("frame"), F.round("x", 9).alias("x"))
+
+
 def _muxed(container: str):
-    """Packets of the projection muxed into a container and demuxed again."""
+    """All packets of the projection muxed, an asset's tracks into one file, and demuxed again."""
 
     def run(spark, d):
-        few = p.packets(spark, d).where("track_id <= 12 and media_type = 'video'").withColumn("asset_id", F.col("track_id"))
-        few = few.withColumns({"track_id": F.lit(1), "pts_us": (F.col("seq") * 40_000).cast("bigint"), "dts_us": (F.col("seq") * 40_000).cast("bigint"), "duration_us": F.lit(40_000).cast("bigint"), "data": F.concat(F.lit(bytes([0, 0, 0, 2, 9, 240])), F.repeat(F.lit("x"), F.col("size_bytes").cast("int")).cast("binary"))})
-        codec = "avc1" if container in ("ts", "mp4", "avi") else "vp9"
-        tracks = few.select("asset_id", "track_id").distinct().withColumns({"media_type": F.lit("video"), "codec": F.lit(codec), "timescale": F.lit(90_000), "duration_sec": F.lit(None).cast("double"), "fps": F.lit(25.0), "rotation": F.lit(0), "width": F.lit(64), "height": F.lit(48), "sample_rate": F.lit(None).cast("int"), "channels": F.lit(None).cast("int")})
-        made = media.mux(few, tracks, container)
-        none = F.lit(None).cast("string")
-        assets = media.routed(made.select("asset_id", none.alias("uri"), none.alias("mime"), none.alias("filename"), F.octet_length("content").cast("bigint").alias("size_bytes"), "content"), F.lit(container))
-        back = media.with_payload(media.read_packets(assets), assets)
-        return back.select("asset_id", "seq", "pts_us", (F.col("size_bytes") - 6).alias("size_bytes"), "keyframe", F.md5("data").alias("md5"))
+        rank = F.dense_rank().over(Window.partitionBy("asset_id").orderBy("track_id")).cast("int")
+        time = (F.col("seq") * 40_000).cast("bigint")
+        data = F.concat(F.lit(bytes([0, 0, 0, 2, 9, 240])), F.repeat(F.lit("x"), F.col("size_bytes").cast("int")).cast("binary"))
+        rows = p.packets(spark, d).withColumn("track_id", rank).withColumns({"pts_us": time, "dts_us": time, "duration_us": F.lit(40_000).cast("bigint"), "data": data})
+        video, audio = ("vp9", "opus") if container == "mkv" else ("avc1", "mp4a.40.2")
+        is_video = F.col("track_kind") == "video"
+        tracks = rows.select("asset_id", "track_id", "track_kind").distinct().withColumns({"codec": F.when(is_video, video).otherwise(audio), "timescale": F.lit(90_000), "duration_sec": F.lit(None).cast("double"), "fps": F.when(is_video, 25.0), "rotation": F.lit(0), "width": F.when(is_video, 64), "height": F.when(is_video, 48), "sample_rate": F.when(~is_video, 16_000), "channels": F.when(~is_video, 1)})
+        assets = _assets(files.mux(rows, tracks, container), container)
+        back = files.with_payload(files.read_packets(assets), assets)
+        return back.select("asset_id", "track_id", "seq", "pts_us", (F.col("size_bytes") - 6).alias("size_bytes"), "keyframe", F.md5("data").alias("md5"))
 
     return run
 
 
-for _name in ("mp4", "mkv", "ts"):
+for _name, _key in (("mp4", "track_kind = 'audio' OR keyframe OR NOT any_key"), ("mkv", "keyframe"), ("ts", "track_kind = 'audio'")):
     query(
         f"{_name}_roundtrip",
-        "WITH k AS (SELECT * FROM packets WHERE track_id <= 12 AND media_type = 'video') SELECT track_id AS asset_id, seq, seq * 40000 AS pts_us, size_bytes, " + ("false" if _name == "ts" else "keyframe OR NOT any_key" if _name == "mp4" else "keyframe") + " AS keyframe, md5(unhex('0000000209F0') || encode(repeat('x', size_bytes))) AS md5 FROM (SELECT *, max(keyframe::INT) OVER (PARTITION BY track_id) = 1 AS any_key FROM k)",
+        f"WITH k AS (SELECT *, dense_rank() OVER (PARTITION BY asset_id ORDER BY track_id)::INTEGER AS n, max(keyframe::INT) OVER (PARTITION BY track_id) = 1 AS any_key FROM packets) SELECT asset_id, n AS track_id, seq, seq * 40000 AS pts_us, size_bytes, {_key} AS keyframe, md5(unhex('0000000209F0') || encode(repeat('x', size_bytes))) AS md5 FROM k",
         ("packets",),
     )(_muxed(_name))
 
@@ -388,13 +426,16 @@ def bench_track_rate(spark, d):
     return p.packets(spark, d).groupBy("asset_id").agg(F.count("*").alias("packets"), F.sum("size_bytes").alias("bytes"))
 
 
-@query("rate_control_plans")
+@query("rate_control_plans", "SELECT * FROM (VALUES ('h264', 'crf'), ('vp9', 'two-pass-bitrate'), ('vp8', 'crf'), ('av1', 'default')) v(codec, mode)")
 def rate_control_plans(spark, d):
     asked = [("h264", None, 23.0, False), ("vp9", 1e6, None, True), ("vp8", None, 40.0, False), ("av1", None, None, False)]
     return spark.createDataFrame([(c, targets.rate_control(c, b, q, t)["mode"]) for c, b, q, t in asked], "codec string, mode string")
 
 
-@query("capabilities")
+@query(
+    "capabilities",
+    """SELECT ordinal, container, container <> 'avi' AS reads, true AS writes FROM (VALUES (0, 'mp4'), (1, 'wav'), (2, 'mp3'), (3, 'ogg'), (4, 'webm'), (5, 'adts'), (6, 'aiff'), (7, 'caf'), (8, 'ts'), (9, 'flac'), (10, 'avi')) v(ordinal, container)""",
+)
 def capabilities(spark, d):
     return router.capabilities(spark)
 

@@ -37,7 +37,7 @@ _out = "asset_id, track_id, seq, pts_us, size_bytes, keyframe"
 
 @query(
     "trim_keyframe_iso",
-    f"""WITH s AS (SELECT *, coalesce(CASE WHEN media_type = 'video' THEN max(CASE WHEN keyframe AND pts_us <= {S} THEN seq END) OVER t ELSE min(CASE WHEN dts_us + duration_us > {S} THEN seq END) OVER t END, 0) AS s0
+    f"""WITH s AS (SELECT *, coalesce(CASE WHEN track_kind = 'video' THEN max(CASE WHEN keyframe AND pts_us <= {S} THEN seq END) OVER t ELSE min(CASE WHEN dts_us + duration_us > {S} THEN seq END) OVER t END, 0) AS s0
   FROM packets WINDOW t AS (PARTITION BY asset_id, track_id)),
 e AS (SELECT *, min(CASE WHEN seq >= s0 AND dts_us >= {E} THEN seq END) OVER (PARTITION BY asset_id, track_id) AS e0 FROM s),
 k AS (SELECT * FROM e WHERE seq >= s0 AND (e0 IS NULL OR seq < greatest(e0, s0 + 1)))
@@ -50,11 +50,11 @@ def trim_keyframe_iso(spark, d):
 
 @query(
     "trim_keyframe_webm",
-    f"""WITH t AS (SELECT asset_id, track_id, media_type, min(CASE WHEN keyframe AND pts_us >= {S} THEN pts_us END) AS on_key, max(CASE WHEN keyframe AND pts_us <= {S} THEN pts_us END) AS at_key,
+    f"""WITH t AS (SELECT asset_id, track_id, track_kind, min(CASE WHEN keyframe AND pts_us >= {S} THEN pts_us END) AS on_key, max(CASE WHEN keyframe AND pts_us <= {S} THEN pts_us END) AS at_key,
   min(CASE WHEN keyframe THEN pts_us END) AS any_key, max(pts_us + coalesce(duration_us, 0)) AS stop FROM packets GROUP BY ALL),
-a AS (SELECT asset_id, coalesce(max(on_key) FILTER (media_type = 'video'), min(coalesce(at_key, any_key)) FILTER (media_type = 'video'), {S}) AS s0, max(stop) AS stop FROM t GROUP BY asset_id),
+a AS (SELECT asset_id, coalesce(max(on_key) FILTER (track_kind = 'video'), min(coalesce(at_key, any_key)) FILTER (track_kind = 'video'), {S}) AS s0, max(stop) AS stop FROM t GROUP BY asset_id),
 k AS (SELECT packets.*, s0 FROM packets JOIN a USING (asset_id) WHERE pts_us >= s0 AND pts_us < least(s0 + {E - S}, stop)),
-v AS (SELECT *, CASE WHEN media_type = 'video' THEN coalesce(min(CASE WHEN keyframe THEN seq END) OVER w, min(seq) OVER w) ELSE 0 END AS key_seq FROM k WINDOW w AS (PARTITION BY asset_id, track_id))
+v AS (SELECT *, CASE WHEN track_kind = 'video' THEN coalesce(min(CASE WHEN keyframe THEN seq END) OVER w, min(seq) OVER w) ELSE 0 END AS key_seq FROM k WINDOW w AS (PARTITION BY asset_id, track_id))
 SELECT {_out}, pts_us - s0 AS out_pts_us FROM v WHERE seq >= key_seq""",
     ("packets",),
 )
@@ -66,7 +66,7 @@ def trim_keyframe_webm(spark, d):
     "trim_keyframe_ts",
     f"""WITH r AS (SELECT *, pts_us - min(pts_us) OVER (PARTITION BY asset_id) AS rel, CASE WHEN lead(pts_us) OVER o > pts_us THEN lead(pts_us) OVER o - pts_us WHEN pts_us > lag(pts_us) OVER o THEN pts_us - lag(pts_us) OVER o ELSE 0 END AS dur
   FROM packets WINDOW o AS (PARTITION BY asset_id, track_id ORDER BY seq)),
-s AS (SELECT *, CASE WHEN media_type = 'video' THEN coalesce(max(CASE WHEN keyframe AND rel <= {S} THEN seq END) OVER t, 0) ELSE min(CASE WHEN rel + dur > {S} THEN seq END) OVER t END AS s0 FROM r WINDOW t AS (PARTITION BY asset_id, track_id)),
+s AS (SELECT *, CASE WHEN track_kind = 'video' THEN coalesce(max(CASE WHEN keyframe AND rel <= {S} THEN seq END) OVER t, 0) ELSE min(CASE WHEN rel + dur > {S} THEN seq END) OVER t END AS s0 FROM r WINDOW t AS (PARTITION BY asset_id, track_id)),
 e AS (SELECT *, min(CASE WHEN seq >= s0 AND rel + dur > {E} THEN seq END) OVER (PARTITION BY asset_id, track_id) AS e0 FROM s)
 SELECT {_out}, rel AS rel_pts_us FROM e WHERE seq >= s0 AND (e0 IS NULL OR seq < greatest(e0, s0 + 1))""",
     ("packets",),
@@ -147,13 +147,13 @@ def seek_window(spark, d):
 @query(
     "seek_keyframe_asof",
     """WITH k AS (SELECT track_id, seq, pts_us FROM packets WHERE keyframe),
-t AS (SELECT o_orderkey, 1 + o_custkey % 15 AS track_id, (o_orderkey * 7919 % 2592000) * 1000000 AS t_us FROM orders)
+t AS (SELECT o_orderkey, (o_custkey + 9) // 10 AS track_id, (o_orderkey * 7919 % 2592000) * 1000000 AS t_us FROM orders)
 SELECT t.o_orderkey, t.track_id, t.t_us, k.seq AS key_seq, k.pts_us AS key_pts_us FROM t ASOF LEFT JOIN k ON t.track_id = k.track_id AND t.t_us >= k.pts_us""",
     ("packets",),
 )
 def seek_keyframe_asof(spark, d):
     keys = p.packets(spark, d).where("keyframe").select("track_id", "pts_us", F.col("seq").alias("key_seq"), F.col("pts_us").alias("key_pts_us"))
-    targets = p.table(spark, d, "orders").select("o_orderkey", (1 + F.col("o_custkey") % 15).alias("track_id"), ((F.col("o_orderkey") * 7919 % 2592000) * 1000000).alias("t_us"))
+    targets = p.table(spark, d, "orders").select("o_orderkey", F.floor((F.col("o_custkey") + 9) / 10).cast("bigint").alias("track_id"), ((F.col("o_orderkey") * 7919 % 2592000) * 1000000).alias("t_us"))
     return jn.asof_backward(targets, keys, ["track_id"], "t_us", "pts_us", ["key_seq", "key_pts_us"])
 
 
@@ -199,17 +199,17 @@ def rle_decode(spark, d):
     return ag.run_length_decode(ag.run_length_encode(p.samples(spark, d), "flag"), "flag").drop("track_id")
 
 
-_TRACKS = "t AS (SELECT asset_id, track_id, media_type FROM packets GROUP BY ALL)"
+_TRACKS = "t AS (SELECT asset_id, track_id, track_kind FROM packets GROUP BY ALL)"
 
 
 @query(
     "track_select",
-    f"""WITH {_TRACKS}, r AS (SELECT *, row_number() OVER (PARTITION BY asset_id, media_type ORDER BY track_id) - 1 AS n FROM t)
-SELECT asset_id, track_id, media_type, CASE WHEN media_type = 'audio' THEN 0 ELSE 1 END::INTEGER AS ordinal FROM r WHERE (media_type = 'audio' AND n = 0) OR (media_type = 'video' AND n = 1)""",
+    f"""WITH {_TRACKS}, r AS (SELECT *, row_number() OVER (PARTITION BY asset_id, track_kind ORDER BY track_id) - 1 AS n FROM t)
+SELECT asset_id, track_id, track_kind, CASE WHEN track_kind = 'audio' THEN 0 ELSE 1 END::INTEGER AS ordinal FROM r WHERE (track_kind = 'audio' AND n = 0) OR (track_kind = 'video' AND n = 1)""",
     ("packets",),
 )
 def track_select(spark, d):
-    tracks = p.packets(spark, d).select("asset_id", "track_id", "media_type").distinct()
+    tracks = p.packets(spark, d).select("asset_id", "track_id", "track_kind").distinct()
     return sel.select_tracks(tracks, ["audio:0@0", "video:1", "audio:0", "video:0@2"])
 
 
@@ -223,11 +223,11 @@ def variant_pick_lowest(spark, d):
     return sel.pick_variant(p.segments(spark, d).select("asset_id", "idx", "bandwidth"), "lowest")
 
 
-_CFR_FRAMES = "f AS (SELECT asset_id, track_id, seq, pts_us FROM packets WHERE track_id <= 40)"
+_CFR_FRAMES = "f AS (SELECT asset_id, track_id, seq, pts_us FROM packets)"
 
 
-def _few(spark, d) -> DataFrame:
-    return p.packets(spark, d).where("track_id <= 40").select("asset_id", "track_id", "seq", "pts_us", F.lit(None).cast("bigint").alias("declared_us"))
+def _frame_times(spark, d) -> DataFrame:
+    return p.packets(spark, d).select("asset_id", "track_id", "seq", "pts_us", F.lit(None).cast("bigint").alias("declared_us"))
 
 
 @query(
@@ -243,7 +243,7 @@ SELECT asset_id, track_id, out_no, ts_us, floor((out_no + 1) * 1e6 / {FPS!r} + 0
     ("packets",),
 )
 def cfr_retime(spark, d):
-    return jn.cfr_slots(_few(spark, d), FPS)
+    return jn.cfr_slots(_frame_times(spark, d), FPS)
 
 
 @query(
@@ -255,7 +255,7 @@ SELECT q.asset_id, q.track_id, q.out_no, q.ts_us, f.seq AS source_seq FROM (SELE
     ("packets",),
 )
 def cfr_retime_stream(spark, d):
-    return jn.cfr_slots_streaming(_few(spark, d), FPS)
+    return jn.cfr_slots_streaming(_frame_times(spark, d), FPS)
 
 
 @query(
@@ -325,12 +325,12 @@ def interleave_tracks(spark, d):
 
 @query(
     "interleave_packets",
-    "SELECT asset_id, track_id, seq, row_number() OVER (PARTITION BY asset_id ORDER BY dts_us, media_type, track_id, seq) - 1 AS position FROM packets",
+    "SELECT asset_id, track_id, seq, row_number() OVER (PARTITION BY asset_id ORDER BY dts_us, track_kind, track_id, seq) - 1 AS position FROM packets",
     ("packets",),
 )
 def interleave_packets(spark, d):
     packets = p.packets(spark, d)
-    return jn.merge_streams(packets.where("media_type = 'audio'"), packets.where("media_type = 'video'")).select("asset_id", "track_id", "seq", "position")
+    return jn.merge_streams(packets.where("track_kind = 'audio'"), packets.where("track_kind = 'video'")).select("asset_id", "track_id", "seq", "position")
 
 
 @query(
@@ -346,16 +346,18 @@ def abr_fanout(spark, d):
 
 @query(
     "crossfade",
-    """WITH l AS (SELECT asset_id, block_no, i - 1 AS frame, x[i] AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM pcm)),
-a AS (SELECT asset_id, frame, CASE WHEN frame >= 48 THEN x * cos((frame - 48) / 15 * (pi() / 2)) ELSE x END AS xa FROM l WHERE block_no = 0),
-b AS (SELECT asset_id, 48 + frame AS frame, CASE WHEN frame < 16 THEN x * sin(frame / 15 * (pi() / 2)) ELSE x END AS xb FROM l WHERE block_no = 1)
-SELECT asset_id, frame, round(coalesce(xa, 0) + coalesce(xb, 0), 9) AS x FROM a FULL JOIN b USING (asset_id, frame)""",
+    """WITH l AS (SELECT asset_id, block_no // 2 AS pair, block_no % 2 AS side, i - 1 AS frame, x[i] AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM pcm)),
+a AS (SELECT asset_id, pair, frame, CASE WHEN frame >= 48 THEN x * cos((frame - 48) / 15 * (pi() / 2)) ELSE x END AS xa FROM l WHERE side = 0),
+b AS (SELECT asset_id, pair, 48 + frame AS frame, CASE WHEN frame < 16 THEN x * sin(frame / 15 * (pi() / 2)) ELSE x END AS xb FROM l WHERE side = 1)
+SELECT asset_id, pair, frame, round(coalesce(xa, 0) + coalesce(xb, 0), 9) AS x FROM a FULL JOIN b USING (asset_id, pair, frame)""",
     ("pcm",),
 )
 def crossfade(spark, d):
-    long = p.pcm(spark, d).where("block_no < 2").select("asset_id", "block_no", F.posexplode(F.get("planar", F.lit(0))).alias("frame", "x")).withColumn("n", F.lit(64))
-    out = jn.crossfade(long.where("block_no = 0"), long.where("block_no = 1"), 16)
-    return out.select("asset_id", F.col("frame").cast("bigint").alias("frame"), F.round("x", 9).alias("x"))
+    """Every two consecutive blocks, 2k and 2k + 1, as one signal; a block left over is faded out."""
+    blocks = p.pcm(spark, d).withColumns({"pair": F.floor(F.col("block_no") / 2).cast("bigint"), "side": F.col("block_no") % 2})
+    long = blocks.select(F.struct("asset_id", "pair").alias("asset_id"), "side", F.posexplode(F.get("planar", F.lit(0))).alias("frame", "x")).withColumn("n", F.lit(64))
+    out = jn.crossfade(long.where("side = 0"), long.where("side = 1"), 16)
+    return out.select("asset_id.asset_id", "asset_id.pair", F.col("frame").cast("bigint").alias("frame"), F.round("x", 9).alias("x"))
 
 
 @query(
@@ -490,7 +492,7 @@ def unwrap33(spark, d):
 
 @query(
     "fragment_runs",
-    """WITH i AS (SELECT *, sum(CASE WHEN media_type = 'video' AND keyframe THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id, track_id ORDER BY seq) AS i FROM packets),
+    """WITH i AS (SELECT *, sum(CASE WHEN track_kind = 'video' AND keyframe THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id, track_id ORDER BY seq) AS i FROM packets),
 s AS (SELECT *, (row_number() OVER (PARTITION BY asset_id, track_id, i ORDER BY seq) - 1) // 4 AS s FROM i)
 SELECT asset_id, track_id, seq, dense_rank() OVER (PARTITION BY asset_id, track_id ORDER BY i, s) - 1 AS run_no FROM s""",
     ("packets",),
@@ -501,31 +503,43 @@ def fragment_runs(spark, d):
 
 @query(
     "lazy_fragment_runs",
-    """WITH RECURSIVE r AS (SELECT asset_id, track_id, media_type, 0::BIGINT AS seq, 1 AS n, 0::BIGINT AS run_no FROM packets WHERE seq = 0 UNION ALL
-SELECT p.asset_id, p.track_id, p.media_type, p.seq, CASE WHEN b THEN 1 ELSE n + 1 END, CASE WHEN b THEN run_no + 1 ELSE run_no END FROM (SELECT q.asset_id, q.track_id, q.media_type, q.seq, r.n, r.run_no,
-  (q.media_type <> 'video' AND r.n >= 6) OR (q.media_type = 'video' AND ((q.keyframe AND r.n >= 6) OR r.n >= 12)) AS b FROM r JOIN packets q ON q.asset_id = r.asset_id AND q.track_id = r.track_id AND q.seq = r.seq + 1) p)
+    """WITH RECURSIVE r AS (SELECT asset_id, track_id, track_kind, 0::BIGINT AS seq, 1 AS n, 0::BIGINT AS run_no FROM packets WHERE seq = 0 UNION ALL
+SELECT p.asset_id, p.track_id, p.track_kind, p.seq, CASE WHEN b THEN 1 ELSE n + 1 END, CASE WHEN b THEN run_no + 1 ELSE run_no END FROM (SELECT q.asset_id, q.track_id, q.track_kind, q.seq, r.n, r.run_no,
+  (q.track_kind <> 'video' AND r.n >= 6) OR (q.track_kind = 'video' AND ((q.keyframe AND r.n >= 6) OR r.n >= 12)) AS b FROM r JOIN packets q ON q.asset_id = r.asset_id AND q.track_id = r.track_id AND q.seq = r.seq + 1) p)
 SELECT asset_id, track_id, seq, run_no FROM r""".replace("WITH RECURSIVE r", "WITH r"),
     ("packets",),
 )
 def lazy_fragment_runs(spark, d):
-    return tl.lazy_fragment_runs(p.packets(spark, d).select(*OUT, "media_type"), 6, 12).select("asset_id", "track_id", "seq", "run_no")
+    return tl.lazy_fragment_runs(p.packets(spark, d).select(*OUT, "track_kind"), 6, 12).select("asset_id", "track_id", "seq", "run_no")
 
 
 ORACLES["lazy_fragment_runs"] = ORACLES["lazy_fragment_runs"].replace("WITH p0", "WITH RECURSIVE p0", 1)
 
 
+def _spans(most: str) -> str:
+    """Clusters as a recursive query over an asset's blocks in order."""
+    return f"""WITH RECURSIVE {p.SQL["packets"]}, x AS (SELECT asset_id, track_id, seq, pts_us // 1000000 AS t, keyframe AND track_kind = 'video' AS k, row_number() OVER (PARTITION BY asset_id ORDER BY pts_us // 1000000, track_id, seq) - 1 AS i FROM packets),
+r AS (SELECT asset_id, track_id, seq, t, k, i, t AS lo, t AS hi, 1 AS n, 0::BIGINT AS run FROM x WHERE i = 0 UNION ALL
+SELECT asset_id, track_id, seq, t, k, i, CASE WHEN b THEN t ELSE least(lo, t) END, CASE WHEN b THEN t ELSE greatest(hi, t) END, CASE WHEN b THEN 1 ELSE n + 1 END, CASE WHEN b THEN run + 1 ELSE run END
+  FROM (SELECT x.*, r.lo, r.hi, r.n, r.run, greatest(r.hi, x.t) - least(r.lo, x.t) > {tl.CLUSTER_SPAN_MS} {most} AS b FROM r JOIN x ON x.asset_id = r.asset_id AND x.i = r.i + 1))
+SELECT asset_id, track_id, seq, t AS time_ms, k AS video_key, run AS {{out}} FROM r"""
+
+
 @query("cluster_plan")
 def cluster_plan(spark, d):
-    blocks = p.packets(spark, d).select("asset_id", "track_id", "seq", F.floor(F.col("pts_us") / 1_000_000).cast("bigint").alias("time_ms"), (F.col("keyframe") & (F.col("media_type") == "video")).alias("video_key"))
+    blocks = p.packets(spark, d).select("asset_id", "track_id", "seq", F.floor(F.col("pts_us") / 1_000_000).cast("bigint").alias("time_ms"), (F.col("keyframe") & (F.col("track_kind") == "video")).alias("video_key"))
     return tl.cluster_plan(blocks, ["time_ms", "track_id", "seq"])
 
 
 @query("webm_fragments")
 def webm_fragments(spark, d):
-    blocks = p.packets(spark, d).select("asset_id", "track_id", "seq", F.floor(F.col("pts_us") / 1_000_000).cast("bigint").alias("time_ms"), (F.col("keyframe") & (F.col("media_type") == "video")).alias("video_key"))
+    blocks = p.packets(spark, d).select("asset_id", "track_id", "seq", F.floor(F.col("pts_us") / 1_000_000).cast("bigint").alias("time_ms"), (F.col("keyframe") & (F.col("track_kind") == "video")).alias("video_key"))
     return tl.webm_fragments(blocks, ["time_ms", "track_id", "seq"], 8)
 
 
+ORACLES["cluster_plan"] = _spans("").format(out="cluster_no")
+ORACLES["webm_fragments"] = _spans("OR x.k OR r.n >= 8").format(out="fragment_no")
+
 _GREEDY = """WITH RECURSIVE {head}, r AS (SELECT asset_id, seq, 4 + w AS bytes, 0::BIGINT AS segment_no FROM x WHERE seq = 0 UNION ALL
 SELECT x.asset_id, x.seq, CASE WHEN r.bytes + x.w > 200 THEN 4 + x.w ELSE r.bytes + x.w END, CASE WHEN r.bytes + x.w > 200 THEN r.segment_no + 1 ELSE r.segment_no END FROM r JOIN x ON x.asset_id = r.asset_id AND x.seq = r.seq + 1)
 SELECT asset_id, seq, segment_no FROM r"""
@@ -545,6 +559,13 @@ def read_windows(spark, d):
     return tl.read_windows(rows.select("asset_id", "track_id", "seq", "offset", "size_bytes"), 30, 120).select("asset_id", "seq", "window_no")
 
 
+ORACLES["read_windows"] = f"""WITH RECURSIVE {p.SQL["samples"]}, x AS (SELECT asset_id, seq, size_bytes, (coalesce(sum(size_bytes) OVER (PARTITION BY asset_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + seq * seq * 5)::BIGINT AS a FROM samples),
+r AS (SELECT asset_id, seq, a AS start, a + size_bytes AS stop, 0::BIGINT AS window_no FROM x WHERE seq = 0 UNION ALL
+SELECT asset_id, seq, CASE WHEN b THEN a ELSE start END, CASE WHEN b THEN a + size_bytes ELSE greatest(stop, a + size_bytes) END, CASE WHEN b THEN window_no + 1 ELSE window_no END
+  FROM (SELECT x.*, r.start, r.stop, r.window_no, x.a - r.stop > 30 OR x.a + x.size_bytes - r.start > 120 AS b FROM r JOIN x ON x.asset_id = r.asset_id AND x.seq = r.seq + 1))
+SELECT asset_id, seq, window_no FROM r"""
+
+
 @query(
     "interval_coalesce",
     """WITH o AS (SELECT asset_id, seq, seq * 30 + (size_bytes % 7) AS a, seq * 30 + (size_bytes % 7) + size_bytes AS b FROM samples),
@@ -565,12 +586,12 @@ def byte_positions(spark, d):
 
 @query(
     "declared_end",
-    """WITH t AS (SELECT asset_id, track_id, media_type, max(pts_us) // 1000 AS end_ms FROM packets GROUP BY ALL), v AS (SELECT asset_id, max(end_ms) FILTER (media_type = 'video') AS v, max(end_ms) AS m FROM t GROUP BY asset_id)
+    """WITH t AS (SELECT asset_id, track_id, track_kind, max(pts_us) // 1000 AS end_ms FROM packets GROUP BY ALL), v AS (SELECT asset_id, max(end_ms) FILTER (track_kind = 'video') AS v, max(end_ms) AS m FROM t GROUP BY asset_id)
 SELECT asset_id, CASE WHEN v > 0 AND m <= v + 50000000 THEN v ELSE m END AS end_ms FROM v""",
     ("packets",),
 )
 def declared_end(spark, d):
-    tracks = p.packets(spark, d).groupBy("asset_id", "track_id", "media_type").agg(F.expr("max(pts_us) div 1000").alias("end_ms"))
+    tracks = p.packets(spark, d).groupBy("asset_id", "track_id", "track_kind").agg(F.expr("max(pts_us) div 1000").alias("end_ms"))
     return ag.declared_end(tracks, 50_000_000)
 
 

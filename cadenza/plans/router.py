@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import CapabilityError
 
 #: Limits under which a job is tiny (bytes, pixels, seconds, audio frames).
-TINY = {"input_bytes": 64 * 1024, "output_pixels": 64 * 64, "media_seconds": 1, "audio_frames": 48_000}
+TINY = {"input_bytes": 64 * 1024, "output_pixels": 64 * 64, "content_seconds": 1, "audio_frames": 48_000}
 SOFTWARE_TIERS, SOFTWARE_SUBSTRATES = ("native", "wasm"), ("canvas2d", "native", "wasm")
 #: Containers that packets can be muxed into, and the raw PCM ones.
 MUXABLE = ("mp4", "mov", "webm", "mkv", "ogg", "ts", "flac", "mp3", "adts", "wav", "avi")

@@ -41,13 +41,13 @@ def write(tracks: list[Track], payloads: list[list[bytes]], limit: int = LIMIT)
     for i, t in enumerate(tracks):
         if t.codec not in FOURCC and t.codec not in WAVE and not t.codec.startswith("pcm-"):
             raise CapabilityError.miss(f"AVI can't hold {t.codec}", {"op": "mux", "container": "avi"}, ["avi"])
-        names.append(f"{i:02d}".encode() + (b"dc" if t.media_type == "video" else b"wb"))
+        names.append(f"{i:02d}".encode() + (b"dc" if t.track_kind == "video" else b"wb"))
     rows = sorted((p.pts_us if p.dts_us is None else p.dts_us, i, k) for i, t in enumerate(tracks) for k, p in enumerate(t.packets))
-    video = next((t for t in tracks if t.media_type == "video"), None)
+    video = next((t for t in tracks if t.track_kind == "video"), None)
     period = int(1e6 / video.fps + 0.5) if video and video.fps else 40_000
     streams = b""
     for t in tracks:
-        if t.media_type == "video":
+        if t.track_kind == "video":
             head = struct.pack("<4s4sIHHIIIIIIIIhhhh", b"vids", FOURCC[t.codec], 0, 0, 0, 0, period, 1_000_000, 0, len(t.packets), 0, 0xFFFFFFFF, 0, 0, 0, t.width or 0, t.height or 0)
             form = struct.pack("<IiiHH4sIiiII", 40, t.width or 0, t.height or 0, 1, 24, FOURCC[t.codec], 0, 0, 0, 0, 0)
         else:

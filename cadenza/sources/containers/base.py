@@ -5,11 +5,11 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
-from ...errors import MediaError
+from ...errors import EngineError
 
 
-def truncated(what: str) -> MediaError:
-    return MediaError("demux-error", f"{what} is cut off")
+def truncated(what: str) -> EngineError:
+    return EngineError("demux-error", f"{what} is cut off")
 
 
 @dataclass
@@ -28,7 +28,7 @@ class Packet:
 @dataclass
 class Track:
     track_id: int
-    media_type: str
+    track_kind: str
     codec: str
     timescale: int = 1_000_000
     duration_sec: float | None = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ...errors import CapabilityError, InputError, MediaError
+from ...errors import CapabilityError, InputError, EngineError
 from .base import Movie, Packet, Track, us
 
 #: MPEG audio bitrates (kbit/s) of layer III and rates, by version.
@@ -80,9 +80,9 @@ def adts(data: bytes) -> Movie:
         if h is None:
             if t is None:
                 raise InputError.bad("no ADTS frame")
-            raise MediaError("demux-error", "lost ADTS sync")
+            raise EngineError("demux-error", "lost ADTS sync")
         if at + h[1] > len(data):
-            raise MediaError("demux-error", "an ADTS frame is cut off")
+            raise EngineError("demux-error", "an ADTS frame is cut off")
         if t is None:
             config = (2 << 11 | AAC_RATES.index(h[2]) << 7 | h[3] << 3).to_bytes(2, "big")
             t = Track(1, "audio", "mp4a.40.2", h[2], sample_rate=h[2], channels=h[3], config=config)
@@ -102,7 +102,7 @@ def write_adts(track: Track, payloads: list[bytes]) -> bytes:
     for p in payloads:
         size = len(p) + 7
         if size > 0x1FFF:
-            raise MediaError("mux-error", "an ADTS frame is too long")
+            raise EngineError("mux-error", "an ADTS frame is too long")
         c = track.channels or 2
         out.append(bytes([0xFF, 0xF1, 1 << 6 | rate << 2 | c >> 2, (c & 3) << 6 | size >> 11, size >> 3 & 0xFF, (size & 7) << 5 | 0x1F, 0xFC]) + p)
     return b"".join(out)

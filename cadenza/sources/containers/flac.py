@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ...errors import CapabilityError, InputError, MediaError
+from ...errors import CapabilityError, InputError, EngineError
 from .base import Movie, Packet, Track, crc8, crc16, us
 
 #: Fixed values of the format: block sizes, sample rates and sample sizes by code.
@@ -36,11 +36,11 @@ def parse_info(data: bytes) -> StreamInfo:
     at, info, tags = 4, None, {}
     while True:
         if at + 4 > len(data):
-            raise MediaError("demux-error", "FLAC metadata is cut off")
+            raise EngineError("demux-error", "FLAC metadata is cut off")
         kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "big")
         body = data[at + 4 : at + 4 + size]
         if len(body) < size:
-            raise MediaError("demux-error", "FLAC metadata is cut off")
+            raise EngineError("demux-error", "FLAC metadata is cut off")
         if kind & 0x7F == 0 and size >= 34:
             v = int.from_bytes(body[10:18], "big")
             info = (int.from_bytes(body[:2], "big"), int.from_bytes(body[2:4], "big"), v >> 44, (v >> 41 & 7) + 1, (v >> 36 & 31) + 1, v & (1 << 36) - 1, body[18:34])
@@ -50,7 +50,7 @@ def parse_info(data: bytes) -> StreamInfo:
         if kind & 0x80:
             break
     if info is None or info[2] == 0:
-        raise MediaError("demux-error", "FLAC without STREAMINFO")
+        raise EngineError("demux-error", "FLAC without STREAMINFO")
     return StreamInfo(*info, at, tags)
 
 
@@ -83,11 +83,11 @@ def _coded_number(data: bytes, at: int) -> tuple[int, int]:
         return b, at + 1
     n = 8 - (~b & 0xFF).bit_length()
     if n < 2 or n > 7 or at + n > len(data):
-        raise MediaError("demux-error", "bad FLAC frame number")
+        raise EngineError("demux-error", "bad FLAC frame number")
     v = b & (0x7F >> n)
     for x in data[at + 1 : at + n]:
         if x & 0xC0 != 0x80:
-            raise MediaError("demux-error", "bad FLAC frame number")
+            raise EngineError("demux-error", "bad FLAC frame number")
         v = v << 6 | x & 0x3F
     return v, at + n
 
@@ -122,7 +122,7 @@ def parse_header(data: bytes, at: int, info: StreamInfo) -> Header | None:
         return None
     try:
         number, p = _coded_number(data, at + 4)
-    except (MediaError, IndexError):
+    except (EngineError, IndexError):
         return None
     extra = (1 if size == 6 else 2 if size == 7 else 0) + (1 if rate == 12 else 2 if rate in (13, 14) else 0)
     if p + extra >= len(data):
@@ -164,7 +164,7 @@ class _Bits:
 
     def u(self, n: int) -> int:
         if self.at + n > len(self.bits):
-            raise MediaError("decode-error", "a FLAC frame is cut off")
+            raise EngineError("decode-error", "a FLAC frame is cut off")
         v = int("".join(map(str, self.bits[self.at : self.at + n])), 2) if n else 0
         self.at += n
         return v
@@ -176,7 +176,7 @@ class _Bits:
     def unary(self) -> int:
         i = np.searchsorted(self.ones, self.at)
         if i >= len(self.ones):
-            raise MediaError("decode-error", "a FLAC frame is cut off")
+            raise EngineError("decode-error", "a FLAC frame is cut off")
         n = int(self.ones[i]) - self.at
         self.at += n + 1
         return n
@@ -184,7 +184,7 @@ class _Bits:
     def many(self, n: int, count: int) -> np.ndarray:
         """count signed numbers of n bits."""
         if self.at + n * count > len(self.bits):
-            raise MediaError("decode-error", "a FLAC frame is cut off")
+            raise EngineError("decode-error", "a FLAC frame is cut off")
         v = self.bits[self.at : self.at + n * count].reshape(count, n).astype(np.int64) @ (1 << np.arange(n - 1, -1, -1, dtype=np.int64))
         self.at += n * count
         return np.where(v >> (n - 1) & 1, v - (1 << n), v)
@@ -200,12 +200,12 @@ class _Bits:
             while i < total and ones[i] < at:
                 i += 1
             if i >= total:
-                raise MediaError("decode-error", "a FLAC frame is cut off")
+                raise EngineError("decode-error", "a FLAC frame is cut off")
             stop = int(ones[i])
             q[j], stops[j] = stop - at, stop + 1
             at = stop + 1 + k
         if at > len(bits):
-            raise MediaError("decode-error", "a FLAC frame is cut off")
+            raise EngineError("decode-error", "a FLAC frame is cut off")
         low = bits[stops[:, None] + np.arange(k)].astype(np.int64) @ weight if k else 0
         v = (q << k) | low
         out[:] = (v >> 1) ^ -(v & 1)
@@ -216,10 +216,10 @@ class _Bits:
 def _residual(b: _Bits, order: int, n: int) -> np.ndarray:
     method = b.u(2)
     if method > 1:
-        raise MediaError("decode-error", "unknown FLAC residual coding")
+        raise EngineError("decode-error", "unknown FLAC residual coding")
     width, parts = 4 + method, 1 << b.u(4)
     if n % parts or n // parts < order:
-        raise MediaError("decode-error", "bad FLAC partition order")
+        raise EngineError("decode-error", "bad FLAC partition order")
     out = []
     for p in range(parts):
         count, k = n // parts - (order if p == 0 else 0), b.u(width)
@@ -243,7 +243,7 @@ def _predict(warm: list[int], residual: np.ndarray, coefficients: list[int], shi
 
 def _subframe(b: _Bits, n: int, bits: int) -> np.ndarray:
     if b.u(1):
-        raise MediaError("decode-error", "bad FLAC subframe")
+        raise EngineError("decode-error", "bad FLAC subframe")
     kind = b.u(6)
     wasted = b.unary() + 1 if b.u(1) else 0
     bits -= wasted
@@ -271,11 +271,11 @@ def _subframe(b: _Bits, n: int, bits: int) -> np.ndarray:
         warm = [b.s(bits) for _ in range(order)]
         precision, shift = b.u(4) + 1, b.s(5)
         if precision == 16 or shift < 0:
-            raise MediaError("decode-error", "bad FLAC predictor")
+            raise EngineError("decode-error", "bad FLAC predictor")
         coefficients = [b.s(precision) for _ in range(order)]
         x = _predict(warm, _residual(b, order, n), coefficients, shift)
     else:
-        raise MediaError("decode-error", "reserved FLAC subframe")
+        raise EngineError("decode-error", "reserved FLAC subframe")
     return x << wasted
 
 
@@ -284,12 +284,12 @@ def decode_frame(data: bytes, h: Header, channels: int) -> np.ndarray:
     b = _Bits(data, h.body)
     n = h.assignment + 1 if h.assignment < 8 else 2
     if n != channels:
-        raise MediaError("decode-error", "a FLAC frame changes the channels")
+        raise EngineError("decode-error", "a FLAC frame changes the channels")
     wide = {8: 1, 9: 0, 10: 1}.get(h.assignment)
     x = [_subframe(b, h.samples, h.bits + (c == wide)) for c in range(n)]
     end = h.body + -(-b.at // 8)
     if end + 2 > len(data) or crc16(data[h.at : end]) != int.from_bytes(data[end : end + 2], "big"):
-        raise MediaError("decode-error", "a FLAC frame's checksum differs")
+        raise EngineError("decode-error", "a FLAC frame's checksum differs")
     if h.assignment == 8:
         x[1] = x[0] - x[1]
     elif h.assignment == 9:
@@ -312,9 +312,9 @@ def decode(data: bytes, check: bool = True) -> tuple[StreamInfo, np.ndarray]:
     parts = [decode_frame(data, h, info.channels) for h in frames(data, info)]
     x = np.concatenate(parts, axis=1) if parts else np.zeros((info.channels, 0), np.int64)
     if info.frames and x.shape[1] != info.frames:
-        raise MediaError("decode-error", "FLAC frames are missing")
+        raise EngineError("decode-error", "FLAC frames are missing")
     if check and info.md5 != bytes(16) and hashlib.md5(_raw(x, info.bits)).digest() != info.md5:
-        raise MediaError("decode-error", "the FLAC stream's MD5 differs")
+        raise EngineError("decode-error", "the FLAC stream's MD5 differs")
     return info, x
 
 
@@ -381,7 +381,7 @@ def _write_subframe(out: _Writer, x: np.ndarray, bits: int) -> None:
 def encode(x: np.ndarray, rate: int, bits: int = 16, block: int = 4096, tags: dict[str, str] | None = None) -> bytes:
     """Whole numbers, channels x frames, as a FLAC file; stereo takes left/side or mid/side where it is shorter."""
     channels, n = x.shape
-    if not 1 <= channels <= 8 or bits not in (8, 12, 16, 20, 24):
+    if not 1 <= channels <= 8 or bits not in (8, 12, 16, 20, 24, 32):
         raise CapabilityError.miss(f"FLAC of {channels} channels and {bits} bits", {"op": "encode", "codec": "flac"})
     x = x.astype(np.int64)
     body, sizes = [], []

@@ -6,7 +6,7 @@ import math
 import struct
 from dataclasses import dataclass
 
-from ...errors import InputError, MediaError
+from ...errors import InputError, EngineError
 from .base import Reader, truncated
 from .mp4 import boxes
 
@@ -74,7 +74,7 @@ def _gif(data: bytes) -> Image:
                 r.skip(n)
             frames, total, delay = frames + 1, total + delay, 0
         else:
-            raise MediaError("demux-error", "a GIF file has an unknown block")
+            raise EngineError("demux-error", "a GIF file has an unknown block")
     return Image("gif", w, h, frames, frames > 1, (flags >> 4 & 7) + 1, "indexed", None if loops is None else (math.inf if loops == 0 else float(loops)), total / 100 if frames > 1 else None)
 
 
@@ -107,7 +107,7 @@ def _jpeg(data: bytes) -> Image:
     r = Reader(data, 2, what="a JPEG file")
     while r.left() >= 4:
         if r.u(1) != 0xFF:
-            raise MediaError("demux-error", "a JPEG file has no marker")
+            raise EngineError("demux-error", "a JPEG file has no marker")
         mark = r.u(1)
         while mark == 0xFF:
             mark = r.u(1)

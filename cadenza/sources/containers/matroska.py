@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from ...errors import CapabilityError, InputError, MediaError
+from ...errors import CapabilityError, InputError, EngineError
 from .base import Movie, Packet, Track, truncated
 
 #: Element ids.
@@ -62,7 +62,7 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
     n, at = data[at] + 1, at + 1
     if lacing == 2:
         if (end - at) % n:
-            raise MediaError("demux-error", "bad fixed lacing")
+            raise EngineError("demux-error", "bad fixed lacing")
         return [(at + k * ((end - at) // n), (end - at) // n) for k in range(n)]
     sizes = []
     for k in range(n - 1):
@@ -161,7 +161,7 @@ def movie(data: bytes) -> Movie:
     seconds = duration * scale / 1e9 if duration else None
     for t in tracks.values():
         t.duration_sec = seconds
-        if t.media_type == "video" and t.fps is None and len(t.packets) > 1:
+        if t.track_kind == "video" and t.fps is None and len(t.packets) > 1:
             span = (max(p.pts_us for p in t.packets) - min(p.pts_us for p in t.packets)) / 1e6
             if span > 0:
                 raw = (len(t.packets) - 1) / span
@@ -194,10 +194,10 @@ def _entry(t: Track) -> bytes:
     names = {v: k for k, v in CODECS.items()}
     if t.codec not in names:
         raise CapabilityError.miss(f"Matroska can't hold {t.codec}", {"op": "mux", "container": "mkv"}, ["webm"])
-    out = uint(NUMBER, t.track_id) + uint(UID, t.track_id) + uint(TYPE, 1 if t.media_type == "video" else 2) + element(CODEC, names[t.codec].encode())
+    out = uint(NUMBER, t.track_id) + uint(UID, t.track_id) + uint(TYPE, 1 if t.track_kind == "video" else 2) + element(CODEC, names[t.codec].encode())
     if t.config:
         out += element(PRIVATE, t.config)
-    if t.media_type == "video":
+    if t.track_kind == "video":
         return element(ENTRY, out + element(VIDEO, uint(WIDTH, t.width or 1) + uint(HEIGHT, t.height or 1)))
     return element(ENTRY, out + element(AUDIO, element(RATE, struct.pack(">d", float(t.sample_rate or 48000))) + uint(CHANNELS, t.channels or 2)))
 
@@ -221,7 +221,7 @@ def clusters(blocks: list, most: int | None = None, at_keys: bool = False) -> li
     """Greedy groups: the span of times stays within SPAN_MS; fragments also end at video keyframes and at `most`."""
     out: list[list] = []
     for b in blocks:
-        if out and not (at_keys and b[2].keyframe and b[1].media_type == "video") and (most is None or len(out[-1]) < most):
+        if out and not (at_keys and b[2].keyframe and b[1].track_kind == "video") and (most is None or len(out[-1]) < most):
             times = [x[0] for x in out[-1]] + [b[0]]
             if max(times) - min(times) <= SPAN_MS:
                 out[-1].append(b)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
-from ...errors import CapabilityError, InputError, MediaError
+from ...errors import CapabilityError, InputError, EngineError
 from ...functions import crypto
 from .base import Movie, Packet, Track, truncated, us
 
@@ -49,7 +49,7 @@ class Box:
 
     def __init__(self, data: bytes, at: int, end: int, depth: int = 0) -> None:
         if depth > 16:
-            raise MediaError("demux-error", "boxes are nested too deeply")
+            raise EngineError("demux-error", "boxes are nested too deeply")
         self.data, self.at, self.end = data, at, end
         self.kids: list[tuple[bytes, int, int]] = list(boxes(data, at, end))
         self.depth = depth
@@ -89,12 +89,12 @@ def sample_tables(stbl: Box) -> dict:
     """The run-length tables as they stand, in the shape of the relational expansion."""
     raw = stbl.get(b"stsz")
     if raw is None or len(raw) < 12:
-        raise MediaError("demux-error", "a track has no sample sizes")
+        raise EngineError("demux-error", "a track has no sample sizes")
     fixed, n = struct.unpack(">II", raw[4:12])
     if not fixed and len(raw) < 12 + 4 * n:
         raise truncated("a sample table")
     if fixed and n * fixed > 1 << 40:
-        raise MediaError("demux-error", "a track has too many samples")
+        raise EngineError("demux-error", "a track has too many samples")
     sizes = [fixed] * n if fixed else list(struct.unpack(f">{n}I", raw[12 : 12 + 4 * n]))
     ctts = stbl.get(b"ctts")
     wide = stbl.get(b"co64")
@@ -127,7 +127,7 @@ def _expand(t: Track, st: dict, edit: int) -> None:
 def _protection(sinf: Box) -> tuple[bytes, Protection]:
     frma, schm, tenc = sinf.get(b"frma") or b"", sinf.get(b"schm") or b"", sinf.get(b"schi", b"tenc") if sinf.get(b"schi") else b""
     if not tenc or len(tenc) < 24:
-        raise MediaError("demux-error", "a protected track has no tenc")
+        raise EngineError("demux-error", "a protected track has no tenc")
     pattern = (tenc[5] >> 4, tenc[5] & 15) if tenc[0] else (0, 0)
     constant = tenc[25 : 25 + tenc[24]] if tenc[7] == 0 and len(tenc) > 24 else b""
     return frma[:4], Protection(schm[4:8].decode("latin1"), tenc[8:24], tenc[7], constant, pattern)
@@ -153,7 +153,7 @@ def parse(data: bytes) -> tuple[Movie, dict[int, Protection]]:
         raise InputError.bad("not an MP4 file")
     moov = top.get(b"moov")
     if moov is None:
-        raise MediaError("demux-error", "an MP4 file has no moov box")
+        raise EngineError("demux-error", "an MP4 file has no moov box")
     mvhd = moov.get(b"mvhd") or b""
     wide = bool(mvhd and mvhd[0])
     movie_scale = int.from_bytes(mvhd[20:24] if wide else mvhd[12:16], "big") or MOVIE_SCALE
@@ -161,7 +161,7 @@ def parse(data: bytes) -> tuple[Movie, dict[int, Protection]]:
     for trak in moov.all(b"trak"):
         tkhd, mdhd, hdlr, stbl = trak.get(b"tkhd"), trak.get(b"mdia", b"mdhd"), trak.get(b"mdia", b"hdlr"), trak.get(b"mdia", b"minf", b"stbl")
         if tkhd is None or mdhd is None or hdlr is None or stbl is None:
-            raise MediaError("demux-error", "a track lacks a box")
+            raise EngineError("demux-error", "a track lacks a box")
         kind = {b"vide": "video", b"soun": "audio"}.get(hdlr[8:12], "other")
         number = int.from_bytes(tkhd[20:24] if tkhd[0] else tkhd[12:16], "big")
         scale = int.from_bytes(mdhd[20:24] if mdhd[0] else mdhd[12:16], "big")
@@ -192,9 +192,9 @@ def parse(data: bytes) -> tuple[Movie, dict[int, Protection]]:
                 row = elst[8 + k * step : 8 + (k + 1) * step]
                 if len(row) < step:
                     break
-                span, media = struct.unpack(">Qq" if elst[0] else ">Ii", row[: step - 4])
-                if media >= 0:
-                    edit += media
+                span, begin = struct.unpack(">Qq" if elst[0] else ">Ii", row[: step - 4])
+                if begin >= 0:
+                    edit += begin
                     break
                 edit -= span * scale // movie_scale
         _expand(t, sample_tables(stbl), edit)
@@ -205,7 +205,7 @@ def parse(data: bytes) -> tuple[Movie, dict[int, Protection]]:
     for t in tracks.values():
         if t.packets and not t.duration_sec:
             t.duration_sec = max(p.pts_us + (p.duration_us or 0) for p in t.packets) / 1e6
-        if t.media_type == "video" and len(t.packets) > 1:
+        if t.track_kind == "video" and len(t.packets) > 1:
             span = sum(p.duration_us or 0 for p in t.packets)
             t.fps = len(t.packets) * 1e6 / span if span else None
     longest = max((t.duration_sec or 0 for t in tracks.values()), default=0)
@@ -223,7 +223,7 @@ def _fragments(data: bytes, top: Box, moov: Box, tracks: dict[int, Track], prote
         for traf in moof.all(b"traf"):
             tfhd = traf.get(b"tfhd")
             if tfhd is None or len(tfhd) < 8:
-                raise MediaError("demux-error", "a fragment has no header")
+                raise EngineError("demux-error", "a fragment has no header")
             flags, number, at = int.from_bytes(tfhd[1:4], "big"), int.from_bytes(tfhd[4:8], "big"), 8
             t = tracks.get(number)
             if t is None:
@@ -317,7 +317,7 @@ def _entry(t: Track) -> bytes:
     if t.codec not in names:
         raise CapabilityError.miss(f"MP4 can't hold {t.codec}", {"op": "mux", "container": "mp4"}, ["mp4"])
     config = box(CONFIG_BOX[t.codec], t.config) if t.config and t.codec in CONFIG_BOX else b""
-    if t.media_type == "video":
+    if t.track_kind == "video":
         body = bytes(6) + struct.pack(">H", 1) + bytes(16) + struct.pack(">HHIIIH", t.width or 0, t.height or 0, 0x480000, 0x480000, 0, 1) + bytes(32) + struct.pack(">Hh", 24, -1)
     else:
         body = bytes(6) + struct.pack(">H", 1) + bytes(8) + struct.pack(">HHHHI", t.channels or 2, 16, 0, 0, (t.sample_rate or 0) << 16)
@@ -354,7 +354,7 @@ def _trak(t: Track, stbl: bytes, length: int) -> bytes:
     a, b, c, d = _MATRIX[t.rotation]
     matrix = struct.pack(">9i", a << 16, b << 16, 0, c << 16, d << 16, 0, 0, 0, 1 << 30)
     shown = length * MOVIE_SCALE // max(1, t.timescale)
-    video = t.media_type == "video"
+    video = t.track_kind == "video"
     tkhd = full(b"tkhd", 0, 3, struct.pack(">IIIII", 0, 0, t.track_id, 0, shown), bytes(8), struct.pack(">hhhh", 0, 0, 0 if video else 0x100, 0), matrix, struct.pack(">II", (t.width or 0) << 16, (t.height or 0) << 16))
     mdhd = full(b"mdhd", 0, 0, struct.pack(">IIIIHH", 0, 0, t.timescale, length, 0x55C4, 0))
     hdlr = full(b"hdlr", 0, 0, bytes(4), b"vide" if video else b"soun", bytes(12), b"cadenza\0")
@@ -379,7 +379,7 @@ def write(tracks: list[Track], payloads: list[list[bytes]], container: str = "mp
             runs.append((i, [k]))
     for t, (i, ks) in ((tracks[r[0]], r) for r in runs):
         if ks != sorted(ks):
-            raise MediaError("mux-error", f"track {t.track_id} ({i}) isn't in decode order")
+            raise EngineError("mux-error", f"track {t.track_id} ({i}) isn't in decode order")
     brand = b"qt  " if container == "mov" else b"isom"
     ftyp = box(b"ftyp", brand, struct.pack(">I", 512), brand, b"iso2", b"mp41")
     timing = [_timing(t) for t in tracks]
@@ -400,7 +400,7 @@ def write(tracks: list[Track], payloads: list[list[bytes]], container: str = "mp
             stbl = [full(b"stsd", 0, 0, struct.pack(">I", 1), _entry(t)), full(b"stts", 0, 0, _rows(encode_runs(durations)))]
             if any(offsets):
                 stbl.append(full(b"ctts", 1, 0, _rows(encode_runs(offsets), "i")))
-            if t.media_type == "video" and not all(p.keyframe for p in t.packets):
+            if t.track_kind == "video" and not all(p.keyframe for p in t.packets):
                 stbl.append(full(b"stss", 0, 0, _rows([(k + 1,) for k, p in enumerate(t.packets) if p.keyframe])))
             stbl += [full(b"stsc", 0, 0, _rows(per)), full(b"stsz", 0, 0, struct.pack(">II", 0, len(ps)), b"".join(struct.pack(">I", len(x)) for x in ps))]
             stbl.append(full(b"co64" if wide else b"stco", 0, 0, struct.pack(">I", len(found)), b"".join(struct.pack(">Q" if wide else ">I", a) for a, _ in found)))
@@ -416,7 +416,7 @@ def write(tracks: list[Track], payloads: list[list[bytes]], container: str = "mp
 def fragments(tracks: list[Track], payloads: list[list[bytes]], most: int = 90) -> list[bytes]:
     """An init segment and then moof/mdat pairs: video breaks at keyframes and after `most`, audio after `most`."""
     if not tracks or any(not t.packets for t in tracks):
-        raise MediaError("mux-error", "fragments need tracks with samples")
+        raise EngineError("mux-error", "fragments need tracks with samples")
     empty = lambda t: box(b"stbl", full(b"stsd", 0, 0, struct.pack(">I", 1), _entry(t)), *(full(n, 0, 0, bytes(4)) for n in (b"stts", b"stsc")), full(b"stsz", 0, 0, bytes(8)), full(b"stco", 0, 0, bytes(4)))
     mvex = box(b"mvex", *(full(b"trex", 0, 0, struct.pack(">IIIII", t.track_id, 1, 0, 0, 0)) for t in tracks))
     out = [box(b"ftyp", b"iso5", struct.pack(">I", 512), b"iso5", b"iso6", b"mp41") + _moov([_trak(t, empty(t), 0) for t in tracks], 0, None, mvex)]
@@ -425,7 +425,7 @@ def fragments(tracks: list[Track], payloads: list[list[bytes]], most: int = 90)
         durations, offsets, _ = _timing(t)
         begin = 0
         for k in range(1, len(t.packets) + 1):
-            if k == len(t.packets) or k - begin >= most or (t.media_type == "video" and t.packets[k].keyframe):
+            if k == len(t.packets) or k - begin >= most or (t.track_kind == "video" and t.packets[k].keyframe):
                 p = t.packets[begin]
                 pieces.append((p.pts_us if p.dts_us is None else p.dts_us, i, begin, k, sum(durations[:begin]), durations, offsets))
                 begin = k

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ...errors import CapabilityError, InputError, MediaError
+from ...errors import CapabilityError, InputError, EngineError
 from .base import Movie, Packet, Track, crc32_mpeg2
 
 SYNC, SIZE, CLOCK = 0x47, 188, 90_000
@@ -20,7 +20,7 @@ def packets(data: bytes):
         raise InputError.bad("not a transport stream")
     for at in range(0, len(data) - SIZE + 1, SIZE):
         if data[at] != SYNC:
-            raise MediaError("demux-error", f"lost transport sync at {at}")
+            raise EngineError("demux-error", f"lost transport sync at {at}")
         pid, control = (data[at + 1] & 0x1F) << 8 | data[at + 2], data[at + 3] >> 4 & 3
         begin, random = at + 4, False
         if control & 2:
@@ -34,9 +34,9 @@ def _section(payload: bytes) -> bytes:
     p = payload[1 + payload[0] :]
     size = (p[1] & 15) << 8 | p[2] if len(p) >= 3 else 0
     if len(p) < 3 + size or size < 9:
-        raise MediaError("demux-error", "a transport table is cut off")
+        raise EngineError("demux-error", "a transport table is cut off")
     if crc32_mpeg2(p[: 3 + size]):
-        raise MediaError("demux-error", "a transport table's checksum differs")
+        raise EngineError("demux-error", "a transport table's checksum differs")
     return p[8 : 3 + size - 4]
 
 
@@ -85,7 +85,7 @@ def movie(data: bytes) -> Movie:
         t, wraps, last, raw = Track(i + 1, kind, codec, CLOCK), 0, None, []
         for pes in units.get(pid, []):
             if len(pes) < 9 or pes[:3] != b"\0\0\1":
-                raise MediaError("demux-error", "a PES packet has no start code")
+                raise EngineError("demux-error", "a PES packet has no start code")
             flags, head = pes[7] >> 6, 9 + pes[8]
             if not flags & 2 or len(pes) < 14:
                 continue
@@ -108,7 +108,7 @@ def movie(data: bytes) -> Movie:
             t.duration_sec = (shown[-1] - shown[0] + nominal) / CLOCK
         tracks.append(t)
     if not tracks:
-        raise MediaError("demux-error", "no known stream in the transport stream")
+        raise EngineError("demux-error", "no known stream in the transport stream")
     spans = [(min(p.pts_us for p in t.packets), max(p.pts_us for p in t.packets), min(p.duration_us for p in t.packets)) for t in tracks if len(t.packets) > 1]
     whole = (max(b for _, b, _ in spans) - min(a for a, _, _ in spans) + min((g for *_, g in spans if g > 0), default=0)) / 1e6 if spans else 0.0
     return Movie("ts", tracks, whole)
@@ -167,8 +167,8 @@ def write(tracks: list[Track], payloads: list[list[bytes]]) -> bytes:
     for dts, pts, pid, p, data, t in sorted(rows, key=lambda r: r[:3]):
         stamps = _stamp_bytes(2, ticks(pts)) if pts == dts else _stamp_bytes(3, ticks(pts)) + _stamp_bytes(1, ticks(dts))
         pes = bytes([0x80, 0x80 if pts == dts else 0xC0, len(stamps)]) + stamps + data
-        size = len(pes) if t.media_type == "audio" and len(pes) < 1 << 16 else 0
-        pes = b"\0\0\1" + bytes([0xE0 if t.media_type == "video" else 0xC0]) + size.to_bytes(2, "big") + pes
+        size = len(pes) if t.track_kind == "audio" and len(pes) < 1 << 16 else 0
+        pes = b"\0\0\1" + bytes([0xE0 if t.track_kind == "video" else 0xC0]) + size.to_bytes(2, "big") + pes
         at = out.packet(pid, True, pes, ticks(dts) if pid == pids[0] else None, p.keyframe)
         while at < len(pes):
             at += out.packet(pid, False, pes[at:])

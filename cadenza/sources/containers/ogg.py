@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from ...errors import CapabilityError, InputError, MediaError
+from ...errors import CapabilityError, InputError, EngineError
 from .base import Movie, Packet, Track, crc32_ogg, us
 from .flac import comment_block, parse_comments
 
@@ -27,19 +27,19 @@ def pages(data: bytes, check: bool = False):
     at = 0
     while at < len(data):
         if data[at : at + 4] != b"OggS":
-            raise MediaError("demux-error", "no Ogg page where one must be") if at else InputError.bad("not an Ogg file")
+            raise EngineError("demux-error", "no Ogg page where one must be") if at else InputError.bad("not an Ogg file")
         if at + 27 > len(data) or at + 27 + data[at + 26] > len(data):
-            raise MediaError("demux-error", "an Ogg page is cut off")
+            raise EngineError("demux-error", "an Ogg page is cut off")
         flags, granule, serial = data[at + 5], int.from_bytes(data[at + 6 : at + 14], "little", signed=True), int.from_bytes(data[at + 14 : at + 18], "little")
         lacing = data[at + 27 : at + 27 + data[at + 26]]
         body = at + 27 + len(lacing)
         end = body + sum(lacing)
         if end > len(data):
-            raise MediaError("demux-error", "an Ogg page is cut off")
+            raise EngineError("demux-error", "an Ogg page is cut off")
         if check:
             page = data[at : at + 22] + bytes(4) + data[at + 26 : end]
             if crc32_ogg(page) != int.from_bytes(data[at + 22 : at + 26], "little"):
-                raise MediaError("demux-error", "an Ogg page's checksum differs")
+                raise EngineError("demux-error", "an Ogg page's checksum differs")
         yield serial, flags, granule, lacing, body
         at = end
 
@@ -83,7 +83,7 @@ def movie(data: bytes) -> Movie:
         else:
             continue
         if rate <= 0:
-            raise MediaError("demux-error", "Ogg stream without a rate")
+            raise EngineError("demux-error", "Ogg stream without a rate")
         for h, *_ in whole[1:headers]:
             if codec != "flac" or (h and h[0] & 0x7F == 4):
                 tags |= parse_comments(h[mark:])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ...errors import CapabilityError, InputError, MediaError
+from ...errors import CapabilityError, InputError, EngineError
 from ...functions import pcm
 from .base import Movie, Packet, Reader, Track, us
 
@@ -67,7 +67,7 @@ def _int_format(bits: int, container: str) -> str:
 
 def _made(container: str, fmt: str, big: bool, rate: int, channels: int, offset: int, size: int) -> PcmFile:
     if rate <= 0 or channels <= 0:
-        raise MediaError("demux-error", f"{container}: rate and channels must be positive")
+        raise EngineError("demux-error", f"{container}: rate and channels must be positive")
     return PcmFile(container, fmt, big, rate, channels, offset, size)
 
 
@@ -90,9 +90,9 @@ def parse_wav(data: bytes) -> PcmFile:
                 raise CapabilityError.miss(f"WAV format {code}", {"op": "demux", "container": "wav"})
         elif name == b"data":
             if fmt is None:
-                raise MediaError("demux-error", "WAV data before its format")
+                raise EngineError("demux-error", "WAV data before its format")
             return _made("wav", fmt[0], False, fmt[1], fmt[2], at, size)
-    raise MediaError("demux-error", "WAV without format or data")
+    raise EngineError("demux-error", "WAV without format or data")
 
 
 def wav_header(fmt: str, rate: int, channels: int, size: int) -> bytes:
@@ -124,7 +124,7 @@ def parse_aiff(data: bytes) -> PcmFile:
             r.skip(4 + skip)
             body = (r.at, r.left())
     if common is None or body is None:
-        raise MediaError("demux-error", "AIFF without COMM or SSND")
+        raise EngineError("demux-error", "AIFF without COMM or SSND")
     channels, frames, bits, rate, kind = common
     floats = {b"fl32": "f32", b"FL32": "f32", b"fl64": "f64", b"FL64": "f64"}
     if kind in floats:
@@ -164,10 +164,10 @@ def parse_caf(data: bytes) -> PcmFile:
             desc = (f"f{bits}" if flags & 1 and bits in (32, 64) else _int_format(bits, "caf"), not flags & 2, int(round(rate)), channels)
         elif name == b"data":
             if desc is None:
-                raise MediaError("demux-error", "CAF data before its description")
+                raise EngineError("demux-error", "CAF data before its description")
             r.skip(4)
             return _made("caf", *desc, r.at, r.left())
-    raise MediaError("demux-error", "CAF without description or data")
+    raise EngineError("demux-error", "CAF without description or data")
 
 
 def write_caf(planar: np.ndarray, rate: int, fmt: str = "s16", big: bool = False) -> bytes:
@@ -192,6 +192,13 @@ def output_format(container: str, source: str, asked: str | None = None) -> str:
     return "s8" if source == "u8" else source
 
 
+def flac_bits(fmt: str) -> int:
+    """Bits of a FLAC sample for PCM of this format; floats get 24."""
+    if fmt not in pcm.WIDTH:
+        raise CapabilityError.miss(f"FLAC of {fmt}", {"op": "encode", "codec": "flac"})
+    return 24 if fmt[0] == "f" else 8 * pcm.WIDTH[fmt]
+
+
 def movie(parse, data: bytes, packet_frames: int = 1024) -> Movie:
     """PCM as packets of up to `packet_frames` frames."""
     f = parse(data)

@@ -70,7 +70,7 @@ def _riff_body(data: bytes, little: bool, drop) -> bytes:
 
 
 def write_tags(data: bytes, container: str, tags: dict[str, str]) -> bytes:
-    """The file with exactly these tags, its media unchanged."""
+    """The file with exactly these tags, its streams unchanged."""
     tags = _check(tags)
     if container == "mp3":
         return id3(tags) + data[elementary.id3_size(data) :]

@@ -15,7 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..errors import InputError, MediaError
+from ..errors import InputError, EngineError
 
 CHUNK = 8 << 20
 
@@ -90,7 +90,7 @@ class ByteFileWriter(DataSourceWriter):
             for row in rows:
                 at = self.base + row.position
                 if os.pwrite(handle, bytes(row.data), at) != len(row.data):
-                    raise MediaError("mux-error", f"short write to {self.path}")
+                    raise EngineError("mux-error", f"short write to {self.path}")
                 end = max(end, at + len(row.data))
         finally:
             os.close(handle)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import CapabilityError, InputError, MediaError
+from ..errors import CapabilityError, InputError, EngineError
 from ..model import PACKETS, PCM_BLOCKS, TRACKS
 from ..plans.router import check_muxable, route_container, sniff
 from ..session import prepare
@@ -41,12 +41,12 @@ def parse(data: bytes, container: str | None) -> Movie:
         raise CapabilityError.miss(f"no container driver for {container or 'unknown bytes'}", {"op": "demux"}, list(PARSERS))
     try:
         return PARSERS[container](data)
-    except MediaError:
+    except EngineError:
         raise
     except (IndexError, ValueError, KeyError, OverflowError, RecursionError, StopIteration, MemoryError) as e:
-        raise MediaError("demux-error", f"{container}: {e or type(e).__name__}") from e
+        raise EngineError("demux-error", f"{container}: {e or type(e).__name__}") from e
     except Exception as e:  # struct.error and the like: garbled fields
-        raise MediaError("demux-error", f"{container}: {e}") from e
+        raise EngineError("demux-error", f"{container}: {e}") from e
 
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
@@ -102,12 +102,12 @@ def _fields(schema: str) -> list[str]:
     return out
 
 
-def _status(e: MediaError | None) -> tuple:
+def _status(e: EngineError | None) -> tuple:
     return ("ok", None, None) if e is None else ("failed", e.code, str(e))
 
 
 def _track_row(asset: int, t: Track) -> tuple:
-    return (asset, t.track_id, t.media_type, t.codec, t.timescale, t.duration_sec, t.fps, t.rotation, t.encrypted, False, t.width, t.height, t.sample_rate, t.channels, None)
+    return (asset, t.track_id, t.track_kind, t.codec, t.timescale, t.duration_sec, t.fps, t.rotation, t.encrypted, False, t.width, t.height, t.sample_rate, t.channels, None)
 
 
 def read_tracks(assets: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def read_tracks(assets: DataFrame) -> DataFrame:
     def make(asset: int, kind: str | None, data: bytes) -> list[tuple]:
         try:
             return [(*_track_row(asset, t), *_status(None)) for t in parse(data, kind).tracks]
-        except MediaError as e:
+        except EngineError as e:
             return [(asset, *[None] * 14, *_status(e))]
 
     return _each_file(assets, make, f"{TRACKS}, {_STATUS}")
@@ -131,13 +131,13 @@ def probe(assets: DataFrame) -> DataFrame:
                 i = images.probe(data)
                 return [(asset, i.format, i.duration_sec, len(data), [], {}, (i.format, i.width, i.height, i.frame_count, i.animated, i.bit_depth, i.color_type, i.loop_count), *_status(None))]
             m = parse(data, kind)
-            tracks = [(t.track_id, t.media_type, t.codec, t.duration_sec, t.fps, t.rotation, t.width, t.height, t.sample_rate, t.channels, t.encrypted) for t in m.tracks]
+            tracks = [(t.track_id, t.track_kind, t.codec, t.duration_sec, t.fps, t.rotation, t.width, t.height, t.sample_rate, t.channels, t.encrypted) for t in m.tracks]
             longest = max([m.duration_sec or 0.0, *(t.duration_sec or 0.0 for t in m.tracks)])
             return [(asset, m.container, longest, len(data), tracks, m.tags, None, *_status(None))]
-        except MediaError as e:
+        except EngineError as e:
             return [(asset, kind, None, len(data), [], {}, None, *_status(e))]
 
-    track = "struct<track_id:int,media_type:string,codec:string,duration_sec:double,fps:double,rotation:int,width:int,height:int,sample_rate:int,channels:int,encrypted:boolean>"
+    track = "struct<track_id:int,track_kind:string,codec:string,duration_sec:double,fps:double,rotation:int,width:int,height:int,sample_rate:int,channels:int,encrypted:boolean>"
     image = "struct<format:string,width:int,height:int,frame_count:int,animated:boolean,bit_depth:int,color_type:string,loop_count:double>"
     return _each_file(assets, make, f"asset_id bigint, container string, duration_sec double, size_bytes bigint, tracks array<{track}>, tags map<string,string>, image {image}, {_STATUS}")
 
@@ -150,7 +150,7 @@ def read_packets(assets: DataFrame) -> DataFrame:
     def make(asset: int, kind: str | None, data: bytes) -> list[tuple]:
         try:
             m = parse(data, kind)
-        except MediaError:
+        except EngineError:
             return []
         return [(asset, t.track_id, i, p.offset, p.size, p.pts_us, p.dts_us, p.duration_us, p.keyframe, p.data) for t in m.tracks for i, p in enumerate(t.packets)]
 
@@ -164,44 +164,51 @@ def with_payload(packets: DataFrame, assets: DataFrame) -> DataFrame:
     return packets.join(content, "asset_id").withColumn("data", F.coalesce("inline", cut)).drop("content", "inline")
 
 
-def decode_pcm(assets: DataFrame, block_frames: int = 4096) -> DataFrame:
-    """WAV, AIFF, CAF and FLAC as PCM blocks."""
+def decode_pcm(assets: DataFrame, block_frames: int = 4096, with_format: bool = False) -> DataFrame:
+    """WAV, AIFF, CAF and FLAC as PCM blocks, with `fmt`, the file's sample format, if asked for."""
 
     def make(asset: int, kind: str | None, data: bytes) -> list[tuple]:
         try:
             if kind == "flac":
                 info, x = flac.decode(data)
-                x, rate = x / float(1 << (info.bits - 1)), info.rate
+                x, rate, fmt = x / float(1 << (info.bits - 1)), info.rate, f"s{-(-info.bits // 8) * 8}"
             else:
                 f = {"wav": pcm_files.parse_wav, "aiff": pcm_files.parse_aiff, "caf": pcm_files.parse_caf}[kind](data)
-                x, rate = f.decode(data), f.rate
-        except (MediaError, KeyError):
+                x, rate, fmt = f.decode(data), f.rate, f.fmt
+        except (EngineError, KeyError):
             return []
-        return [(asset, 1, k, a, rate, len(x), [c[a : a + block_frames].tolist() for c in x]) for k, a in enumerate(range(0, x.shape[1], block_frames))]
+        return [(asset, 1, k, a, rate, len(x), [c[a : a + block_frames].tolist() for c in x], *([fmt] if with_format else [])) for k, a in enumerate(range(0, x.shape[1], block_frames))]
 
-    return _each_file(assets, make, PCM_BLOCKS)
+    return _each_file(assets, make, PCM_BLOCKS + (", fmt string" if with_format else ""))
 
 
-def write_pcm(blocks: DataFrame, container: str, fmt: str = "s16") -> DataFrame:
-    """One file per asset from its PCM blocks: (asset_id, container, content, status...)."""
+def pcm_file(x: np.ndarray, rate: int, container: str, fmt: str) -> bytes:
+    """Channels x frames as a file; what the container can't hold is a typed miss."""
+    if container == "flac":
+        bits = pcm_files.flac_bits(fmt)
+        top = 1 << (bits - 1)
+        return flac.encode(np.clip(np.floor(x * top + 0.5), -top, top - 1).astype(np.int64), rate, bits)
+    if container not in pcm_files.WRITE:
+        raise CapabilityError.miss(f"{container} can't hold PCM", {"op": "mux", "container": container}, list(pcm_files.WRITE))
+    return pcm_files.WRITE[container](x, rate, fmt)
+
+
+def write_pcm(blocks: DataFrame, container: str, fmt: str | None = None) -> DataFrame:
+    """One file per asset from its PCM blocks: (asset_id, container, content, status...).
+
+    The sample format is `fmt`, else that of the file the blocks come from (`fmt` in the blocks, by the
+    container's rule), else 16 bits."""
     prepare(blocks.sparkSession)
+    by_source = fmt is None and "fmt" in blocks.columns
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("block_no")
         x = np.concatenate([np.stack([np.asarray(c, np.float64) for c in p]) for p in part.planar], axis=1)
-        rate, content, error = int(part.sample_rate.iloc[0]), None, None
+        content, error = None, None
         try:
-            if container == "flac":
-                bits = {"s8": 8, "u8": 8, "s16": 16, "s24": 24}.get(fmt)
-                if bits is None:
-                    raise CapabilityError.miss(f"FLAC of {fmt}", {"op": "encode", "codec": "flac"})
-                top = 1 << (bits - 1)
-                content = flac.encode(np.clip(np.floor(x * top + 0.5), -top, top - 1).astype(np.int64), rate, bits)
-            elif container in pcm_files.WRITE:
-                content = pcm_files.WRITE[container](x, rate, fmt)
-            else:
-                raise CapabilityError.miss(f"{container} can't hold PCM", {"op": "mux", "container": container}, list(pcm_files.WRITE))
-        except MediaError as e:
+            kind = pcm_files.output_format(container, part.fmt.iloc[0]) if by_source else fmt or "s16"
+            content = pcm_file(x, int(part.sample_rate.iloc[0]), container, kind)
+        except EngineError as e:
             error = e
         return pd.DataFrame([(part.asset_id.iloc[0], container, content, *_status(error))], columns=["asset_id", "container", "content", "status", "error_code", "error"])
 
@@ -212,7 +219,7 @@ def build(tracks: list[Track], payloads: list[list[bytes]], container: str, tags
     """A file of these tracks; what a container can't hold is a typed miss."""
     check_muxable(container)
     if not tracks:
-        raise MediaError("mux-error", "nothing to mux")
+        raise EngineError("mux-error", "nothing to mux")
     if container in ("mp4", "mov"):
         return b"".join(mp4.fragments(tracks, payloads)) if fragmented else mp4.write(tracks, payloads, container, tags)
     if container in ("webm", "mkv"):
@@ -243,7 +250,7 @@ def mux(packets: DataFrame, tracks: DataFrame, container: str, tags: dict[str, s
     """One file per asset from packets with `data` and track rows; times in `pts_us`, `dts_us`, `duration_us`."""
     prepare(packets.sparkSession)
     check_muxable(container)
-    cols = ["track_id", "media_type", "codec", "timescale", "duration_sec", "fps", "rotation", "width", "height", "sample_rate", "channels", "config"]
+    cols = ["track_id", "track_kind", "codec", "timescale", "duration_sec", "fps", "rotation", "width", "height", "sample_rate", "channels", "config"]
     # Fresh aliases: both sides may come from one DataFrame.
     have = [F.col(c).alias(c) if c in tracks.columns else F.lit(None).cast("binary").alias(c) for c in cols]
 
@@ -255,13 +262,13 @@ def mux(packets: DataFrame, tracks: DataFrame, container: str, tags: dict[str, s
             part = rows[rows.track_id == h.track_id].sort_values("seq")
             if not len(part):
                 continue
-            t = Track(int(h.track_id), h.media_type, h.codec, whole(h.timescale) or 1_000_000, value(h.duration_sec), value(h.fps), whole(h.rotation) or 0, False, whole(h.width), whole(h.height), whole(h.sample_rate), whole(h.channels), bytes(value(h.config) or b""))
+            t = Track(int(h.track_id), h.track_kind, h.codec, whole(h.timescale) or 1_000_000, value(h.duration_sec), value(h.fps), whole(h.rotation) or 0, False, whole(h.width), whole(h.height), whole(h.sample_rate), whole(h.channels), bytes(value(h.config) or b""))
             t.packets = [Packet(None, len(d), int(p), whole(q), whole(n), bool(k)) for p, q, n, k, d in zip(part.pts_us, part.dts_us, part.duration_us, part.keyframe, part["data"], strict=True)]
             made.append(t)
             payloads.append([bytes(d) for d in part["data"]])
         try:
             content = build(made, payloads, container, tags, fragmented)
-        except MediaError as e:
+        except EngineError as e:
             error = e
         return pd.DataFrame([(key[0], container, content, *_status(error))], columns=["asset_id", "container", "content", "status", "error_code", "error"])
 
@@ -283,7 +290,7 @@ def remux(assets: DataFrame, container: str, tags: dict[str, str] | None = None,
     def make(asset: int, kind: str | None, data: bytes) -> list[tuple]:
         try:
             return [(asset, container, remux_file(data, kind, container, tags, None, fragmented), *_status(None))]
-        except MediaError as e:
+        except EngineError as e:
             return [(asset, container, None, *_status(e))]
 
     return _each_file(assets, make, f"asset_id bigint, container string, content binary, {_STATUS}")

@@ -55,7 +55,7 @@ def variants(playlists: DataFrame, text: str = "text") -> DataFrame:
 
 
 def segments(playlists: DataFrame, text: str = "text") -> DataFrame:
-    """A row per segment of a media playlist with the key, map and sequence in force; orphan URIs are skipped.
+    """A row per segment of a playlist of segments with the key, map and sequence in force; orphan URIs are skipped.
 
     A byte range without offset begins at 0; METHOD=NONE clears the key; without an explicit IV the sequence
     number is it. `end_list` tells a finished playlist from a live one."""

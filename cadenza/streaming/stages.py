@@ -197,7 +197,7 @@ class FragmentStage(Stage):
         self.most, self.n, self.run = most, 0, -1
 
     def push(self, row) -> list[tuple]:
-        if self.n == 0 or self.n >= self.most or (row.media_type == "video" and row.keyframe):
+        if self.n == 0 or self.n >= self.most or (row.track_kind == "video" and row.keyframe):
             self.run, self.n = self.run + 1, 0
         self.n += 1
         return [(row.seq, self.run)]

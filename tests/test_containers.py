@@ -4,8 +4,8 @@ import struct
 import numpy as np
 import pytest
 
-from cadenza.errors import CapabilityError, MediaError
-from cadenza.sources import media
+from cadenza.errors import CapabilityError, EngineError
+from cadenza.sources import files as assets_io
 from cadenza.sources.containers import avi, elementary, flac, images, matroska, mp4, mpegts, ogg, pcm_files, tags
 from cadenza.sources.containers.base import Packet, Track, crc8, crc16, crc32_mpeg2, crc32_ogg
 
@@ -64,7 +64,7 @@ def test_flac(bits, channels):
     assert len(data) < x.size * bits // 8
     broken = bytearray(data)
     broken[len(data) // 2] ^= 1
-    with pytest.raises(MediaError):
+    with pytest.raises(EngineError):
         flac.decode(bytes(broken))
 
 
@@ -186,12 +186,12 @@ def test_tags(container):
         data = ogg.write(t, [b"\xf8ab"])
     else:
         v, vd = video(codec="vp9")
-        data = media.build([v], [vd], container)
+        data = assets_io.build([v], [vd], container)
     wanted = {"title": "Tïtle", "artist": "A"} if container != "aiff" else {"title": "Title", "artist": "A"}
     out = tags.write_tags(tags.write_tags(data, container, {"title": "old"}), container, wanted)
     got = tags.read_tags(out, container)
     assert {k.lower(): v for k, v in got.items()} == wanted
-    before, after = media.parse(data, container), media.parse(out, container)
+    before, after = assets_io.parse(data, container), assets_io.parse(out, container)
     payloads = lambda m, d: [[t.payload(p, d) for p in t.packets] for t in m.tracks]
     assert payloads(before, data) == payloads(after, out)
 
@@ -230,9 +230,9 @@ def test_corrupted_files_parse_or_raise_typed_errors(container):
         cases.append(bytes(b))
     for case in cases:
         try:
-            m = media.parse(case, container)
+            m = assets_io.parse(case, container)
             assert m.tracks is not None
-        except MediaError:
+        except EngineError:
             pass
 
 
@@ -246,7 +246,7 @@ def test_images():
     assert (images.probe(jpeg).width, images.probe(jpeg).height) == (9, 7)
     webp = b"RIFF\0\0\0\0WEBPVP8X" + struct.pack("<I", 10) + bytes([0x12, 0, 0, 0]) + (9).to_bytes(3, "little") + (4).to_bytes(3, "little")
     assert (images.probe(webp).width, images.probe(webp).height, images.probe(webp).animated) == (10, 5, True)
-    with pytest.raises(MediaError):
+    with pytest.raises(EngineError):
         images.probe(b"nothing")
-    with pytest.raises(MediaError):
+    with pytest.raises(EngineError):
         images.probe(png[:20])

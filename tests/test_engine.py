@@ -2,11 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.errors import CapabilityError, InputError, MediaError
+from cadenza.errors import CapabilityError, InputError, EngineError
 from cadenza.operators import joins, selection, timeline
 from cadenza.plans import router
 from cadenza.plans.engine import Engine
-from cadenza.sources import media
+from cadenza.sources import files as assets_io
 from cadenza.sources.containers import flac, mp4, pcm_files
 from tests.test_containers import audio, files, signal, video
 
@@ -28,7 +28,7 @@ def test_demux_payloads(engine):
     (v, vd), (a, ad) = video(), audio()
     assets = engine.source([(1, mp4.write([v, a], [vd, ad]))])
     tracks, packets = engine.demux(assets)
-    rows = media.with_payload(packets, assets).orderBy("track_id", "seq").collect()
+    rows = assets_io.with_payload(packets, assets).orderBy("track_id", "seq").collect()
     assert [bytes(r.data) for r in rows] == vd + ad and tracks.count() == 2
     assert "content" not in engine.packet_info(assets).columns
 
@@ -44,7 +44,7 @@ def test_trim_and_remux(engine):
     (a, ad) = audio()
     two = mp4.write([v, a], [vd, ad])
     only = engine.remux(two, "mp4", select=["audio:0"]).first()
-    assert [t.media_type for t in mp4.movie(bytes(only.content)).tracks] == ["audio"]
+    assert [t.track_kind for t in mp4.movie(bytes(only.content)).tracks] == ["audio"]
     assert engine.remux(two, "webm").first().error_code == "capability-miss"
     with pytest.raises(InputError):
         engine.remux(two, "mp4", tags={}, select=["audio:0"])
@@ -72,6 +72,36 @@ def test_convert(engine):
     assert engine.wav_packet_copy(wav) == wav
 
 
+@pytest.mark.parametrize("fmt", ["u8", "s16", "s24", "s32", "f32", "f64"])
+def test_convert_keeps_the_format(engine, fmt):
+    x = signal(1500)
+    wav = pcm_files.write_wav(x, 8000, fmt)
+    signed = "s8" if fmt == "u8" else fmt
+    for to, want in (("aiff", signed), ("caf", signed), ("wav", fmt)):
+        out = engine.convert(wav, to, audio={"gain_db": -1.0}).first()
+        f = pcm_files.PARSE[to](bytes(out.content))
+        assert (f.fmt, f.channels, f.rate) == (want, 2, 8000)
+    flac_file = bytes(engine.convert(wav, "flac").first().content)
+    info, y = flac.decode(flac_file)
+    bits = 24 if fmt[0] == "f" else 8 * pcm_files.pcm.WIDTH[fmt]
+    assert info.bits == bits and np.array_equal(y, np.clip(np.floor(pcm_files.parse_wav(wav).decode(wav) * (1 << bits - 1) + 0.5), -(1 << bits - 1), (1 << bits - 1) - 1).astype(np.int64))
+    back = engine.convert(flac_file, "wav").first()
+    assert pcm_files.parse_wav(bytes(back.content)).fmt == ("u8" if bits == 8 else f"s{bits}")
+    mono = engine.load(wav).channels(1).to("aiff").blob()
+    f = pcm_files.parse_aiff(mono)
+    assert (f.channels, f.fmt) == (1, signed) and np.abs(f.decode(mono) - pcm_files.parse_wav(wav).decode(wav).mean(0)).max() < 2**-7
+    cut = engine.load(wav).trim(0, 0.05, "accurate").run().first()
+    assert pcm_files.parse_wav(bytes(cut.content)).fmt == fmt
+    assert pcm_files.parse_wav(bytes(engine.convert(wav, "wav", audio={"codec": "pcm-s16", "sample_rate": 4000}).first().content)).fmt == "s16"
+
+
+def test_channels_of_each_file(engine):
+    one, two, three = (pcm_files.write_wav(signal(900)[[0, 1, 0][:k]], 8000, "s24") for k in (1, 2, 3))
+    rows = {r.asset_id: r for r in engine.convert([one, two, three], "wav", audio={"channels": 2}).collect()}
+    assert [rows[k].status for k in range(3)] == ["ok", "ok", "failed"] and rows[2].error_code == "capability-miss"
+    assert all((f.channels, f.fmt) == (2, "s24") for f in (pcm_files.parse_wav(bytes(rows[k].content)) for k in range(2)))
+
+
 def test_chain(engine):
     wav = pcm_files.write_wav(signal(3000), 8000)
     chain = engine.load(wav).gain(-3.0).sample_rate(16_000).to("flac")
@@ -82,7 +112,7 @@ def test_chain(engine):
     assert [s[0] for s in split.compile()] == ["convert", "trim", "convert"]
     with pytest.raises(InputError):
         engine.load(wav).compile()
-    with pytest.raises(MediaError):
+    with pytest.raises(EngineError):
         engine.load(mp4.write(*[[z] for z in video()])).codec("vp9").to("mp4").blob()
 
 
@@ -90,7 +120,7 @@ def test_modules_and_ladder(engine):
     class Old:
         id, api_version = "old", 7
 
-    with pytest.raises(MediaError) as e:
+    with pytest.raises(EngineError) as e:
         engine.use(Old())
     assert e.value.code == "driver-incompatible"
     assert {r.error_code for r in engine.h264_abr_ladder(b"x", [(720, 1), (360, 1)]).collect()} == {"capability-miss"}
@@ -156,7 +186,7 @@ def test_selection_refuses(spark):
         selection.check_range(5, 6, 4)
     assert selection.check_range(0, 4.5, 4) == (0, 4_500_000)
     with pytest.raises(InputError):
-        selection.select_tracks(spark.createDataFrame([(1, 1, "video")], "asset_id int, track_id int, media_type string"), ["film:1"])
+        selection.select_tracks(spark.createDataFrame([(1, 1, "video")], "asset_id int, track_id int, track_kind string"), ["film:1"])
 
 
 def test_retiming_rules(spark):

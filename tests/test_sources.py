@@ -1,9 +1,10 @@
 import pytest
 
-from cadenza.errors import InputError, MediaError
+from cadenza.errors import InputError, EngineError
 from cadenza.functions import codec_strings as cs
 from cadenza.plans.conformance import check_container
-from cadenza.sources import datasource, media
+from cadenza.sources import datasource
+from cadenza.sources import files as assets_io
 from tests.test_containers import files
 
 
@@ -31,7 +32,7 @@ def test_files_of_a_folder(spark, tmp_path):
     made = files()
     for name, data in made.items():
         (tmp_path / f"x.{name}").write_bytes(data)
-    assets = media.from_files(spark, str(tmp_path))
+    assets = assets_io.from_files(spark, str(tmp_path))
     got = {r.filename: r for r in assets.drop("content", "head").collect()}
     assert {k.split(".")[1]: r.kind for k, r in got.items()} == {k: k for k in made}
     assert all(got[f"x.{k}"].size_bytes == len(v) for k, v in made.items())
@@ -40,14 +41,14 @@ def test_files_of_a_folder(spark, tmp_path):
 @pytest.mark.parametrize("container", sorted(files()))
 def test_drivers_conform(container):
     def parse(data):
-        return media.parse(data, container)
+        return assets_io.parse(data, container)
 
     assert check_container(parse, files()[container]) == []
 
 
 def test_a_bad_driver_is_told():
     def broken(data):
-        m = media.parse(files()["mp4"], "mp4")
+        m = assets_io.parse(files()["mp4"], "mp4")
         m.tracks[0].packets.reverse()
         return m
 
@@ -62,7 +63,7 @@ def test_codec_strings():
     assert cs.token_of("hev1.1.6.L93") == "hevc" and cs.token_of("nope") is None and cs.derive("vp8", b"") == "vp8"
     with pytest.raises(InputError):
         cs.string_of("nope")
-    with pytest.raises(MediaError):
+    with pytest.raises(EngineError):
         cs.from_avcc(b"\1")
 
 
@@ -75,5 +76,5 @@ def test_frame_headers():
     ivf = cs.write_ivf("VP80", 64, 48, 30, 1, [(0, b"abc"), (1, b"de")])
     fourcc, w, h, rate, frames = cs.read_ivf(ivf)
     assert (fourcc, w, h, rate) == ("VP80", 64, 48, 30) and [ivf[a : a + n] for a, n, _ in frames] == [b"abc", b"de"]
-    with pytest.raises(MediaError):
+    with pytest.raises(EngineError):
         cs.read_ivf(ivf[:-1])

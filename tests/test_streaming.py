@@ -57,7 +57,7 @@ def test_retime_and_fragments(spark, tmp_path):
     r = np.random.default_rng(7)
     pts = np.cumsum(r.integers(10_000, 400_000, 30)).tolist()
     frames = [(1, 0, i, p, None, "video", i % 9 == 0, i == 29) for i, p in enumerate(pts)]
-    schema = "asset_id bigint, track_id int, seq bigint, pts_us bigint, declared_us bigint, media_type string, keyframe boolean, is_last boolean"
+    schema = "asset_id bigint, track_id int, seq bigint, pts_us bigint, declared_us bigint, track_kind string, keyframe boolean, is_last boolean"
     batch = spark.createDataFrame(frames, schema)
     got = replay(spark, tmp_path, frames, schema, lambda s: stages.cfr_retime(s, 6.0), 4, "seq")
     want = joins.cfr_slots_streaming(batch, 6.0)
