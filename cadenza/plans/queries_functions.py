@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import crypto, dsp, pcm, pixels, tags
 from ..session import prepare
 from ..sources import files, manifest
+from ..streaming import stages
+from ..streaming.replay import replay
 from . import projections as p
 from . import router, targets
 
@@ -59,7 +61,10 @@ def fade_in(spark, d):
     return _long(dsp.fade_in(p.pcm(spark, d), 100))
 
 
-@query("fade_out", _sql("CASE WHEN f - (n - least(100, n)) >= 0 THEN x * cos((f - (n - least(100, n))) / greatest(least(100, n) - 1, 1) * pi() / 2) ELSE x END"), ("pcm",))
+_FADE_OUT = _sql("CASE WHEN f - (n - least(100, n)) >= 0 THEN x * cos((f - (n - least(100, n))) / greatest(least(100, n) - 1, 1) * pi() / 2) ELSE x END")
+
+
+@query("fade_out", _FADE_OUT, ("pcm",))
 def fade_out(spark, d):
     return _long(dsp.fade_out(p.pcm(spark, d), 100, "equal-power"))
 
@@ -412,9 +417,37 @@ for _name, _key in (("mp4", "track_kind = 'audio' OR keyframe OR NOT any_key"),
 
 @query("stream_limit", _sql("greatest(-pow(10, -20.0 / 20), least(pow(10, -20.0 / 20), x))"), ("pcm",))
 def stream_limit(spark, d):
-    from ..streaming import stages
+    return _long(replay(p.pcm(spark, d), lambda s: stages.limit(s, -20.0), "block_no"))
+
+
+@query("stream_fade_out", _FADE_OUT, ("pcm",))
+def stream_fade_out(spark, d):
+    return _long(replay(p.pcm(spark, d), lambda s: stages.fade(s, 0, 100, "equal-power"), "block_no"))
+
+
+@query("stream_biquad")
+def stream_biquad(spark, d):
+    return _long(replay(p.pcm(spark, d), lambda s: stages.biquad(s, "lowpass", 2000.0), "block_no"))
+
+
+def _filtered(f: dsp.Biquad, key: str, place: str) -> str:
+    """The filter as a recursive query: a step a sample, all streams side by side."""
+    return f"""WITH RECURSIVE {p.SQL["pcm"]}, x AS (SELECT {key} AS stream, asset_id, block_no, i - 1 AS i, {place} AS f, x[i] AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM pcm)),
+r AS (SELECT stream, asset_id, block_no, i, f, x * {f.b0!r} + 0.0 AS y, x * {f.b1!r} - (x * {f.b0!r} + 0.0) * {f.a1!r} + 0.0 AS z1, x * {f.b2!r} - (x * {f.b0!r} + 0.0) * {f.a2!r} AS z2 FROM x WHERE f = 0 UNION ALL
+SELECT x.stream, x.asset_id, x.block_no, x.i, x.f, x.x * {f.b0!r} + r.z1, x.x * {f.b1!r} - (x.x * {f.b0!r} + r.z1) * {f.a1!r} + r.z2, x.x * {f.b2!r} - (x.x * {f.b0!r} + r.z1) * {f.a2!r} FROM r JOIN x ON x.stream = r.stream AND x.f = r.f + 1)
+SELECT asset_id, block_no, 0::BIGINT AS ch, i, round(y, 9) AS x FROM r"""
+
 
-    return _long(stages.limit(p.pcm(spark, d), -20.0))
+ORACLES["biquad_lowpass"] = ORACLES["stream_biquad"] = _filtered(dsp.design_biquad("lowpass", 2000.0, p.RATE), "asset_id", "block_no * 64 + i - 1")
+ORACLES["biquad_array"] = _filtered(dsp.design_biquad("highpass", 300.0, p.RATE), "asset_id * 1000000 + block_no", "i - 1")
+ORACLES["resample"] = f"""WITH {p.SQL["pcm"]}, k AS (SELECT {dsp.KAISER_BETA!r} AS beta, {dsp.ZERO_CROSSINGS} AS half, {dsp.PHASES} AS phases),
+g AS (SELECT i, i / phases::DOUBLE AS u, beta * sqrt(greatest(0, 1 - pow(i / phases::DOUBLE / half, 2))) AS z, beta FROM k, (SELECT unnest(range({dsp.ZERO_CROSSINGS * dsp.PHASES + 1})) AS i)),
+i0 AS (SELECT i, CASE WHEN i = 0 THEN 1.0 ELSE sin(pi() * u) / (pi() * u) END * list_sum([pow(pow(z / 2, n) / gamma(n + 1), 2) FOR n IN range(60)]) / list_sum([pow(pow(beta / 2, n) / gamma(n + 1), 2) FOR n IN range(60)]) AS t FROM g),
+w AS (SELECT c, o, (a.t + (coalesce(b.t, 0) - a.t) * (d * {dsp.PHASES} - a.i)) AS w FROM (SELECT c, o, abs(c / 3.0::DOUBLE - o) AS d FROM (SELECT unnest([0, 1, 2]) AS c), (SELECT unnest(range(-{dsp.ZERO_CROSSINGS}, {dsp.ZERO_CROSSINGS + 2})) AS o)) q
+  JOIN i0 a ON a.i = floor(d * {dsp.PHASES})::BIGINT LEFT JOIN i0 b ON b.i = a.i + 1 WHERE d <= {dsp.ZERO_CROSSINGS}),
+s AS (SELECT asset_id, block_no * 64 + i - 1 AS f, x[i] AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM pcm)),
+m AS (SELECT asset_id, unnest(range(floor(count(*) * 1.5 + 0.5)::BIGINT)) AS m FROM s GROUP BY asset_id)
+SELECT m.asset_id, m.m // 64 AS block_no, 0::BIGINT AS ch, m.m % 64 AS i, round(coalesce(sum(s.x * w.w), 0), 9) AS x FROM m JOIN w ON w.c = m.m * 2 % 3 LEFT JOIN s ON s.asset_id = m.asset_id AND s.f = m.m * 2 // 3 + w.o GROUP BY ALL"""
 
 
 @query(

@@ -87,7 +87,7 @@ def _each_file(assets: DataFrame, make, schema: str) -> DataFrame:
                 rows = make(int(asset), kind, b"" if content is None else bytes(content))
                 yield pd.DataFrame(rows, columns=names).astype(object)
 
-    prepare(assets.sparkSession, 8)
+    prepare(assets.sparkSession)
     return assets.select("asset_id", "kind", "content").mapInPandas(run, schema)
 
 
