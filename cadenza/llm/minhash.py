@@ -125,15 +125,22 @@ def _exact(a: int, marks: np.ndarray, ids: list[np.ndarray], b: int, percent: in
     return 100 * both >= percent * (len(ids[a]) + len(ids[b]) - both)
 
 
-def _confirm(names: np.ndarray, side: np.ndarray, joined: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+class _Rows:
+    """Nodes to be compared: their sets, signatures and bucket keys."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.sets, self.size = sets, np.array([len(x) for x in sets])
+        sig = signatures(np.concatenate(sets), self.size)
+        self.keys, self.sig = band_keys(sig.astype(U64), bands_of(percent)), np.ascontiguousarray(sig.T)
+
+
+def _confirm(names: np.ndarray, side: np.ndarray, joined: np.ndarray, rows: list[tuple[_Rows, int, int]], percent: int) -> list[tuple[int, int]]:
     """Links that connect what similar sets connect; sides 0 and 1 are compared with each other only.
 
     Rows with equal `joined` are connected already."""
+    sets = [x for r, a, b in rows for x in r.sets[a:b]]
+    size, keys, sig = (np.concatenate([getattr(r, c)[a:b] for r, a, b in rows]) for c in ("size", "keys", "sig"))
     n = len(sets)
-    size = np.array([len(s) for s in sets])
-    sig = signatures(np.concatenate(sets), size)
-    keys = band_keys(sig.astype(U64), bands_of(percent))
-    sig = np.ascontiguousarray(sig.T)
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     edge = np.concatenate([[0], np.cumsum(size)])
     ids = [flat[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
@@ -143,7 +150,7 @@ def _confirm(names: np.ndarray, side: np.ndarray, joined: np.ndarray, sets: list
     _, part = np.unique(joined, return_inverse=True)
     across = len(np.unique(side)) > 1
     out = []
-    for i in range(n - 1):
+    for i in range(np.count_nonzero(side == 0) if across else n - 1):  # side 0 comes first
         ok = (part[i + 1 :] != part[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i]))
         if across:
             ok &= side[i + 1 :] != side[i]
@@ -162,51 +169,47 @@ def _confirm(names: np.ndarray, side: np.ndarray, joined: np.ndarray, sets: list
 
 
 def _families(size: int, percent: int):
-    """Rows come sorted by group and blocks; one group, or one pair of its blocks, is held at a time."""
-
-    def links(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        table = pa.Table.from_batches(rows)
-        sets: list[np.ndarray] = []
-        x, y = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        for batch in table.to_batches():
-            for part in slices(batch, "text"):
-                sets += _sets(Words(part.column("text"), SPACED, True), size)
-        if len(sets) < 2:
-            return []
-        names, joined, block = (np.asarray(table.column(c)) for c in ("node", "comp", "block"))
-        return _confirm(names, (block == y).astype(int) if x != y else np.zeros(len(names), int), joined, sets, percent)
+    """Rows come sorted by group, blocks and block; one group, or one pair of its blocks, is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
+        held: list[tuple[np.ndarray, _Rows, int, int]] = []
+        now, found = None, []
 
-        def flush() -> pa.RecordBatch:
-            found = links(held) if held else []
+        def flush() -> None:
+            if sum(b - a for *_, a, b in held) < 2:
+                return
+            head = np.concatenate([x[:, a:b] for x, _, a, b in held], axis=1)
+            side = (head[3] != head[3, 0]).astype(int)  # of two blocks, the first one comes first
+            found.extend(_confirm(head[4], side, head[5], [x[1:] for x in held], percent))
+
+        def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            key = np.stack([np.asarray(batch.column(c), np.int64) for c in ("fam", "i", "j")])
-            cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [batch.num_rows]])
-            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if x == y:
-                    continue
-                if now is not None and tuple(key[:, x]) != now:
-                    yield flush()
-                    held = []
-                now = tuple(key[:, x])
-                held.append(batch.slice(x, y - x))
-        yield flush()
+            for part in slices(batch, "text"):  # sets and signatures of many groups at once
+                rows = _Rows(_sets(Words(part.column("text"), SPACED, True), size), percent)
+                head = np.stack([np.asarray(part.column(c), np.int64) for c in ("fam", "i", "j", "block", "node", "comp")])
+                cut = np.concatenate([[0], np.flatnonzero((head[:3, 1:] != head[:3, :-1]).any(0)) + 1, [part.num_rows]])
+                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    if now is not None and tuple(head[:3, x]) != now:
+                        flush()
+                        held = []
+                    now = tuple(head[:3, x])
+                    held.append((head, rows, x, y))
+            yield out()
+            found = []
+        flush()
+        yield out()
 
     return run
 
 
-def _compared(placed: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+def _compared(placed: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) within the groups of `placed` (node, comp, fam, i, j, block)."""
-    placed = scratch.table(placed.join(nodes.select("node", "rep"), "node").select("node", "comp", "fam", "i", "j", "block", "rep.id", "rep.key"))
-    members = texts.join(placed, same(texts, placed)).select("fam", "i", "j", "block", "node", "comp", "text")
+    members = texts.join(scratch.table(placed).hint("merge"), "node").select("fam", "i", "j", "block", "node", "comp", "text")
     parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = members.repartition(parts, "fam", "i", "j").sortWithinPartitions("fam", "i", "j")
-    return scratch.table(dealt.mapInArrow(_families(shingle, percent), "u long, v long"), placed)
+    dealt = members.repartition(parts, "fam", "i", "j").sortWithinPartitions("fam", "i", "j", "block")
+    return scratch.table(dealt.mapInArrow(_families(shingle, percent), "u long, v long"))
 
 
 def _roots(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -266,7 +269,6 @@ def linked_rows(rows: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> D
     sketch = scratch.table(rows.mapInArrow(_sketch(shingle, bands_of(percent)), "id long, key long, n long, node long, bands array<long>"))
     worded = sketch.where("node is not null")
     repeated = scratch.table(worded.groupBy("id", "key").agg(F.count("*").alias("c")).where("c > 1").select("id", "key"))
-    texts = one_of_each(rows.where("text is not null"), repeated)
     rep = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("rep")
     nodes = scratch.table(worded.groupBy("node").agg(rep, F.min("id").alias("min_id"), F.first("bands").alias("bands"), F.first("n").alias("n")))
     # Rows of one id are one document.
@@ -275,15 +277,19 @@ def linked_rows(rows: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> D
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = scratch.table(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key"))
     members = scratch.table(keys.join(shared, "key", "left_semi").select("key", F.col("node").alias("comp"), "node"), shared)
+    # The texts of nodes that share a bucket, once; the rounds read only these.
+    wanted = scratch.table(members.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", "rep.id", "rep.key"))
+    texts = one_of_each(rows.where("text is not null"), repeated)
+    texts = scratch.table(texts.join(wanted.hint("merge"), same(texts, wanted)).select("node", "text"), wanted)
     left = members
     for _ in range(HUB_ROUNDS):
         if left.isEmpty():
             break
-        found = _compared(_hub_groups(_to_hubs(left), nodes, scratch), nodes, texts, scratch, shingle, percent)
+        found = _compared(_hub_groups(_to_hubs(left), nodes, scratch), texts, scratch, shingle, percent)
         links = scratch.table(links.unionByName(found), links, found)
         left = _in_buckets(members.select("key", "node"), _roots(links, scratch), scratch)
     if not left.isEmpty():
-        found = _compared(_family_groups(left, nodes, scratch), nodes, texts, scratch, shingle, percent)
+        found = _compared(_family_groups(left, nodes, scratch), texts, scratch, shingle, percent)
         links = scratch.table(links.unionByName(found), links, found)
     roots = _roots(links, scratch)
     least = scratch.table(roots.join(nodes.select("node", "min_id"), "node").groupBy("comp").agg(F.min("min_id").alias("component_id")))
