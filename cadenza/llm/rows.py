@@ -1,9 +1,9 @@
 """Whole rows by key: decisions are made on narrow rows and then brought back to the rows they are about.
 
 A row's key is its id and a 64-bit hash of all its columns, so rows with equal keys are equal rows (two
-different rows share a key with a chance of 2 ** -64 a pair of one id). Texts are moved once at most, and
-not at all where the rows that a decision changes are few: they are written as a narrow table, and Spark
-broadcasts one below its threshold by the size on disk, and sorts and merges a larger one.
+different rows share a key with a chance of 2 ** -64 a pair of one id). Texts are moved once: the rows that a
+decision changes are written as a narrow table, and as it grows with the input, both sides are sorted and
+merged at every size.
 The row travels as a struct, so its columns may have any names.
 """
 
@@ -57,7 +57,7 @@ def one_of_each(rows: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def take(rows: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows as often as wanted: `wanted` says of each key (id, key) how many rows have it (n) and how many should be (copies)."""
-    odd = scratch.table(wanted.where("n != copies").select("id", "key", "copies"))
+    odd = scratch.table(wanted.where("n != copies").select("id", "key", "copies")).hint("merge")
     out = rows.join(odd, same(rows, odd), "left_anti").select("row")
     some = odd.where("copies > 0")
     if not some.isEmpty():
