@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, sharding
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
@@ -28,6 +28,17 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
   CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead THEN lead END AS refers_to, url, true AS valid FROM n
 """
 
+#: CRC-32 a byte at a time; its table is made by the polynomial's rule.
+OP5 = f"""
+WITH t AS (SELECT [list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS tab),
+b AS (SELECT row_number() OVER () AS rid, doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS raw FROM documents),
+c AS (SELECT doc_id, source, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, raw), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS crc FROM b, t),
+k AS (SELECT *, coalesce('=' || source, '') AS stratum, md5(concat_ws('|', '{sharding.SEED}', coalesce(doc_id::VARCHAR, ''), crc)) AS key FROM c),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY key) - 1) / (2 * count(*) OVER (PARTITION BY stratum))::DOUBLE AS frac FROM k),
+o AS (SELECT *, row_number() OVER (ORDER BY frac, stratum, key) - 1 AS pos, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (pos * {sharding.SHARDS} // n)::INTEGER AS shard, (pos - (pos * {sharding.SHARDS} // n * n + {sharding.SHARDS - 1}) // {sharding.SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM o
+"""
+
 OP6 = f"""
 WITH i AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all({_FOLD}, {_ALNUM}) AS w FROM benchmark),
 q AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
@@ -83,4 +94,4 @@ o AS (SELECT d.*, leaf_tokens, leaf_budget, e, sum(n_tokens) OVER (PARTITION BY
 SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, (e + CASE WHEN leaf_budget - e * leaf_tokens > 0 AND upto <= leaf_budget - e * leaf_tokens THEN 1 ELSE 0 END)::BIGINT AS copies FROM o
 """
 
-SQL = {"op1_substring_dedup": OP1, "op3_warc": OP3, "op6_benchmark_decontamination": OP6, "op7_mixing": OP7, "op8_minhash_near_dedup": OP8}
+SQL = {"op1_substring_dedup": OP1, "op3_warc": OP3, "op5_sharding": OP5, "op6_benchmark_decontamination": OP6, "op7_mixing": OP7, "op8_minhash_near_dedup": OP8}
