@@ -234,7 +234,7 @@ Kernel = Callable[[np.ndarray, str, str], np.ndarray]
 
 def apply_kernels(frames: DataFrame, kernels: list[Kernel]) -> DataFrame:
     """Runs a chain of kernels f(image, primaries, transfer) over frames in one pass, one frame at a time."""
-    prepare(frames.sparkSession, 64)
+    prepare(frames.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
