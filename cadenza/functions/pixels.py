@@ -135,6 +135,15 @@ def parse_colorspace(token: str) -> str | None:
     return SPELLINGS.get(re.sub(r"[\s._-]", "", token.lower()))
 
 
+#: Names of transfers in a stream's colour description; any other is BT.709.
+TRANSFERS = {"bt709": "bt709", "smpte170m": "bt709", "iec61966-2-1": "srgb", "pq": "pq", "hlg": "hlg", "linear": "linear"}
+
+
+def source_color(primaries: str | None, transfer: str | None) -> tuple[str, str]:
+    """Primaries and transfer of a source as its stream names them; what is unknown or missing is BT.709."""
+    return (parse_colorspace(primaries) if primaries else None) or "bt709", TRANSFERS.get(transfer or "", "bt709")
+
+
 def rgb_to_xyz(space: str) -> np.ndarray:
     xyz = lambda p: np.array([p[0] / p[1], 1, (1 - p[0] - p[1]) / p[1]])
     m = np.stack([xyz(p) for p in PRIMARIES[space]], 1)
@@ -247,3 +256,59 @@ def apply_kernels(frames: DataFrame, kernels: list[Kernel]) -> DataFrame:
             yield part.assign(width=[i.shape[1] for i in images], height=[i.shape[0] for i in images], rgba=[np.ascontiguousarray(i).tobytes() for i in images])
 
     return frames.mapInPandas(run, frames.schema)
+
+
+def steps(settings: dict) -> list[Kernel]:
+    """Kernels of a video target in their fixed order: crop, resize, rotate, flip, colour space, tone map.
+
+    crop (x, y, width, height); width and height (one alone takes the other from the frame) with fit;
+    rotate degrees; flip axis; colorspace name; tonemap "sdr"."""
+    unknown = set(settings) - {"crop", "width", "height", "fit", "rotate", "flip", "colorspace", "tonemap"}
+    if unknown:
+        raise InputError.bad(f"unknown video settings {sorted(unknown)}")
+    out: list[Kernel] = []
+    if settings.get("crop") is not None:
+        x, y, w, h = settings["crop"]
+        if w <= 0 or h <= 0:
+            raise InputError.bad(f"crop {w} x {h} must be positive")
+        out.append(lambda i, p, t: crop(i, x, y, w, h))
+    width, height = settings.get("width"), settings.get("height")
+    if width is not None or height is not None:
+        if (width is not None and width <= 0) or (height is not None and height <= 0):
+            raise InputError.bad("resize must be positive")
+        out.append(lambda i, p, t: resize(i, width or i.shape[1], height or i.shape[0], settings.get("fit") or "fill"))
+    if settings.get("rotate"):
+        out.append(lambda i, p, t: rotate(i, settings["rotate"]))
+    if settings.get("flip") is not None:
+        out.append(lambda i, p, t: flip(i, settings["flip"]))
+    if settings.get("colorspace") is not None:
+        if not settings["colorspace"].strip():
+            raise InputError.bad("a colour space needs a name")
+        out.append(lambda i, p, t: colorspace(i, p, t, settings["colorspace"]))
+    if settings.get("tonemap") is not None:
+        if settings["tonemap"] != "sdr":
+            raise InputError.bad(f"tone mapping to {settings['tonemap']!r} is not supported")
+        out.append(lambda i, p, t: tonemap(i, p, t))
+    return out
+
+
+def render(frames: DataFrame, settings: dict) -> DataFrame:
+    """Frames after a video target's steps, in one pass; unknown source colours count as BT.709.
+
+    A tone map after a colour space takes the frame as that step left it."""
+    chain = steps(settings)
+    to = parse_colorspace(settings.get("colorspace") or "")
+
+    def colours(kernel: Kernel, last: bool) -> Kernel:
+        def run(image: np.ndarray, primaries: str, transfer: str) -> np.ndarray:
+            if last and to is not None:
+                return kernel(image, to, "srgb" if to == "srgb" else "bt709")
+            return kernel(image, *source_color(primaries, transfer))
+
+        return run
+
+    tone = settings.get("tonemap") is not None
+    out = apply_kernels(frames, [colours(k, tone and n + 1 == len(chain)) for n, k in enumerate(chain)])
+    if to is None and not tone:
+        return out
+    return out.withColumns({"primaries": F.lit("bt709" if tone else to), "transfer": F.lit("bt709" if tone or to != "srgb" else "srgb")})

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError, InputError, EngineError
-from ..functions import dsp
+from ..functions import dsp, pixels
 from ..operators import selection
 from ..sources import files
-from ..sources.containers import mp4, pcm_files
+from ..sources.containers import pcm_files
 from ..sources.containers import tags as file_tags
 from . import router, targets
 
@@ -175,15 +175,35 @@ class Engine:
     def mux(self, packets: DataFrame, tracks: DataFrame, container: str, tags: dict | None = None, fragmented: bool = False) -> DataFrame:
         return files.mux(packets, tracks, container, tags, fragmented)
 
-    def decrypt(self, data: bytes, keys: dict[bytes, bytes], to: str = "mp4") -> bytes:
-        """A protected MP4 as a clear one."""
+    def decrypt(self, given, keys, to: str | None = None, scheme: str = "cenc", iv: bytes | None = None):
+        """Clear files. Of bytes the result is bytes; of assets a table (asset_id, container, content, status...).
+
+        cenc (with cens and cbcs): protected MP4 files with `keys`, a dict of key ids, written as `to` (MP4 if
+        not given). hls-aes128: whole segments under one key and IV. hls-sample-aes: transport streams whose
+        samples are protected, under one key and IV."""
         if not keys:
             raise CapabilityError.miss("no keys", {"op": "decrypt"})
-        clear = mp4.decrypted(data, keys)
-        m = mp4.movie(data)
-        for t in m.tracks:
-            t.encrypted = False
-        return files.build(m.tracks, [clear[t.track_id] for t in m.tracks], to, m.tags)
+        if scheme not in ("cenc", "hls-aes128", "hls-sample-aes"):
+            raise CapabilityError.miss(f"no decryption for {scheme!r}", {"op": "decrypt", "scheme": scheme}, ["cenc", "hls-aes128", "hls-sample-aes"])
+        if scheme != "cenc" and not (len(keys) == 16 and iv is not None and len(iv) == 16):
+            raise InputError.bad(f"{scheme} needs a 16-byte key and IV")
+        if isinstance(given, bytes | bytearray):
+            row = self.decrypt(self.source(bytes(given)), keys, to, scheme, iv).first()
+            if row.status != "ok":
+                raise (CapabilityError if row.error_code == "capability-miss" else EngineError)(row.error_code, row.error)
+            return bytes(row.content)
+        assets = self.source(given)
+        if scheme == "hls-aes128":
+            whole = (F.octet_length("content") > 0) & (F.octet_length("content") % 16 == 0)
+            clear = F.when(whole, F.try_aes_decrypt(F.concat(F.lit(iv), F.col("content")), F.lit(bytes(keys)), F.lit("CBC"), F.lit("PKCS")))
+            ok = F.col("clear").isNotNull()
+            rows = assets.select("asset_id", "kind", clear.alias("clear"))
+            return rows.select("asset_id", F.coalesce("kind", F.lit("ts")).alias("container"), F.col("clear").alias("content"), F.when(ok, "ok").otherwise("failed").alias("status"), F.when(~ok, "decode-error").alias("error_code"), F.when(~ok, "not a whole AES-128 segment under this key").alias("error"))
+        return files.decrypt(assets, scheme, keys, to or ("mp4" if scheme == "cenc" else "ts"), iv)
+
+    def render(self, frames: DataFrame, **settings) -> DataFrame:
+        """Frames after crop, resize, rotate, flip, colour space and tone map, in this order."""
+        return pixels.render(frames, settings)
 
     def h264_abr_ladder(self, given, rungs: list[tuple]) -> DataFrame:
         """A row per asset and rung; encoding them needs a lossy codec, so each is a miss."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from ...errors import CapabilityError, InputError, EngineError
+import re
+
+from ...errors import CapabilityError, EngineError, InputError
+from ...functions import crypto
 from .base import Movie, Packet, Track, crc32_mpeg2
 
 SYNC, SIZE, CLOCK = 0x47, 188, 90_000
-#: Stream types.
-TYPES = {0x1B: ("video", "avc1"), 0x24: ("video", "hvc1"), 0x0F: ("audio", "mp4a.40.2"), 0x03: ("audio", "mp3"), 0x04: ("audio", "mp3")}
+#: Stream types; the last two are the protected forms of SAMPLE-AES.
+TYPES = {0x1B: ("video", "avc1"), 0x24: ("video", "hvc1"), 0x0F: ("audio", "mp4a.40.2"), 0x03: ("audio", "mp3"), 0x04: ("audio", "mp3"), 0xDB: ("video", "avc1"), 0xCF: ("audio", "mp4a.40.2")}
 
 
 def _us(ticks: int) -> int:
@@ -114,6 +117,41 @@ def movie(data: bytes) -> Movie:
     return Movie("ts", tracks, whole)
 
 
+def decrypted_sample_aes(data: bytes, key: bytes, iv: bytes) -> bytes:
+    """A SAMPLE-AES transport stream as a clear one; every NAL unit and every ADTS frame begins at the IV."""
+    m = movie(data)
+    clear = []
+    for t in m.tracks:
+        if t.track_kind == "video":
+            clear.append([b"".join(code + crypto.sample_aes_nal(key, iv, nal) for code, nal in nal_units(p.data)) for p in t.packets])
+        else:
+            clear.append([b"".join(crypto.sample_aes_audio(key, iv, frame, 7 if frame[1] & 1 else 9) for frame in adts_frames(p.data)) if t.codec.startswith("mp4a") else p.data for p in t.packets])
+    return write(m.tracks, clear)
+
+
+def nal_units(data: bytes) -> list[tuple[bytes, bytes]]:
+    """(start code, unit) of an Annex B byte stream; what stands before the first start code belongs to none."""
+    at = [x.start() for x in re.finditer(b"\0\0\1", data)]
+    out = []
+    for k, a in enumerate(at):
+        end = at[k + 1] if k + 1 < len(at) else len(data)
+        if k + 1 < len(at) and end > a + 3 and data[end - 1] == 0:
+            end -= 1  # the zero of a four-byte start code
+        out.append((b"\0\0\0\1" if a and data[a - 1] == 0 else b"\0\0\1", data[a + 3 : end]))
+    return out
+
+
+def adts_frames(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at + 7 <= len(data):
+        size = (data[at + 3] & 3) << 11 | data[at + 4] << 3 | data[at + 5] >> 5
+        if data[at] != 0xFF or data[at + 1] & 0xF6 != 0xF0 or size < 7 or at + size > len(data):
+            raise EngineError("demux-error", "no whole ADTS frame where one must be")
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
 class _Out:
     def __init__(self) -> None:
         self.parts: list[bytes] = []

@@ -23,25 +23,27 @@ def opus_samples(packet: bytes) -> int:
 
 
 def pages(data: bytes, check: bool = False):
-    """(serial, flags, granule, lacing, where the body begins), page by page."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 4] != b"OggS":
-            raise EngineError("demux-error", "no Ogg page where one must be") if at else InputError.bad("not an Ogg file")
-        if at + 27 > len(data) or at + 27 + data[at + 26] > len(data):
-            raise EngineError("demux-error", "an Ogg page is cut off")
+    """(serial, flags, granule, lacing, where the body begins), page by page.
+
+    What stands between pages is skipped, and a page that is cut off ends the file; with `check` a page
+    whose checksum differs raises."""
+    at, some = data.find(b"OggS\0"), False
+    while at >= 0 and at + 27 <= len(data) and at + 27 + data[at + 26] <= len(data):
         flags, granule, serial = data[at + 5], int.from_bytes(data[at + 6 : at + 14], "little", signed=True), int.from_bytes(data[at + 14 : at + 18], "little")
         lacing = data[at + 27 : at + 27 + data[at + 26]]
         body = at + 27 + len(lacing)
         end = body + sum(lacing)
         if end > len(data):
-            raise EngineError("demux-error", "an Ogg page is cut off")
+            break
         if check:
             page = data[at : at + 22] + bytes(4) + data[at + 26 : end]
             if crc32_ogg(page) != int.from_bytes(data[at + 22 : at + 26], "little"):
                 raise EngineError("demux-error", "an Ogg page's checksum differs")
         yield serial, flags, granule, lacing, body
-        at = end
+        some = True
+        at = data.find(b"OggS\0", end)
+    if not some:
+        raise InputError.bad("no whole Ogg page")
 
 
 def packets(data: bytes, check: bool = False):

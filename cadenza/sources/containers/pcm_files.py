@@ -129,8 +129,8 @@ def parse_aiff(data: bytes) -> PcmFile:
     floats = {b"fl32": "f32", b"FL32": "f32", b"fl64": "f64", b"FL64": "f64"}
     if kind in floats:
         fmt, big = floats[kind], True
-    elif kind in (b"NONE", b"twos", b"sowt"):
-        fmt, big = _int_format(-(-bits // 8) * 8, "aiff"), kind != b"sowt"
+    elif kind in (b"NONE", b"twos", b"in16", b"in24", b"in32", b"sowt", b"lpcm"):
+        fmt, big = _int_format(-(-bits // 8) * 8, "aiff"), kind not in (b"sowt", b"lpcm")
     else:
         raise CapabilityError.miss(f"AIFF-C {kind!r}", {"op": "demux", "container": "aiff"})
     return _made("aiff", fmt, big, rate, channels, body[0], min(body[1], frames * channels * pcm.WIDTH[fmt]))

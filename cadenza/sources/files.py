@@ -294,3 +294,26 @@ def remux(assets: DataFrame, container: str, tags: dict[str, str] | None = None,
             return [(asset, container, None, *_status(e))]
 
     return _each_file(assets, make, f"asset_id bigint, container string, content binary, {_STATUS}")
+
+
+def decrypt(assets: DataFrame, scheme: str, keys, container: str, iv: bytes | None = None) -> DataFrame:
+    """Each protected file as a clear one: (asset_id, container, content, status...)."""
+
+    def clear(data: bytes) -> bytes:
+        if scheme == "hls-sample-aes":
+            return mpegts.decrypted_sample_aes(data, keys, iv)
+        found = mp4.decrypted(data, keys)
+        m = parse(data, "mp4")
+        for t in m.tracks:
+            t.encrypted = False
+        return build(m.tracks, [found[t.track_id] for t in m.tracks], container, m.tags)
+
+    def make(asset: int, kind: str | None, data: bytes) -> list[tuple]:
+        try:
+            return [(asset, container, clear(data), *_status(None))]
+        except EngineError as e:
+            return [(asset, container, None, *_status(e))]
+        except (IndexError, ValueError, KeyError) as e:  # garbled fields
+            return [(asset, container, None, *_status(EngineError("demux-error", f"{kind}: {e}")))]
+
+    return _each_file(assets, make, f"asset_id bigint, container string, content binary, {_STATUS}")

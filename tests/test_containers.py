@@ -175,6 +175,30 @@ def test_avi():
         avi.write([v], [vd], 30)
 
 
+def test_ogg_with_rubbish_and_a_cut_page():
+    t = Track(1, "audio", "opus", 48_000, sample_rate=48_000, channels=2)
+    payloads = [bytes([0xF8]) + bytes([i]) * 40 for i in range(150)]
+    t.packets = [Packet(None, len(d), i * 20_000, None, 20_000) for i, d in enumerate(payloads)]
+    data = ogg.write(t, payloads)
+    whole = ogg.movie(data).tracks[0].packets
+    some = ogg.movie(data[: len(data) * 3 // 5]).tracks[0]
+    assert 0 < len(some.packets) < len(whole)
+    second = data.find(b"OggS", 4)
+    assert len(ogg.movie(data[:second] + b"rubbish" + data[second:]).tracks[0].packets) == len(whole)
+    with pytest.raises(EngineError):
+        ogg.movie(b"OggX" * 40)
+
+
+@pytest.mark.parametrize("kind, order", [(b"in16", ">"), (b"twos", ">"), (b"lpcm", "<"), (b"sowt", "<")])
+def test_aiff_c_kinds(kind, order):
+    x = np.arange(-50, 50, dtype=np.int16) * 300
+    comm = struct.pack(">HIH", 1, 100, 16) + pcm_files.extended(8000) + kind + b"\0\0"
+    body = struct.pack(">II", 0, 0) + x.astype(f"{order}i2").tobytes()
+    chunks = b"COMM" + struct.pack(">I", len(comm)) + comm + b"SSND" + struct.pack(">I", len(body)) + body
+    data = b"FORM" + struct.pack(">I", 4 + len(chunks)) + b"AIFC" + chunks
+    assert np.array_equal(pcm_files.parse_aiff(data).decode(data)[0] * 32768, x)
+
+
 @pytest.mark.parametrize("container", ["mp3", "flac", "wav", "aiff", "caf", "mkv", "mp4", "ogg"])
 def test_tags(container):
     x = signal(2000)

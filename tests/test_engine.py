@@ -229,3 +229,62 @@ def test_greedy_runs(spark):
             assert got[a, x[2]] == run
     with pytest.raises(Exception, match="exceeds"):
         timeline.avi_segments(df.withColumn("size_bytes", F.lit(500)), 100, ["seq"]).collect()
+
+
+def test_decrypt_of_many_files(engine):
+    from cadenza.functions import crypto
+
+    (v, vd) = video(6)
+    key, kid, iv = bytes(range(16)), bytes(range(16, 32)), bytes(range(1, 17))
+    clear = mp4.write([v], [vd])
+    rows = engine.decrypt(engine.source([clear, b"nothing"]), {kid: key}).collect()
+    assert {r.asset_id: r.status for r in rows} == {0: "ok", 1: "failed"}
+    pad = lambda d: d + bytes([16 - len(d) % 16]) * (16 - len(d) % 16)
+    sealed = crypto.cbc(key, iv, pad(b"G" + bytes(500)), encrypt=True)
+    assert engine.decrypt(sealed, key, scheme="hls-aes128", iv=iv) == b"G" + bytes(500)
+    with pytest.raises(EngineError):
+        engine.decrypt(sealed[:-1], key, scheme="hls-aes128", iv=iv)
+    with pytest.raises(CapabilityError):
+        engine.decrypt(sealed, key, scheme="rot13", iv=iv)
+
+
+def test_decrypt_sample_aes(engine):
+    from cadenza.functions import crypto
+    from cadenza.sources.containers import mpegts
+    from cadenza.sources.containers.base import Packet, Track
+
+    key, iv = bytes(range(16)), bytes(range(1, 17))
+    raw = bytes([0x65]) + bytes(i % 250 + 4 for i in range(700))
+    locked = bytearray(raw)
+    starts = list(range(32, len(raw) - 16, 160))
+    body = crypto.cbc(key, iv, b"".join(raw[a : a + 16] for a in starts), encrypt=True)
+    for n, a in enumerate(starts):
+        locked[a : a + 16] = body[16 * n : 16 * n + 16]
+    if b"\0\0\3" in bytes(locked) or b"\0\0\1" in bytes(locked):
+        pytest.skip("the ciphertext holds a start code")
+    access = lambda nal: b"\0\0\0\1\x09\xf0\0\0\1" + bytes(nal)
+    adts = lambda payload: bytes([0xFF, 0xF1, 0x50, 0x80 | (len(payload) + 7) >> 11, (len(payload) + 7) >> 3 & 255, ((len(payload) + 7) & 7) << 5 | 0x1F, 0xFC]) + payload
+    sound = bytes(i % 256 for i in range(130))
+    sealed = sound[:16] + crypto.cbc(key, iv, sound[16:128], encrypt=True) + sound[128:]
+    video_track, audio_track = Track(1, "video", "avc1"), Track(2, "audio", "mp4a.40.2")
+    video_track.packets = [Packet(None, 0, 0, 0, 40_000, True)]
+    audio_track.packets = [Packet(None, 0, 0, 0, 20_000, True)]
+    data = mpegts.write([video_track, audio_track], [[access(locked)], [adts(sealed) + adts(sealed)]])
+    out = mpegts.movie(engine.decrypt(data, key, scheme="hls-sample-aes", iv=iv))
+    assert [t.packets[0].data for t in out.tracks] == [access(raw), adts(sound) + adts(sound)]
+
+
+def test_render(engine, spark):
+    from cadenza.functions import pixels
+
+    image = np.random.default_rng(1).integers(0, 256, (6, 8, 4), np.uint8)
+    frames = spark.createDataFrame([(0, 0, 0, 0, 0, 8, 6, bytearray(image.tobytes()), None, "pq")], "asset_id bigint, track_id int, frame_no bigint, ts_us bigint, duration_us bigint, width int, height int, rgba binary, primaries string, transfer string")
+    row = engine.render(frames, tonemap="sdr", flip="vertical", rotate=90, width=4, height=2, crop=(1, 1, 6, 4)).first()
+    want = pixels.tonemap(pixels.flip(pixels.rotate(pixels.resize(pixels.crop(image, 1, 1, 6, 4), 4, 2), 90), "vertical"), "bt709", "pq")
+    assert (row.width, row.height) == (2, 4) and bytes(row.rgba) == np.ascontiguousarray(want).tobytes() and (row.primaries, row.transfer) == ("bt709", "bt709")
+    assert bytes(engine.render(frames, width=8).first().rgba) == image.tobytes()
+    with pytest.raises(InputError):
+        engine.render(frames, sharpen=1)
+    with pytest.raises(InputError):
+        engine.render(frames, crop=(0, 0, 0, 3))
+    assert pixels.source_color("BT.2020", "iec61966-2-1") == ("bt2020", "srgb") and pixels.source_color("?", None) == ("bt709", "bt709")
