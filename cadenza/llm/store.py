@@ -2,7 +2,8 @@
 
 `Scratch.table` writes a DataFrame as Parquet under ``spark.checkpoint.dir`` and reads it back, so a
 lost executor costs a reread and not a recomputation. Shuffle files of such a step are removed when its
-table stands. Tables that a later step replaces are dropped at once, the rest when the program ends.
+table stands. Tables that a later step replaces are dropped at once, the rest when the program ends or
+`close_since` says that nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -13,19 +14,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; an own one only in local mode where none is named."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", own := f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
-    return own
+_live: list[Scratch] = []
+
+
+def mark() -> int:
+    """A point in time, for `close_since`."""
+    return len(_live)
+
+
+def close_since(point: int) -> None:
+    """Removes the tables of all runs begun since `point`; nothing that reads them may be used any more."""
+    for scratch in _live[point:]:
+        scratch.close()
+    del _live[point:]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -48,6 +54,7 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/cadenza/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._at: dict[int, tuple[DataFrame, str]] = {}
+        _live.append(self)
         atexit.register(self.close)
 
     def table(self, df: DataFrame, *old: DataFrame, files: int | None = None) -> DataFrame:

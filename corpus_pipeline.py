@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import stages
-from cadenza.llm.store import Scratch
+from cadenza.llm.store import Scratch, close_since, mark
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -21,7 +21,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = scratch.table(out, docs) if i + 1 < len(STAGES) else out
-    return docs
+    for _, stage in STAGES[:-1]:
+        begun = mark()
+        docs = scratch.table(stage(spark, docs, sf_dir), docs)
+        close_since(begun)  # the stage's own tables have done their work
+    return STAGES[-1][1](spark, docs, sf_dir)
