@@ -111,15 +111,20 @@ def greedy_runs(rows: DataFrame, rule: Callable[[], Breaks], columns: list[str],
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, number = None, None, -1
         for part in parts:
-            numbers = np.empty(len(part), np.int64)
-            keys = list(zip(*(part[c] for c in by), strict=True))
-            for i, values in enumerate(zip(*(part[c] for c in columns), strict=True)):
-                if state is None or keys[i] != now:
-                    now, state, number = keys[i], rule(), -1
-                if state.row(*values):
-                    number += 1
-                numbers[i] = number
-            yield part.assign(**{out: numbers})
+            if not len(part):
+                continue
+            keys = [part[c].to_numpy() for c in by]
+            first = tuple(k[0] for k in keys)
+            fresh = np.ones(len(part), bool)
+            fresh[0] = state is None or first != now
+            fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            now, numbers = tuple(k[-1] for k in keys), []
+            for begins, *values in zip(fresh.tolist(), *(part[c].tolist() for c in columns), strict=True):
+                if begins:
+                    state, number = rule(), -1
+                number += state.row(*values)
+                numbers.append(number)
+            yield part.assign(**{out: np.array(numbers, np.int64)})
 
     dealt = rows.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by).sortWithinPartitions(*by, *order)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
